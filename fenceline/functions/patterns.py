@@ -30,6 +30,7 @@ class Pattern:
     ``completing`` matches the shortest text that completes a match of ``regex`` and ends
     with its completing character. It needs no repetition before the first fixed character,
     so it scans in linear time also over long runs of characters that could start a match.
+    ``hint`` is a cheap expression every match contains.
 
     ``reach`` is how many characters before the completing one a shortest match can take.
     A pattern with an unbounded middle part names it by three more expressions: ``opened``
@@ -41,6 +42,7 @@ class Pattern:
     regex: str
     completing: str
     reach: int
+    hint: str | None = None
     opened: str | None = None
     filler: str | None = None
     closing: str | None = None
@@ -52,13 +54,14 @@ PII = (
         EMAIL,
         completing=r"[a-zA-Z0-9._%+-]@[a-zA-Z0-9.-]+?\.[a-zA-Z]{2}",
         reach=5,
+        hint="@",
         opened=r"[a-zA-Z0-9._%+-]@[a-zA-Z0-9.-]*" + END,
         filler=r"^[a-zA-Z0-9.-]*" + END,
         closing=r"^@?[a-zA-Z0-9.-]+?\.[a-zA-Z]{2}",
     ),
-    Pattern("ssn", SSN, completing=SSN, reach=10),
-    Pattern("phone", PHONE, completing=PHONE, reach=11),
-    Pattern("card", CARD, completing=CARD, reach=18),
+    Pattern("ssn", SSN, completing=SSN, reach=10, hint="[0-9]-[0-9]"),
+    Pattern("phone", PHONE, completing=PHONE, reach=11, hint="[0-9]-[0-9]"),
+    Pattern("card", CARD, completing=CARD, reach=18, hint="[0-9]-[0-9]"),
 )
 
 
@@ -71,8 +74,21 @@ def probe(patterns=PII) -> str:
     return "|".join(p.completing for p in patterns)
 
 
+def _hinted(text: Column, patterns) -> Column | None:
+    """A cheap necessary condition of a match, evaluated before the alternation."""
+    hints = list(dict.fromkeys(p.hint for p in patterns))
+    if None in hints:
+        return None
+    tests = [F.contains(text, F.lit(h)) if h.isalnum() or h == "@" else text.rlike(h) for h in hints]
+    condition = tests[0]
+    for test in tests[1:]:
+        condition = condition | test
+    return condition
+
+
 def has_match(text: Column, patterns=PII) -> Column:
-    return text.rlike(probe(patterns))
+    found, hinted = text.rlike(probe(patterns)), _hinted(text, patterns)
+    return found if hinted is None else hinted & found
 
 
 def leftmost(text: Column, patterns=PII) -> Column:
@@ -95,7 +111,8 @@ def first_reason(text: Column, patterns=PII) -> Column:
     reason = F.lit("ok")
     for p in reversed(patterns):
         reason = F.when(text.rlike(p.completing), F.lit("match:" + p.regex)).otherwise(reason)
-    return reason
+    hinted = _hinted(text, patterns)
+    return reason if hinted is None else F.when(hinted, reason).otherwise(F.lit("ok"))
 
 
 def all_matches(text: Column, patterns=PII) -> Column:

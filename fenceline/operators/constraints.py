@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import lookup_join
 from . import terms as T
 
 # (constraint_id, ord, kind 'term'|'regex', pattern, penalty)
@@ -13,28 +14,40 @@ CONSTRAINTS = "constraint_id STRING, ord INT, kind STRING, pattern STRING, penal
 MAX_REGEXES = 256
 
 
-def hits(texts: DataFrame, constraints: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, constraint_id, penalty) of every constraint a text violates, terms by raw containment."""
+def _regexes(constraints: DataFrame) -> list:
     rows = constraints.filter("kind = 'regex'").orderBy("ord").limit(MAX_REGEXES + 1).collect()
     if len(rows) > MAX_REGEXES:
         raise ValueError(f"more than {MAX_REGEXES} regular expressions")
+    return rows
+
+
+def hits(texts: DataFrame, constraints: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, constraint_id, penalty) of every constraint a text violates, terms by raw containment."""
     term_rows = constraints.filter("kind = 'term'")
     lex = T.lexicon(term_rows.select(F.col("pattern").alias("term")), T.ENFORCE)
     by_term = T.hits(texts, lex, key, text)
     named = term_rows.select(F.col("pattern").alias("term"), "constraint_id", "penalty")
-    found = by_term.join(named, "term").select(key, "constraint_id", "penalty")
+    found = lookup_join(by_term, named, "term").select(key, "constraint_id", "penalty")
+    rows = _regexes(constraints)
     if rows:
-        checks = F.array(
-            *[
-                F.when(
-                    F.col(text).rlike(r["pattern"]),
-                    F.struct(
-                        F.lit(r["constraint_id"]).alias("constraint_id"), F.lit(r["penalty"]).alias("penalty")
-                    ),
-                )
-                for r in rows
-            ]
-        )
-        by_regex = texts.select(key, F.explode(F.array_compact(checks)).alias("_c")).select(key, "_c.*")
-        found = found.unionByName(by_regex)
+        checks = [
+            F.when(
+                F.col(text).rlike(r["pattern"]),
+                F.struct(F.lit(r["constraint_id"]).alias("constraint_id"), F.lit(r["penalty"]).alias("penalty")),
+            )
+            for r in rows
+        ]
+        flagged = texts.filter(F.col(text).rlike("|".join(f"(?:{r['pattern']})" for r in rows)))
+        by_regex = flagged.select(key, F.explode(F.array_compact(F.array(*checks))).alias("_c"))
+        found = found.unionByName(by_regex.select(key, "_c.*"))
     return found
+
+
+def merged(texts: DataFrame, constraints: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_violated, penalty): per violating text, its violated constraints counted and their
+    penalties summed, each constraint once."""
+    return (
+        hits(texts, constraints, key, text)
+        .groupBy(key)
+        .agg(F.count("*").alias("n_violated"), F.sum("penalty").alias("penalty"))
+    )

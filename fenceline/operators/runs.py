@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -166,8 +166,8 @@ def run_summary(report: DataFrame, base_method: str = "base") -> DataFrame:
         )
         .withColumn("violation_rate", rate)
     )
-    base = pooled.filter(F.col("method") == base_method).select(*setting, F.col("violation_rate").alias("base_rate"))
-    return pooled.join(base, setting, "left")
+    base = F.max(F.when(F.col("method") == base_method, F.col("violation_rate")))
+    return pooled.withColumn("base_rate", base.over(Window.partitionBy(*setting)))
 
 
 def throughput(run_log: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ Three presets of one operator:
 * ``SELECT`` - both sides lowered, the term between two spaces,
 * ``EVAL`` - the term stripped and lowered, the text as it is, the term between two spaces.
 
-A lexicon of up to ``LITERAL_TERMS`` terms becomes one regular expression evaluated row by
-row, without a shuffle. A larger one is joined by equality: on space-separated grams for
-the padded presets, on character grams for raw containment.
+Whether a text holds any term of a lexicon of up to ``LITERAL_TERMS`` terms is one regular
+expression, evaluated row by row without a shuffle. Larger lexicons, and the question which of
+many terms a text holds, are joined by equality: on space-separated grams for the padded
+presets, on character grams for raw containment.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from ..functions.text import quote, strip
 from ..session import lookup_join
 
 ENFORCE, SELECT, EVAL = "ENFORCE", "SELECT", "EVAL"
-LITERAL_TERMS = 512
+LITERAL_TERMS = 4096
+# Up to this many terms, which of them a text holds is tested term by term.
+LISTED_TERMS = 64
 # Long texts are cut into blocks of this many characters before character grams are made.
 BLOCK_CHARS = 256
 
@@ -59,8 +62,22 @@ def _subject(lex: Lexicon, text: Column) -> Column:
 
 
 def _regex(lex: Lexicon) -> str:
-    body = "|".join(quote(t) for t in lex.literals)
-    return body if lex.preset == ENFORCE else f" (?:{body}) "
+    body = any_of(lex.literals)
+    return body if lex.preset == ENFORCE else f" {body} "
+
+
+def any_of(words) -> str:
+    """An expression that matches each of the words, common beginnings shared, so that a position
+    is tested against the possible first characters and not against every word."""
+    rests: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        if word:
+            rests.setdefault(word[0], []).append(word[1:])
+    branches = [quote(first) + any_of(rest) for first, rest in rests.items()]
+    if not branches:
+        return ""
+    body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+    return f"(?:{body})?" if "" in words else body
 
 
 def any_literal(lex: Lexicon, text: Column) -> Column:
@@ -86,10 +103,12 @@ def without(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "tex
 def hits(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct (key, term) pairs of contained terms."""
     if lex.literals is not None:
-        subject, pad = _subject(lex, F.col(text)), "" if lex.preset == ENFORCE else " "
-        table = F.array(*[F.lit(t) for t in lex.literals]).cast("array<string>")
-        inside = F.filter(table, lambda t: F.contains(subject, F.concat(F.lit(pad), t, F.lit(pad))))
-        return docs.filter(any_literal(lex, F.col(text))).select(key, F.explode(inside).alias("term"))
+        docs = docs.filter(any_literal(lex, F.col(text)))
+        if len(lex.literals) <= LISTED_TERMS:
+            subject, pad = _subject(lex, F.col(text)), "" if lex.preset == ENFORCE else " "
+            table = F.array(*[F.lit(t) for t in lex.literals]).cast("array<string>")
+            inside = F.filter(table, lambda t: F.contains(subject, F.concat(F.lit(pad), t, F.lit(pad))))
+            return docs.select(key, F.explode(inside).alias("term"))
     if lex.preset == ENFORCE:
         return _char_gram_hits(docs, lex, key, F.col(text), positions=False).distinct()
     return _word_gram_hits(docs, lex, key, _subject(lex, F.col(text)))
@@ -150,21 +169,19 @@ def _char_gram_hits(docs: DataFrame, lex: Lexicon, key, subject: Column, positio
     if not levels:
         return docs.select(*keys, F.lit("").alias("term"), F.lit(0).alias("start")).limit(0)
 
-    def windows(j: int) -> Column:
-        width, reach = 1 << j, (1 << (j + 1)) - 1
-        n = F.length("_block")
-        starts = F.sequence(F.lit(1), n - (width - 1))
-        made = F.when(n >= width, F.transform(starts, lambda i: F.substring(F.col("_block"), i, F.lit(reach))))
-        return F.struct(F.lit(width).alias("width"), made.alias("windows"))
-
+    width, at = F.col("_width"), F.col("_i")
+    n = F.length("_block") - width + 1
     blocks = docs.select(*keys, F.explode(_blocks(subject, longest - 1)).alias("_b")).select(*keys, "_b.*")
-    leveled = blocks.select(*keys, "_at", F.explode(F.array(*[windows(j) for j in levels])).alias("_w"))
-    if positions:
-        probes = leveled.select(*keys, "_at", "_w.width", F.posexplode("_w.windows").alias("_i", "window"))
-        probes = probes.select(*keys, (F.col("_at") + F.col("_i")).alias("start"), "window", "width")
-    else:
-        probes = leveled.select(*keys, "_w.width", F.explode(F.array_distinct("_w.windows")).alias("window"))
-    probes = probes.withColumn("anchor", F.left("window", F.col("width"))).drop("width")
+    leveled = blocks.select(*keys, "_at", "_block", F.explode(F.array(*[F.lit(1 << j) for j in levels])).alias("_width"))
+    # The generators, the anchor and a broadcast join run in one generated loop: the block is read
+    # in place and the window is cut only behind a matching anchor.
+    starts = leveled.select("*", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("_i"))
+    probes = starts.select(
+        *keys,
+        *([(F.col("_at") + at - 1).alias("start")] if positions else []),
+        F.substring(F.col("_block"), at, width).alias("anchor"),
+        F.substring(F.col("_block"), at, 2 * width - 1).alias("window"),
+    )
     found = lookup_join(probes, lex.terms.select(anchor.alias("anchor"), "term"), "anchor")
     found = found.filter(F.startswith("window", "term"))
     if not positions:
@@ -197,5 +214,5 @@ def term_pattern(lex: Lexicon, name: str = "terms") -> Pattern:
     if not lex.literals or lex.preset != ENFORCE:
         raise ValueError("needs a non-empty ENFORCE lexicon within the literal bound")
     minimal = [t for t in lex.literals if not any(u != t and u in t for u in lex.literals)]
-    body = "|".join(quote(t) for t in minimal)
+    body = any_of(minimal)
     return Pattern(name, body, completing=body, reach=max(map(len, minimal)) - 1)

@@ -144,7 +144,7 @@ def word_doc_counts(spark, sf):
 
 
 def word_raw_counts(spark, sf):
-    return T.term_counts(V.documents(spark, sf), T.lexicon(V.benchmark_words(spark, sf), T.ENFORCE, 0))
+    return T.term_counts(V.documents(spark, sf), T.lexicon(V.benchmark_words(spark, sf), T.ENFORCE))
 
 
 def span_term_docs(spark, sf):
@@ -399,7 +399,7 @@ def _blocked_candidates(spark, sf):
 
 def cand_mask_audit(spark, sf):
     audit = C.mask_audit(_blocked_candidates(spark, sf))
-    return audit.withColumn("removed_mass", F.round("removed_mass", 6))
+    return audit.withColumn("removed_mass", F.round("removed_mass", 9))
 
 
 def cand_masked_pick(spark, sf):
@@ -418,7 +418,7 @@ def cand_soft_penalty(spark, sf):
     keyed = candidates.filter("NOT is_eos").select(
         F.struct(*C.STEP, "cand").alias("k"), F.concat_ws(" ", "seq_id", "cand").alias("text")
     )
-    penalties = K.hits(keyed, constraints, key="k").select("k.*", "constraint_id", "penalty")
+    penalties = K.merged(keyed, constraints, key="k").select("k.*", "penalty")
     scored = C.penalised(candidates, penalties)
     return scored.select(
         *C.STEP,

@@ -326,7 +326,7 @@ SQL: dict[str, str] = {
           ORDER BY logit - ln(-ln(u)) DESC, cand) AS r FROM u) WHERE r = 1""",
     "cand_mask_audit": f"""WITH {LEX8}, {BIGRAMS}, {BLOCKED}, s AS ({softmax('marked')})
         SELECT seq_id, step, count(*) AS n_cands, count(*) FILTER (blocked) AS n_blocked,
-          round(coalesce(sum(exp(lp)) FILTER (blocked), 0), 6) AS removed_mass,
+          round(coalesce(sum(exp(lp)) FILTER (blocked), 0), 9) AS removed_mass,
           first(cand ORDER BY logit DESC, cand) AS greedy_before,
           first(cand ORDER BY logit DESC, cand) FILTER (NOT blocked) AS greedy_after FROM s GROUP BY 1, 2""",
     "cand_masked_pick": f"""WITH {LEX8}, {BIGRAMS}, {BLOCKED}, s AS ({softmax('marked')})

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.spans import distinct_spans
 from ..session import lookup_join as lookup
-from ..session import spread
+from ..session import spread, written
 
 LEXICON8 = ("clown", "disgusting", "idiot", "moron", "pathetic", "stupid", "trash", "worthless")
 END_PIECE = "</s>"
@@ -28,11 +28,17 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def docs_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with phones and cards in hyphenated form, half of the phones cut to the shorter
     identifier."""
-    text = F.col("text")
-    phones = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(text, _PHONE, "$1-$2-$3")).otherwise(
-        F.regexp_replace(text, _PHONE, "$1-55-$3")
+    text, even = F.col("text"), F.col("doc_id") % 2 == 0
+    rewritten = F.regexp_replace(
+        F.when(even, F.regexp_replace(text, _PHONE, "$1-$2-$3")).otherwise(
+            F.regexp_replace(text, _PHONE, "$1-55-$3")
+        ),
+        _CARD,
+        "$1$2-$3-$4-$5$6",
     )
-    return documents(spark, sf_dir).select("doc_id", F.regexp_replace(phones, _CARD, "$1$2-$3-$4-$5$6").alias("text"))
+    # Most texts hold neither form; two cheap tests save the rewriting.
+    touched = F.contains(text, F.lit("+1 (")) | text.rlike("[0-9]{16}")
+    return documents(spark, sf_dir).select("doc_id", F.when(touched, rewritten).otherwise(text).alias("text"))
 
 
 def lexicon8(spark: SparkSession) -> DataFrame:
@@ -83,9 +89,10 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct non-empty words of documents."""
+    """Distinct non-empty words of documents, written once: every reader would scan the corpus again."""
     words = F.array_distinct(F.split("text", " ", -1))
-    return documents(spark, sf_dir).select(F.explode(words).alias("piece")).filter("piece <> ''").distinct()
+    pieces = documents(spark, sf_dir).select(F.explode(words).alias("piece")).filter("piece <> ''").distinct()
+    return written(pieces, "vocabulary")
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,18 +111,18 @@ def candidates(spark: SparkSession, sf_dir: str, min_successors: int = 5) -> Dat
         .groupBy(F.col("p.c").alias("seq_id"), F.col("p.s").alias("cand"))
         .agg(F.count("*").alias("n"))
     )
-    contexts = counted.groupBy("seq_id").agg(F.count("*").alias("k")).filter(F.col("k") >= min_successors)
-    steps = counted.join(contexts, "seq_id").select(
-        "seq_id", F.lit(0).alias("step"), "cand", F.ln("n").alias("logit"), F.lit(False).alias("is_eos")
-    )
-    ends = contexts.select(
-        "seq_id",
-        F.lit(0).alias("step"),
-        F.lit(END_PIECE).alias("cand"),
-        F.lit(0.0).alias("logit"),
-        F.lit(True).alias("is_eos"),
+    # The counted pairs move to their context once; the end marker rides on its first successor.
+    of_context = Window.partitionBy("seq_id")
+    known = F.when(F.col("cand") != END_PIECE, F.col("cand"))
+    stepped = (
+        counted.withColumn("k", F.count("*").over(of_context))
+        .withColumn("first", F.min(known).over(of_context))
+        .filter((F.col("k") >= min_successors) & (F.col("cand") != END_PIECE))
     )
-    return steps.filter(F.col("cand") != END_PIECE).unionByName(ends)
+    scored = F.struct(F.col("cand").alias("cand"), F.ln("n").alias("logit"), F.lit(False).alias("is_eos"))
+    end = F.struct(F.lit(END_PIECE).alias("cand"), F.lit(0.0).alias("logit"), F.lit(True).alias("is_eos"))
+    rows = F.when(F.col("cand") == F.col("first"), F.array(scored, end)).otherwise(F.array(scored))
+    return stepped.select("seq_id", F.lit(0).alias("step"), F.explode(rows).alias("r")).select("seq_id", "step", "r.*")
 
 
 def nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
