@@ -28,7 +28,7 @@ LITERAL_TERMS = 4096
 # Up to this many terms, which of them a text holds is tested term by term.
 LISTED_TERMS = 64
 # Long texts are cut into blocks of this many characters before character grams are made.
-BLOCK_CHARS = 256
+BLOCK_CHARS = 4096
 
 
 @dataclass(frozen=True)
@@ -169,19 +169,25 @@ def _char_gram_hits(docs: DataFrame, lex: Lexicon, key, subject: Column, positio
     if not levels:
         return docs.select(*keys, F.lit("").alias("term"), F.lit(0).alias("start")).limit(0)
 
-    width, at = F.col("_width"), F.col("_i")
-    n = F.length("_block") - width + 1
+    # A look-ahead captures the window at every character: from the anchor's width up to the longest
+    # term of the level. One pattern per level; the compiled one is kept from row to row.
+    table = F.array(
+        *[
+            F.struct(F.lit(1 << j).alias("_width"), F.lit(f"(?s)(?=(.{{{1 << j},{(2 << j) - 1}}})).").alias("_re"))
+            for j in levels
+        ]
+    )
     blocks = docs.select(*keys, F.explode(_blocks(subject, longest - 1)).alias("_b")).select(*keys, "_b.*")
-    leveled = blocks.select(*keys, "_at", "_block", F.explode(F.array(*[F.lit(1 << j) for j in levels])).alias("_width"))
-    # The generators, the anchor and a broadcast join run in one generated loop: the block is read
-    # in place and the window is cut only behind a matching anchor.
-    starts = leveled.select("*", F.explode(F.when(n > 0, F.sequence(F.lit(1), n))).alias("_i"))
-    probes = starts.select(
-        *keys,
-        *([(F.col("_at") + at - 1).alias("start")] if positions else []),
-        F.substring(F.col("_block"), at, width).alias("anchor"),
-        F.substring(F.col("_block"), at, 2 * width - 1).alias("window"),
+    leveled = blocks.select(*keys, "_at", "_block", F.explode(table).alias("_l")).select(
+        *keys, "_at", "_block", "_l._width", "_l._re"
     )
+    windows = F.regexp_extract_all(F.col("_block"), F.col("_re"), F.lit(1))
+    if positions:
+        cut = leveled.select(*keys, "_at", "_width", F.posexplode(windows).alias("_i", "window"))
+        cut = cut.withColumn("start", F.col("_at") + F.col("_i")).drop("_at", "_i")
+    else:
+        cut = leveled.select(*keys, "_width", F.explode(F.array_distinct(windows)).alias("window"))
+    probes = cut.withColumn("anchor", F.left("window", F.col("_width"))).drop("_width")
     found = lookup_join(probes, lex.terms.select(anchor.alias("anchor"), "term"), "anchor")
     found = found.filter(F.startswith("window", "term"))
     if not positions:

@@ -25,16 +25,14 @@ def read_lexicon_lines(spark: SparkSession, path: str) -> DataFrame:
     return lexicon_lines(spark.read.text(path))
 
 
-def _present(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths that exist, seen through the file system Spark reads from."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path_class = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-
-    def exists(path: str) -> bool:
-        p = path_class(path)
-        return p.getFileSystem(conf).exists(p)
-
-    return [p for p in paths if exists(p)]
+def _listed(spark: SparkSession, path: str, pattern: str | None = None) -> list[tuple[str, int]]:
+    """(path, length) of a path, or of the files of a folder that match a glob, seen through the
+    file system Spark reads from. Spark's own sources leave empty files out."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = hadoop_path(path) if pattern is None else hadoop_path(path, pattern)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    files = [f for f in found or [] if pattern is None or f.isFile()]
+    return [(f.getPath().toString(), f.getLen()) for f in files]
 
 
 def read_json_lexicons(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +40,7 @@ def read_json_lexicons(spark: SparkSession, paths: list[str]) -> tuple[DataFrame
 
     ``rejects`` (file, error) names missing files and payloads that are no array.
     """
-    present = _present(spark, paths)
+    present = [p for p in paths if _listed(spark, p)]
     missing = [(p, "File not found") for p in paths if p not in present]
     rejects = spark.createDataFrame(missing, "file STRING, error STRING")
     if not present:
@@ -79,18 +77,12 @@ def read_evaluation_lexicon(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(file, length) of every matching file below ``root``, sorted; empty files too. Contents are
-    not read. Raises when nothing matches."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select(F.col("path").alias("file"), "length")
-        .orderBy("file")
-    )
-    if files.isEmpty():
+    """(file, length) of every matching file directly below ``root``, sorted; empty files too.
+    Contents are not read. Raises when nothing matches."""
+    found = sorted(_listed(spark, root, pattern))
+    if not found:
         raise FileNotFoundError(f"No files matched: {root}/{pattern}")
-    return files
+    return spark.createDataFrame(found, "file STRING, length BIGINT")
 
 
 def read_records(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:

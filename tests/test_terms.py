@@ -1,0 +1,120 @@
+"""Lexicon matching: three presets, two ways each, against plain Python."""
+
+import random
+
+import pytest
+
+from fenceline.operators import constraints as K
+from fenceline.operators import terms as T
+from fenceline import session
+
+
+def docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING").repartition(8)
+
+
+def words(spark, terms):
+    return spark.createDataFrame([(t,) for t in terms], "term STRING")
+
+
+def inside(preset, term, text):
+    if preset == T.ENFORCE:
+        return term in text
+    if preset == T.SELECT:
+        return f" {term.lower()} " in text.lower()
+    return f" {term.strip().lower()} " in text
+
+
+@pytest.mark.parametrize("preset", [T.ENFORCE, T.SELECT, T.EVAL])
+@pytest.mark.parametrize("bound", [4096, 3, 0])
+def test_against_python(spark, preset, bound, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_CHARS", 8)
+    rng = random.Random(3)
+    terms = ["a", "ab", "b a", "aB", "ba b", "cab", "a.b", "b  a", "é😀", "abcabcabc", "c?"]
+    bits = ["a", "b", "c", " ", "B", "A", ".", "é", "😀", "?", "\n", "abc"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    lex = T.lexicon(words(spark, terms + ["a"]), preset, bound)
+    assert (lex.literals is None) == (bound < len(terms))
+    got = {(r["doc_id"], r["term"]) for r in T.hits(docs(spark, texts), lex).collect()}
+    norm = {T.ENFORCE: lambda t: t, T.SELECT: str.lower, T.EVAL: lambda t: t.strip().lower()}[preset]
+    want = {(i, norm(w)) for i, t in enumerate(texts) for w in terms if inside(preset, w, t)}
+    assert got == want
+    ids = {i for i, _ in want}
+    assert {r["doc_id"] for r in T.containing(docs(spark, texts), lex).collect()} == ids
+    assert {r["doc_id"] for r in T.without(docs(spark, texts), lex).collect()} == set(range(len(texts))) - ids
+
+
+def test_many_listed_terms(spark):
+    """More terms than are tested one by one, within the literal bound."""
+    terms = [f"t{i}x" for i in range(200)]
+    texts = [f"see t{i}x and t{i + 1}x" for i in range(0, 400, 3)]
+    lex = T.lexicon(words(spark, terms), T.ENFORCE)
+    got = {(r["doc_id"], r["term"]) for r in T.hits(docs(spark, texts), lex).collect()}
+    assert got == {(i, w) for i, t in enumerate(texts) for w in terms if w in t}
+
+
+def test_salted_join(spark, monkeypatch):
+    """A lexicon beyond the broadcast bound, and one anchor that every text holds many times."""
+    monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 3)
+    terms = ["hot stuff", "hot", "cold", "warm", "hotter"]
+    texts = ["hot " * 50 + f"stuff {i}" for i in range(60)] + ["cold hotter", "nothing"]
+    lex = T.lexicon(words(spark, terms), T.ENFORCE, 0)
+    df = T.hits(docs(spark, texts), lex)
+    assert "_salt" in df._jdf.queryExecution().toString()
+    assert {(r["doc_id"], r["term"]) for r in df.collect()} == {
+        (i, w) for i, t in enumerate(texts) for w in terms if w in t
+    }
+
+
+def test_presets_differ(spark):
+    texts = ["a bad day", "a BAD day", "xBady", "Bad day"]
+    want = {T.SELECT: {0, 1}, T.EVAL: {0}, T.ENFORCE: {2, 3}}
+    for preset, ids in want.items():
+        lex = T.lexicon(words(spark, ["Bad"]), preset)
+        assert {r["doc_id"] for r in T.containing(docs(spark, texts), lex).collect()} == ids
+
+
+def test_occurrences(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK_CHARS", 5)
+    text, terms = "abababa😀abab", ["aba", "b", "abab", "a😀"]
+    lex = T.lexicon(words(spark, terms), T.ENFORCE, 0)
+    got = {(r["term"], r["start"]) for r in T.occurrences(docs(spark, [text]), lex, ["doc_id"]).collect()}
+    assert got == {(w, i) for w in terms for i in range(len(text)) if text.startswith(w, i)}
+
+
+def test_redundant_and_minimal(spark):
+    terms = ["he", "she", "his", "hers", "ushers"]
+    for bound in (100, 0):
+        got = {tuple(r) for r in T.redundant_terms(words(spark, terms), bound).collect()}
+        assert got == {(a, b) for a in terms for b in terms if a != b and b in a}
+        assert {r[0] for r in T.minimal_terms(words(spark, terms), bound).collect()} == {"he", "his"}
+
+
+def test_empty_lexicon(spark):
+    for preset in (T.ENFORCE, T.SELECT, T.EVAL):
+        lex = T.lexicon(words(spark, []), preset)
+        assert T.containing(docs(spark, ["a b c"]), lex).count() == 0
+        assert T.without(docs(spark, ["a b c"]), lex).count() == 1
+        assert T.hits(docs(spark, ["a b c"]), lex).count() == 0
+
+
+def test_any_of():
+    import re
+
+    rng = random.Random(5)
+    for _ in range(200):
+        pool = ["".join(rng.choice("ab.") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 8))]
+        matcher = re.compile(T.any_of(pool))
+        for word in pool:
+            assert matcher.fullmatch(word)
+        assert not matcher.fullmatch("zz")
+
+
+def test_constraint_table(spark):
+    rows = [("w1", 0, "term", "bad", -1.0), ("w2", 1, "term", "badger", -2.0), ("r1", 2, "regex", "[0-9]{3}", -4.0)]
+    constraints = spark.createDataFrame(rows, K.CONSTRAINTS)
+    df = docs(spark, ["a badger 123", "bad", "12", "999"])
+    got = {(r["doc_id"], r["constraint_id"]) for r in K.hits(df, constraints).collect()}
+    assert got == {(0, "w1"), (0, "w2"), (0, "r1"), (1, "w1"), (3, "r1")}
+    merged = {r["doc_id"]: (r["n_violated"], r["penalty"]) for r in K.merged(df, constraints).collect()}
+    assert merged == {0: (3, -7.0), 1: (1, -1.0), 3: (1, -4.0)}
