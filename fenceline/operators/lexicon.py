@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import MARKER_WORDS, SPACE_MARKERS
-from ..session import lookup_join
+from ..session import lookup_join, written
 from . import terms as T
 
 
@@ -53,14 +53,9 @@ def forbidden_states(terms: DataFrame) -> DataFrame:
     return lookup_join(ends, terms.select("term").distinct(), "term", "left_semi").select("state").distinct()
 
 
-def clean_states(terms: DataFrame) -> DataFrame:
-    """States that hold no whole term: those a sequence without a violation can be in."""
-    lex = T.lexicon(T.minimal_terms(terms), T.ENFORCE)
-    nodes = states(terms).select("state")
-    return T.without(nodes.withColumn("text", F.col("state")), lex, key="state").select("state")
-
-
-def state_table(terms: DataFrame, vocabulary: DataFrame, end_piece: str | None = None) -> DataFrame:
+def state_table(
+    terms: DataFrame, vocabulary: DataFrame, end_piece: str | None = None, literal_terms: int = T.LITERAL_TERMS
+) -> DataFrame:
     """(state, piece, next_state, blocked) for every violation-free state and every piece, sparse.
 
     Each piece has a row for the empty state. A pair that is not listed behaves like that row:
@@ -69,29 +64,23 @@ def state_table(terms: DataFrame, vocabulary: DataFrame, end_piece: str | None =
     NULL where the pair is blocked. ``end_piece`` is never blocked.
     """
     term, state, piece = F.col("term"), F.col("state"), F.col("piece")
-    minimal = T.minimal_terms(terms)
-    nodes = clean_states(terms)
+    lex = T.lexicon(T.minimal_terms(terms, literal_terms), T.ENFORCE, literal_terms)
+    minimal = lex.terms
+    nodes = written(T.without(states(terms), lex, key="state", text="state").select("state"), "states")
     pieces = vocabulary.select("piece").filter(piece != "").distinct()
-    if end_piece is not None:
-        scanned = pieces.filter(piece != end_piece)
-    else:
-        scanned = pieces
-    lex = T.lexicon(minimal, T.ENFORCE)
-
-    # What a piece does on its own: a term inside it, else the longest suffix that is a state.
-    inside = T.hits(scanned.withColumn("text", piece), lex, key="piece").select("piece").distinct()
-    ends = pieces.select("piece", F.explode(_suffixes(piece, 1, F.length("piece"))).alias("state"))
-    longest = (
-        lookup_join(ends, nodes, "state", "left_semi").groupBy("piece").agg(F.max(F.length("state")).alias("n"))
-    )
-    own = (
-        pieces.join(longest, "piece", "left")
-        .join(inside.withColumn("_inside", F.lit(True)), "piece", "left")
-        .select(
-            "piece",
-            F.coalesce("_inside", F.lit(False)).alias("inside"),
-            F.right(piece, F.coalesce("n", F.lit(0))).alias("alone"),
-        )
+    scanned = pieces if end_piece is None else pieces.filter(piece != end_piece)
+    clean = T.without(scanned, lex, key="piece", text="piece")
+
+    # What a piece does on its own: a term inside it, else the longest suffix that is a state. The
+    # empty suffix always is one, so every piece has a row.
+    ends = pieces.select("piece", F.explode(_suffixes(piece, 0, F.length("piece"))).alias("state"))
+    longest = lookup_join(ends, nodes, "state", "left_semi").groupBy("piece").agg(F.max(F.length("state")).alias("n"))
+    inside = F.col("_inside") if end_piece is None else F.col("_inside") & (piece != end_piece)
+    root = T.flagged(longest, lex, "_inside", key="piece", text="piece").select(
+        F.lit("").alias("state"),
+        "piece",
+        F.when(~inside, F.right(piece, F.col("n"))).alias("next_state"),
+        inside.alias("blocked"),
     )
 
     # Suffixes a state can lend to the start of a straddling match.
@@ -110,15 +99,16 @@ def state_table(terms: DataFrame, vocabulary: DataFrame, end_piece: str | None =
     # Pieces meet the remainders first and states second, so every joined pair is a result row.
     term_parts = minimal.select(F.explode(split(term)).alias("_p")).select("_p.*")
     reach = minimal.agg(F.max(F.length("term"))).first()[0] or 0
-    starts = scanned.select(
+    starts = clean.select(
         "piece",
         F.explode(_prefixes(piece, 1, F.least(F.length("piece"), F.lit(reach)))).alias("tail"),
     )
-    completing = lookup_join(starts, term_parts, "tail").select("head", "piece").distinct()
+    completing = lookup_join(starts, term_parts, "tail").select("head", "piece")
     blocked = lookup_join(completing, lent, "head").select("state", "piece").distinct()
 
     node_parts = nodes.select(F.explode(split(state)).alias("_p")).select("_p.head", F.col("_p.tail").alias("piece"))
-    growing = lookup_join(pieces, node_parts, "piece")
+    grown = clean if end_piece is None else clean.unionByName(pieces.filter(piece == end_piece))
+    growing = lookup_join(grown, node_parts, "piece")
     longer = (
         lookup_join(growing, lent, "head")
         .groupBy("state", "piece")
@@ -127,22 +117,13 @@ def state_table(terms: DataFrame, vocabulary: DataFrame, end_piece: str | None =
     special = (
         blocked.withColumn("_hit", F.lit(True))
         .join(longer, ["state", "piece"], "full")
-        .select("state", "piece", F.coalesce("_hit", F.lit(False)).alias("_hit"), "n")
-        .join(own, "piece")
-        .filter(~F.col("inside"))
         .select(
             "state",
             "piece",
-            F.when(~F.col("_hit"), F.right(F.concat("state", "piece"), F.col("n"))).alias("next_state"),
-            F.col("_hit").alias("blocked"),
+            F.when(F.col("_hit").isNull(), F.right(F.concat("state", "piece"), F.col("n"))).alias("next_state"),
+            F.coalesce("_hit", F.lit(False)).alias("blocked"),
         )
     )
-    root = own.select(
-        F.lit("").alias("state"),
-        "piece",
-        F.when(~F.col("inside"), F.col("alone")).alias("next_state"),
-        F.col("inside").alias("blocked"),
-    )
     return root.unionByName(special)
 
 
@@ -152,13 +133,8 @@ def blocked_alone(vocabulary: DataFrame, lex: T.Lexicon | None = None, patterns=
     by_pattern = P.has_match(F.col("piece"), patterns) if patterns else F.lit(False)
     if lex is None:
         by_term = pieces.withColumn("by_term", F.lit(False))
-    elif lex.literals:
-        by_term = pieces.withColumn("by_term", F.col("piece").rlike(T.term_pattern(lex).completing))
     else:
-        hit = T.hits(pieces.withColumn("text", F.col("piece")), lex, key="piece").select("piece").distinct()
-        by_term = pieces.join(hit.withColumn("_hit", F.lit(True)), "piece", "left").select(
-            "piece", F.coalesce("_hit", F.lit(False)).alias("by_term")
-        )
+        by_term = T.flagged(pieces, lex, "by_term", key="piece", text="piece")
     return by_term.withColumn("by_pattern", by_pattern).filter("by_term OR by_pattern")
 
 

@@ -95,22 +95,20 @@ def output_name(dataset: Column, model: Column, batch_size: Column, seed: Column
 def judged(generations: DataFrame, lexicon: T.Lexicon, patterns=P.PII) -> DataFrame:
     """Add ``hit``: whether the answer behind its prompt violates under the mode of its file.
 
-    Regex rows need no key. Term rows of a lexicon beyond the literal bound are matched by
-    (file, idx).
+    Rows are identified by (file, idx) when the lexicon is beyond the literal bound.
     """
     rows = generations.withColumn("_mode", mode(F.col("file"))).withColumn(
         "_answer", strip_prompt(F.col("prompt"), F.col("output"))
     )
+    keyed = rows.withColumn("_key", F.struct("file", "idx"))
+    flagged = T.flagged(keyed, lexicon, "_term_hit", "_key", "_answer")
     regex_hit = F.coalesce(P.has_match(F.col("_answer"), patterns), F.lit(False))
-    if lexicon.literals is not None:
-        term_hit = T.any_literal(lexicon, F.col("_answer"))
-    else:
-        keyed = rows.withColumn("_key", F.struct("file", "idx"))
-        found = T.hits(keyed.filter(F.col("_mode") == TERM_MODE), lexicon, "_key", "_answer").select("_key").distinct()
-        rows = keyed.join(found.withColumn("_found", F.lit(True)), "_key", "left")
-        term_hit = F.coalesce("_found", F.lit(False))
-    hit = F.when(F.col("_mode") == REGEX_MODE, regex_hit).when(F.col("_mode") == TERM_MODE, term_hit).otherwise(False)
-    return rows.withColumn("hit", hit).select(*generations.columns, "hit")
+    hit = (
+        F.when(F.col("_mode") == REGEX_MODE, regex_hit)
+        .when(F.col("_mode") == TERM_MODE, F.col("_term_hit"))
+        .otherwise(False)
+    )
+    return flagged.withColumn("hit", hit).select(*generations.columns, "hit")
 
 
 def violation_report(files: DataFrame, generations: DataFrame, lexicon: T.Lexicon, patterns=P.PII) -> DataFrame:

@@ -10,8 +10,11 @@ from ..functions import patterns as P
 
 def eligible(docs: DataFrame, text: str = "text", patterns=P.PII) -> DataFrame:
     """Documents with a match whose prompt (text before it) has a usable length."""
-    cut = F.instr(F.col(text), P.leftmost(F.col(text), patterns)) - 1
-    return docs.filter(cut.between(P.MIN_PROMPT, P.MAX_PROMPT))
+    body = F.col(text)
+    cut = F.instr(body, F.regexp_extract(body, P.alternation(patterns), 0)) - 1
+    # Through the array the cut is computed once for both bounds, and only behind a match.
+    fits = F.exists(F.array(cut), lambda n: n.between(P.MIN_PROMPT, P.MAX_PROMPT))
+    return docs.filter(P.has_match(body, patterns) & fits)
 
 
 def violating(docs: DataFrame, text: str = "text", patterns=P.PII) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import Pattern
 from ..functions.text import quote, strip
-from ..session import lookup_join
+from ..session import lookup_join, text_rows, written
 
 ENFORCE, SELECT, EVAL = "ENFORCE", "SELECT", "EVAL"
 LITERAL_TERMS = 4096
@@ -53,8 +53,11 @@ def lexicon(terms: DataFrame, preset: str, literal_terms: int = LITERAL_TERMS) -
     else:
         raise ValueError(f"unknown preset: {preset}")
     prepared = prepared.filter(term.isNotNull()).distinct()
-    first = [r["term"] for r in prepared.limit(literal_terms + 1).collect()]
-    return Lexicon(preset, prepared, tuple(sorted(first)) if len(first) <= literal_terms else None)
+    first = sorted(r["term"] for r in prepared.limit(literal_terms + 1).collect())
+    if len(first) <= literal_terms:
+        return Lexicon(preset, text_rows(terms.sparkSession, first, "term"), tuple(first))
+    # The terms are read for their lengths, for the size check and for the join.
+    return Lexicon(preset, written(prepared, "lexicon"), None)
 
 
 def _subject(lex: Lexicon, text: Column) -> Column:
@@ -63,7 +66,10 @@ def _subject(lex: Lexicon, text: Column) -> Column:
 
 def _regex(lex: Lexicon) -> str:
     body = any_of(lex.literals)
-    return body if lex.preset == ENFORCE else f" {body} "
+    if lex.preset != ENFORCE:
+        return f" {body} "
+    starts = "".join(sorted({quote(t[0]) for t in lex.literals}))
+    return f"(?=[{starts}]){body}"
 
 
 def any_of(words) -> str:
@@ -81,11 +87,23 @@ def any_of(words) -> str:
 
 
 def any_literal(lex: Lexicon, text: Column) -> Column:
+    """Whether a text holds a term, for a lexicon within the literal bound."""
     if not lex.literals:
         return F.lit(False)
+    if lex.preset == ENFORCE and len(lex.literals) <= LISTED_TERMS:
+        table = F.array(*[F.lit(t) for t in lex.literals])
+        return F.coalesce(F.exists(table, lambda t: F.contains(text, t)), F.lit(False))
     return F.coalesce(_subject(lex, text).rlike(_regex(lex)), F.lit(False))
 
 
+def flagged(docs: DataFrame, lex: Lexicon, out: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add ``out``: whether the text holds a term. ``key`` must identify a row."""
+    if lex.literals is not None:
+        return docs.withColumn(out, any_literal(lex, F.col(text)))
+    found = hits(docs, lex, key, text).select(key).distinct().withColumn("_found", F.lit(True))
+    return docs.join(found, key, "left").withColumn(out, F.coalesce("_found", F.lit(False))).drop("_found")
+
+
 def containing(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows whose text contains a term. ``key`` must identify a row."""
     if lex.literals is not None:
@@ -142,7 +160,7 @@ def _word_gram_hits(docs: DataFrame, lex: Lexicon, key: str, subject: Column) ->
     table = docs.select(key, inner.alias("_t")).filter("_t IS NOT NULL")
     every = F.concat(*[grams(k) for k in sorted(sizes)])
     exploded = table.select(key, F.explode(F.array_distinct(every)).alias("term"))
-    return lookup_join(exploded, lex.terms, "term").select(key, "term")
+    return lookup_join(exploded, lex.terms, "term", small=lex.literals is not None).select(key, "term")
 
 
 def _blocks(subject: Column, overlap: int) -> Column:
@@ -188,7 +206,8 @@ def _char_gram_hits(docs: DataFrame, lex: Lexicon, key, subject: Column, positio
     else:
         cut = leveled.select(*keys, "_width", F.explode(F.array_distinct(windows)).alias("window"))
     probes = cut.withColumn("anchor", F.left("window", F.col("_width"))).drop("_width")
-    found = lookup_join(probes, lex.terms.select(anchor.alias("anchor"), "term"), "anchor")
+    anchored = lex.terms.select(anchor.alias("anchor"), "term")
+    found = lookup_join(probes, anchored, "anchor", small=lex.literals is not None)
     found = found.filter(F.startswith("window", "term"))
     if not positions:
         return found.select(*keys, "term")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.spans import distinct_spans
+from ..functions.patterns import all_matches
 from ..session import lookup_join as lookup
-from ..session import spread, written
+from ..session import spread, text_rows, written
 
 LEXICON8 = ("clown", "disgusting", "idiot", "moron", "pathetic", "stupid", "trash", "worthless")
 END_PIECE = "</s>"
@@ -42,7 +42,7 @@ def docs_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon8(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in LEXICON8], "term STRING")
+    return text_rows(spark, LEXICON8, "term")
 
 
 def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,8 @@ def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_terms(docs: DataFrame) -> DataFrame:
-    return distinct_spans(docs).select(F.col("span").alias("term"))
+    found = docs.select(F.explode(all_matches(F.col("text"))).alias("term"))
+    return found.distinct()
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,7 +174,7 @@ def generations(docs: DataFrame) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of the generations and one file without rows."""
     named = table(spark, sf_dir, "documents").select(_file_name().alias("file")).distinct()
-    return named.unionByName(spark.createDataFrame([("ours_Enron_phi_4_16_42.jsonl",)], "file STRING"))
+    return named.unionByName(text_rows(spark, ["ours_Enron_phi_4_16_42.jsonl"], "file"))
 
 
 def run_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,15 +61,23 @@ def fits_broadcast(df: DataFrame) -> bool:
     return row["n"] <= BROADCAST_MAX_ROWS and row["b"] <= BROADCAST_MAX_BYTES
 
 
-def lookup_join(facts: DataFrame, lookup: DataFrame, on: str, how: str = "inner") -> DataFrame:
+def text_rows(spark: SparkSession, values, column: str) -> DataFrame:
+    """A few driver-side strings as a table that is part of the plan."""
+    table = F.array(*[F.lit(v) for v in values]).cast("array<string>")
+    return spark.range(1).select(F.explode(table).alias(column))
+
+
+def lookup_join(
+    facts: DataFrame, lookup: DataFrame, on: str, how: str = "inner", small: bool = False
+) -> DataFrame:
     """Equi-join of a large, possibly skewed side with a lexicon-like side.
 
-    A lookup within the broadcast bound is broadcast. A larger one is joined by shuffle with
+    A lookup within the broadcast bound is broadcast (``small`` says that its size is known). A larger one is joined by shuffle with
     salted keys, so one hot key of ``facts`` is spread over ``SALTS`` tasks.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    if fits_broadcast(lookup):
+    if small or fits_broadcast(lookup):
         return facts.join(F.broadcast(lookup), on, how)
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -10,6 +10,11 @@ from ..functions.fields import answer_text, prompt_text
 from ..functions.text import strip
 
 
+def source_path() -> Column:
+    """Path of the file a row was read from, as the file listing names it."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def corpus(spark: SparkSession, path: str, schema: str | None = None, format: str = "parquet") -> DataFrame:
     reader = spark.read.format(format)
     return (reader.schema(schema) if schema else reader).load(path)
@@ -47,7 +52,7 @@ def read_json_lexicons(spark: SparkSession, paths: list[str]) -> tuple[DataFrame
         return spark.createDataFrame([], schemas.LEXICON), rejects
     payload = (
         spark.read.text(present, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("v"))
+        .select(source_path().alias("file"), F.parse_json("value").alias("v"))
         .withColumn("items", F.try_variant_get("v", "$", "array<variant>"))
     )
     terms = (
@@ -88,7 +93,7 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Data
 def read_records(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """(file, record VARIANT) of every non-blank line; a malformed line fails the query."""
     lines = spark.read.option("pathGlobFilter", pattern).text(root)
-    return lines.select(F.col("_metadata.file_path").alias("file"), strip(F.col("value")).alias("value")).filter(
+    return lines.select(source_path().alias("file"), strip(F.col("value")).alias("value")).filter(
         "value <> ''"
     ).select("file", F.parse_json("value").alias("record"))
 

@@ -31,11 +31,11 @@ def test_states_and_links(spark):
 
 def test_state_table(spark):
     rng = random.Random(7)
-    for terms in (TERMS, ["ab", "bab", "aa", "cabb"], ["abc", "bcd", "cc"]):
+    for terms, bound in ((TERMS, 99), (["ab", "bab", "aa", "cabb"], 99), (["abc", "bcd", "cc"], 99), (TERMS, 0)):
         letters = sorted(set("".join(terms)))
         pieces = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(60)} | {"</s>"}
         vocabulary = spark.createDataFrame([(p,) for p in pieces], "piece STRING")
-        rows = L.state_table(words(spark, terms), vocabulary, "</s>").collect()
+        rows = L.state_table(words(spark, terms), vocabulary, "</s>", bound).collect()
         assert len({(r["state"], r["piece"]) for r in rows}) == len(rows)
         table = {(r["state"], r["piece"]): (r["blocked"], r["next_state"]) for r in rows}
         states = {s for s in prefixes(terms) if not any(t in s for t in terms)}

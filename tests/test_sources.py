@@ -52,7 +52,7 @@ def test_json_lexicon_sink(spark, tmp_path):
 
 
 def test_evaluation_round_trip(spark, tmp_path):
-    root = tmp_path / "result"
+    root = tmp_path / "my +%20result"
     root.mkdir()
     (root / "ours_Enron_phi_4_1_42.jsonl").write_text(
         '{"idx": 0, "prompt": "Hi", "output": "Hi 123-45-6789"}\n\n  {"idx": 1, "input": "x", "answer": {"text": "ü"}} \n',
