@@ -33,16 +33,16 @@ def quote(literal: str) -> str:
 
 
 # White space as Python's ``str.strip`` and ``\\s`` see it: Unicode plus four separators.
-_WS = r"[\s\x1c-\x1f]"
+WS = r"[\s\x1c-\x1f]"
 
 
 def rstrip(c: Column) -> Column:
     # The look-behind keeps long inner runs of white space from being rescanned.
-    return F.regexp_replace(c, rf"(?U)(?<!{_WS}){_WS}+\z", "")
+    return F.regexp_replace(c, rf"(?U)(?<!{WS}){WS}+\z", "")
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{_WS}+", "")
+    return F.regexp_replace(c, rf"(?U)\A{WS}+", "")
 
 
 def strip(c: Column) -> Column:
@@ -61,7 +61,7 @@ def strip_prompt(prompt: Column, answer: Column) -> Column:
     """The answer without the prompt it repeats, looking behind leading end markers."""
     cleaned = answer
     for marker in END_MARKERS:
-        cleaned = F.regexp_replace(cleaned, rf"(?U)\A(?:{_WS}*{quote(marker)}{_WS}*)+", "")
+        cleaned = F.regexp_replace(cleaned, rf"(?U)\A(?:{WS}*{quote(marker)}{WS}*)+", "")
     trimmed, short = lstrip(cleaned), rstrip(prompt)
     return (
         F.when((prompt == "") | (answer == ""), answer)

@@ -127,6 +127,37 @@ def state_table(
     return root.unionByName(special)
 
 
+def state_of(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``state``: the longest suffix of a text that is a violation-free state. ``text`` must not
+    hold a term; equal texts share one look-up."""
+    nodes = states(terms).select("state")
+    reach = terms.agg(F.max(F.length("term"))).first()[0] or 0
+    body = F.col(text)
+    ends = texts.select(text).distinct().select(
+        text, F.explode(_suffixes(body, 0, F.least(F.length(body), F.lit(reach)))).alias("state")
+    )
+    found = lookup_join(ends, nodes, "state", "left_semi").groupBy(text).agg(F.max(F.length("state")).alias("_n"))
+    return texts.join(found, text).withColumn("state", F.right(body, F.col("_n"))).drop("_n")
+
+
+def with_mask(candidates: DataFrame, table: DataFrame, end_piece: str | None = None) -> DataFrame:
+    """Add ``blocked`` and ``next_state`` to candidates (state, piece) from a :func:`state_table`.
+
+    A pair without a row of its own takes the row of the piece; a piece outside the vocabulary is
+    not blocked.
+    """
+    own = table.filter("state <> ''").select(
+        "state", "piece", F.struct("blocked", "next_state").alias("_own")
+    )
+    root = table.filter("state = ''").select("piece", F.struct("blocked", "next_state").alias("_root"))
+    taken = F.coalesce("_own", "_root")
+    joined = lookup_join(lookup_join(candidates, root, "piece", "left"), own, ["state", "piece"], "left")
+    blocked = F.coalesce(taken["blocked"], F.lit(False))
+    if end_piece is not None:
+        blocked = blocked & (F.col("piece") != end_piece)
+    return joined.withColumn("blocked", blocked).withColumn("next_state", taken["next_state"]).drop("_own", "_root")
+
+
 def blocked_alone(vocabulary: DataFrame, lex: T.Lexicon | None = None, patterns=P.PII) -> DataFrame:
     """(piece, by_term, by_pattern): pieces that hold a whole violation."""
     pieces = vocabulary.select("piece").distinct()

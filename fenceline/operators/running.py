@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 # Rows of a sequence ordered in one task.
 CELL = 4096
-# Cells of a whole table; their totals are at most this many rows.
-TABLE_CELLS = 4096
+# A whole table is cut into at most FAN * FAN cells of about equal size.
+FAN = 64
 
 
 def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, out: str, cell: int = CELL) -> DataFrame:
@@ -26,26 +26,36 @@ def position(df: DataFrame, keys: list[str], order: str, out: str = "pos", cell:
     return running_sum(df, keys, order, F.lit(1), out, cell)
 
 
-def batches(df: DataFrame, order: str, size: int, cells: int = TABLE_CELLS) -> DataFrame:
+def batches(df: DataFrame, order: str, size: int, fan: int = FAN) -> DataFrame:
     """Add ``idx`` (0-based dense index over the table) and ``batch_id`` (``size`` rows each).
 
-    ``order`` is an integer column, unique over the table. Its range is cut into equal cells; the
-    cells are a function of the value alone, so a recomputed task assigns the same index.
+    ``order`` is an integer column, unique over the table. Approximate quantiles cut it into cells of
+    about equal size, whatever its distribution; the cell is a function of the value alone, so a
+    recomputed task assigns the same index.
     """
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) // cells))
-    cell = F.floor((F.col(order) - F.lit(low if low is not None else 0)) / width)
-    indexed = _running(df, [], order, F.lit(1), "idx", cell)
+    steps = [i / fan**2 for i in range(fan**2)]
+    bounds = df.agg(F.percentile_approx(order, steps, 10 * fan**2)).first()[0] or [0]
+    indexed = _running(df, [], order, F.lit(1), "idx", _cell(F.col(order), sorted(set(bounds)), fan))
     return indexed.withColumn("batch_id", F.floor(F.col("idx") / size))
 
 
+def _cell(value: Column, bounds: list[int], fan: int) -> Column:
+    """Number of bounds up to ``value``, found in a group of bounds and then inside the group."""
+    groups = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
+    firsts = F.array(*[F.lit(g[0]) for g in groups])
+    members = F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups])
+    group = F.greatest(F.size(F.filter(firsts, lambda b: b <= value)), F.lit(1))
+    inside = F.size(F.filter(F.element_at(members, group), lambda b: b <= value))
+    return group * fan + inside
+
+
 def _running(df: DataFrame, keys: list[str], order: str, value: Column, out: str, cell: Column) -> DataFrame:
     rows = df.withColumn("_cell", cell).withColumn("_v", value.cast("bigint"))
     totals = rows.groupBy(*keys, "_cell").agg(F.sum("_v").alias("_t"))
     if keys:
         over_cells = Window.partitionBy(*keys).orderBy("_cell")
     else:
-        # One row per cell of the table, at most TABLE_CELLS of them.
+        # One row per cell of the table, at most FAN * FAN + 1 of them.
         over_cells = Window.orderBy("_cell")
     over_cells = over_cells.rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(*keys, "_cell", F.coalesce(F.sum("_t").over(over_cells), F.lit(0)).alias("_base"))

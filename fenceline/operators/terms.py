@@ -92,7 +92,9 @@ def any_literal(lex: Lexicon, text: Column) -> Column:
         return F.lit(False)
     if lex.preset == ENFORCE and len(lex.literals) <= LISTED_TERMS:
         table = F.array(*[F.lit(t) for t in lex.literals])
-        return F.coalesce(F.exists(table, lambda t: F.contains(text, t)), F.lit(False))
+        # The outer array evaluates a derived text once and not once per term.
+        held = F.exists(F.array(text), lambda x: F.exists(table, lambda t: F.contains(x, t)))
+        return F.coalesce(held, F.lit(False))
     return F.coalesce(_subject(lex, text).rlike(_regex(lex)), F.lit(False))
 
 
@@ -125,8 +127,11 @@ def hits(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "text")
         if len(lex.literals) <= LISTED_TERMS:
             subject, pad = _subject(lex, F.col(text)), "" if lex.preset == ENFORCE else " "
             table = F.array(*[F.lit(t) for t in lex.literals]).cast("array<string>")
-            inside = F.filter(table, lambda t: F.contains(subject, F.concat(F.lit(pad), t, F.lit(pad))))
-            return docs.select(key, F.explode(inside).alias("term"))
+            inside = F.transform(
+                F.array(subject),
+                lambda x: F.filter(table, lambda t: F.contains(x, F.concat(F.lit(pad), t, F.lit(pad)))),
+            )
+            return docs.select(key, F.explode(F.flatten(inside)).alias("term"))
     if lex.preset == ENFORCE:
         return _char_gram_hits(docs, lex, key, F.col(text), positions=False).distinct()
     return _word_gram_hits(docs, lex, key, _subject(lex, F.col(text)))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fields, text
+from ..functions import fields, sql, text
 from ..functions import patterns as P
 from ..operators import candidates as C
 from ..operators import constraints as K
 from ..operators import lexicon as L
 from ..operators import running, runs, sampling, sequences, spans
 from ..operators import terms as T
+from ..session import shared_folder, written
 from ..sources import readers
 from ..streaming import alerts, chunks
 from . import preparation
@@ -397,6 +398,17 @@ def _blocked_candidates(spark, sf):
     )
 
 
+def cand_state_mask(spark, sf):
+    """Candidates appended to their context word, blocked by the state the word leaves behind."""
+    lex = _lex8(spark, T.ENFORCE)
+    kept = V.candidates(spark, sf).filter(~T.any_literal(lex, F.col("seq_id")))
+    contexts = L.state_of(kept.withColumnRenamed("cand", "piece"), V.lexicon8(spark), "seq_id")
+    # A mask is made once per vocabulary and read by every candidate table.
+    table = written(L.state_table(V.lexicon8(spark), V.vocabulary(spark, sf)), "mask")
+    masked = L.with_mask(contexts, table, V.END_PIECE)
+    return masked.select("seq_id", F.col("piece").alias("cand"), "state", "blocked")
+
+
 def cand_mask_audit(spark, sf):
     audit = C.mask_audit(_blocked_candidates(spark, sf))
     return audit.withColumn("removed_mass", F.round("removed_mass", 9))
@@ -454,6 +466,18 @@ def seq_perplexity(spark, sf):
     )
 
 
+def sql_functions(spark, sf):
+    """The registered SQL functions in a SQL query."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT doc_id, norm_name(source) AS name, strip_prompt(substring(text, 1, 30), text) AS answer,
+             path_mode(concat(source, '/', CASE WHEN doc_id % 2 = 0 THEN 'RTP' ELSE 'En-ron' END)) AS mode,
+             pii_reason(text) AS reason, pii_completion_end(text) AS end_first, pii_redact(text, '[PII]') AS redacted
+           FROM {docs}""",
+        docs=V.documents(spark, sf, "source"),
+    )
+
+
 # --- streams ------------------------------------------------------------------------------
 
 
@@ -463,8 +487,6 @@ def stream_filter(spark, sf):
 
 
 def stream_scan(spark, sf):
-    from ..session import shared_folder
-
     source = shared_folder(spark, "chunks")
     V.chunks(V.docs_pii(spark, sf)).repartition(4, "chunk_no").write.parquet(source)
     arriving = readers.stream(spark, source, "seq_id BIGINT, chunk_no INT, piece STRING", files_per_trigger=2)
@@ -536,11 +558,13 @@ QUERIES = [
     cand_topp,
     cand_greedy,
     cand_sample,
+    cand_state_mask,
     cand_mask_audit,
     cand_masked_pick,
     cand_soft_penalty,
     nbest_clean,
     seq_perplexity,
+    sql_functions,
     stream_filter,
     stream_scan,
 ]

@@ -345,6 +345,16 @@ SQL: dict[str, str] = {
     "seq_perplexity": f"""WITH {BIGRAMS}, s AS ({softmax('cands')})
         SELECT doc_id, count(*) AS n_tokens, round(sum(lp), 4) AS score, round(exp(-avg(lp)), 4) AS perplexity
         FROM pairs JOIN s USING (seq_id, cand) WHERE NOT is_eos GROUP BY 1""",
+    "cand_state_mask": f"""WITH {LEX8}, {STATES}, {BIGRAMS},
+        ctxs AS (SELECT seq_id FROM ctx WHERE NOT regexp_matches(seq_id, '{"|".join(V.LEXICON8)}')),
+        tails AS (SELECT seq_id, unnest(generate_series(0, length(seq_id))) AS n FROM ctxs),
+        best AS (SELECT seq_id, max(n) AS n FROM tails WHERE right(seq_id, n) IN (SELECT state FROM st) GROUP BY 1)
+        SELECT seq_id, cand, right(seq_id, n) AS state,
+          NOT is_eos AND regexp_matches(seq_id || cand, '{"|".join(V.LEXICON8)}') AS blocked
+        FROM cands JOIN best USING (seq_id)""",
+    "sql_functions": f"""SELECT doc_id, lower(source) AS name, substr(text, 31) AS answer,
+          CASE WHEN doc_id % 2 = 0 THEN 'rtp_toxic_vocab' ELSE 'unsupported' END AS mode, {reason('text')} AS reason,
+          {first_end('text')} AS end_first, regexp_replace(text, '{ALL}', '[PII]', 'g') AS redacted FROM documents""",
     "stream_filter": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{ALL}')",
     "stream_scan": f"""WITH {DOCS} SELECT doc_id AS seq_id, {first_end('text')} AS end_first FROM docs
         WHERE regexp_matches(text, '{ALL}')""",

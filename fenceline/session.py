@@ -68,7 +68,7 @@ def text_rows(spark: SparkSession, values, column: str) -> DataFrame:
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: str, how: str = "inner", small: bool = False
+    facts: DataFrame, lookup: DataFrame, on: str | list[str], how: str = "inner", small: bool = False
 ) -> DataFrame:
     """Equi-join of a large, possibly skewed side with a lexicon-like side.
 
@@ -82,6 +82,6 @@ def lookup_join(
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
         facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int"))
-        .join(salted, [on, "_salt"], how)
+        .join(salted, [*([on] if isinstance(on, str) else on), "_salt"], how)
         .drop("_salt")
     )

@@ -63,3 +63,25 @@ def test_base_pieces(spark):
     broken = spark.createDataFrame([("a", "b"), ("x", "c")], "prefix STRING, suffix STRING")
     row = L.base_piece_check(broken, vocabulary).first()
     assert row["n_missing_parts"] == 1 and not row["adds_up"]
+
+
+def test_mask_on_candidates(spark):
+    """State of a context, then the mask, against containment in the joined text."""
+    rng = random.Random(9)
+    letters = "ehrsiux"
+    pieces = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(40)}) + ["</s>"]
+    contexts = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(0, 7))) for _ in range(60)})
+    contexts = [c for c in contexts if not any(t in c for t in TERMS)]
+    rows = [(c, p) for c in contexts for p in [*rng.sample(pieces, 12), "</s>", "unseen"]]
+    vocabulary = spark.createDataFrame([(p,) for p in pieces], "piece STRING")
+    table = L.state_table(words(spark, TERMS), vocabulary, "</s>")
+    found = L.state_of(spark.createDataFrame(rows, "text STRING, piece STRING"), words(spark, TERMS))
+    states = {s for s in prefixes(TERMS)}
+    got = L.with_mask(found, table, "</s>").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["state"] == longest_state(r["text"], states)
+        blocked = r["piece"] not in ("</s>", "unseen") and any(t in r["text"] + r["piece"] for t in TERMS)
+        assert r["blocked"] == blocked
+        if not blocked and r["piece"] != "unseen":
+            assert r["next_state"] == longest_state(r["text"] + r["piece"], states)

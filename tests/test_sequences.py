@@ -78,7 +78,7 @@ def test_running(spark):
         for i, at in enumerate(sorted(a for kk, a in rows if kk == k)):
             assert got[(k, at)] == i
     ids = spark.createDataFrame([(i * i - 50,) for i in range(300)], "id BIGINT").repartition(7)
-    got = sorted((r["id"], r["idx"], r["batch_id"]) for r in running.batches(ids, "id", 32, cells=11).collect())
+    got = sorted((r["id"], r["idx"], r["batch_id"]) for r in running.batches(ids, "id", 32, fan=3).collect())
     assert got == [(i * i - 50, i, i // 32) for i in range(300)]
     assert running.batches(ids.limit(0), "id", 32).count() == 0
 
