@@ -71,15 +71,13 @@ def state_table(
     scanned = pieces if end_piece is None else pieces.filter(piece != end_piece)
     clean = T.without(scanned, lex, key="piece", text="piece")
 
-    # What a piece does on its own: a term inside it, else the longest suffix that is a state. The
-    # empty suffix always is one, so every piece has a row.
-    ends = pieces.select("piece", F.explode(_suffixes(piece, 0, F.length("piece"))).alias("state"))
-    longest = lookup_join(ends, nodes, "state", "left_semi").groupBy("piece").agg(F.max(F.length("state")).alias("n"))
+    # What a piece does on its own: a term inside it, else the longest suffix that is a state.
     inside = F.col("_inside") if end_piece is None else F.col("_inside") & (piece != end_piece)
-    root = T.flagged(longest, lex, "_inside", key="piece", text="piece").select(
+    alone = _add_longest(pieces, nodes, "piece", "_alone", literal_terms)
+    root = T.flagged(alone, lex, "_inside", key="piece", text="piece").select(
         F.lit("").alias("state"),
         "piece",
-        F.when(~inside, F.right(piece, F.col("n"))).alias("next_state"),
+        F.when(~inside, F.col("_alone")).alias("next_state"),
         inside.alias("blocked"),
     )
 
@@ -127,17 +125,28 @@ def state_table(
     return root.unionByName(special)
 
 
-def state_of(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``state``: the longest suffix of a text that is a violation-free state. ``text`` must not
-    hold a term; equal texts share one look-up."""
-    nodes = states(terms).select("state")
-    reach = terms.agg(F.max(F.length("term"))).first()[0] or 0
-    body = F.col(text)
+def _add_longest(texts: DataFrame, nodes: DataFrame, text: str, out: str, literal_terms: int) -> DataFrame:
+    """Add ``out``: the longest suffix of a text among ``nodes.state`` (which holds the empty one)."""
+    body, lex = F.col(text), T.lexicon(nodes.select(F.col("state").alias("term")), T.ENFORCE, literal_terms)
+    if lex.literals is not None:
+        # The leftmost match that reaches the end is the longest suffix.
+        reach = max(map(len, lex.literals), default=0)
+        ending = T.any_of(lex.literals) + P.END if lex.literals else P.END
+        return texts.withColumn(out, F.regexp_extract(F.right(body, F.lit(reach)), ending, 0))
+    reach = lex.terms.agg(F.max(F.length("term"))).first()[0]
     ends = texts.select(text).distinct().select(
-        text, F.explode(_suffixes(body, 0, F.least(F.length(body), F.lit(reach)))).alias("state")
+        text, F.explode(_suffixes(body, 1, F.least(F.length(body), F.lit(reach)))).alias("term")
     )
-    found = lookup_join(ends, nodes, "state", "left_semi").groupBy(text).agg(F.max(F.length("state")).alias("_n"))
-    return texts.join(found, text).withColumn("state", F.right(body, F.col("_n"))).drop("_n")
+    found = lookup_join(ends, lex.terms, "term", "left_semi").groupBy(text).agg(F.max(F.length("term")).alias("_n"))
+    longest = texts.join(found, text, "left").withColumn(out, F.right(body, F.coalesce("_n", F.lit(0))))
+    return longest.drop("_n")
+
+
+def state_of(
+    texts: DataFrame, terms: DataFrame, text: str = "text", literal_terms: int = T.LITERAL_TERMS
+) -> DataFrame:
+    """Add ``state``: the longest suffix of a text that is a state. The text must hold no term."""
+    return _add_longest(texts, states(terms), text, "state", literal_terms)
 
 
 def with_mask(candidates: DataFrame, table: DataFrame, end_piece: str | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import literal_array
+
 # Rows of a sequence ordered in one task.
 CELL = 4096
 # A whole table is cut into at most FAN * FAN cells of about equal size.
@@ -42,8 +44,8 @@ def batches(df: DataFrame, order: str, size: int, fan: int = FAN) -> DataFrame:
 def _cell(value: Column, bounds: list[int], fan: int) -> Column:
     """Number of bounds up to ``value``, found in a group of bounds and then inside the group."""
     groups = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
-    firsts = F.array(*[F.lit(g[0]) for g in groups])
-    members = F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups])
+    firsts = literal_array([g[0] for g in groups], "array<bigint>")
+    members = literal_array(groups, "array<array<bigint>>")
     group = F.greatest(F.size(F.filter(firsts, lambda b: b <= value)), F.lit(1))
     inside = F.size(F.filter(F.element_at(members, group), lambda b: b <= value))
     return group * fan + inside

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import Pattern
 from ..functions.text import quote, strip
-from ..session import lookup_join, text_rows, written
+from ..session import literal_array, lookup_join, text_rows, written
 
 ENFORCE, SELECT, EVAL = "ENFORCE", "SELECT", "EVAL"
 LITERAL_TERMS = 4096
@@ -91,7 +91,7 @@ def any_literal(lex: Lexicon, text: Column) -> Column:
     if not lex.literals:
         return F.lit(False)
     if lex.preset == ENFORCE and len(lex.literals) <= LISTED_TERMS:
-        table = F.array(*[F.lit(t) for t in lex.literals])
+        table = literal_array(lex.literals)
         # The outer array evaluates a derived text once and not once per term.
         held = F.exists(F.array(text), lambda x: F.exists(table, lambda t: F.contains(x, t)))
         return F.coalesce(held, F.lit(False))
@@ -126,7 +126,7 @@ def hits(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "text")
         docs = docs.filter(any_literal(lex, F.col(text)))
         if len(lex.literals) <= LISTED_TERMS:
             subject, pad = _subject(lex, F.col(text)), "" if lex.preset == ENFORCE else " "
-            table = F.array(*[F.lit(t) for t in lex.literals]).cast("array<string>")
+            table = literal_array(lex.literals)
             inside = F.transform(
                 F.array(subject),
                 lambda x: F.filter(table, lambda t: F.contains(x, F.concat(F.lit(pad), t, F.lit(pad)))),

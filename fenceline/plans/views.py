@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import all_matches
 from ..session import lookup_join as lookup
-from ..session import spread, text_rows, written
+from ..session import held, spread, text_rows, written
 
 LEXICON8 = ("clown", "disgusting", "idiot", "moron", "pathetic", "stupid", "trash", "worthless")
 END_PIECE = "</s>"
@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns), "doc_id")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns), "doc_id", "text")
 
 
 def docs_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,8 @@ def docs_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # Most texts hold neither form; two cheap tests save the rewriting.
     touched = F.contains(text, F.lit("+1 (")) | text.rlike("[0-9]{16}")
-    return documents(spark, sf_dir).select("doc_id", F.when(touched, rewritten).otherwise(text).alias("text"))
+    docs = documents(spark, sf_dir).select("doc_id", F.when(touched, rewritten).otherwise(text).alias("text"))
+    return held(docs, "text")
 
 
 def lexicon8(spark: SparkSession) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Largest side that may be broadcast, checked by an aggregate before the hint is given.
@@ -37,16 +38,25 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def held(df: DataFrame, *columns: str) -> DataFrame:
+    """Keep the optimizer from copying the expressions behind ``columns`` into later filters, or
+    from moving such filters below this point. The condition is always true and, naming the
+    partition, counts as non-deterministic."""
+    always = F.spark_partition_id() >= 0
+    return df.select(*[F.when(always, F.col(c)).alias(c) if c in columns else c for c in df.columns])
+
+
+def spread(df: DataFrame, key: str, *heavy: str) -> DataFrame:
     """Redistribute an input that has fewer splits than the cluster has cores.
 
-    Text scanning is CPU-bound, so a handful of input splits would leave cores idle. Large
-    inputs already have more splits than cores and pass through without a shuffle.
+    Text scanning is CPU-bound, so a handful of input splits would leave cores idle; tests on the
+    ``heavy`` columns then run behind the exchange. Large inputs already have more splits than cores
+    and pass through without a shuffle, their filters in the scan.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, *keys)
+    return held(df.repartition(cores, key), *heavy)
 
 
 def fits_broadcast(df: DataFrame) -> bool:
@@ -63,8 +73,12 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 def text_rows(spark: SparkSession, values, column: str) -> DataFrame:
     """A few driver-side strings as a table that is part of the plan."""
-    table = F.array(*[F.lit(v) for v in values]).cast("array<string>")
-    return spark.range(1).select(F.explode(table).alias(column))
+    return spark.range(1).select(F.explode(literal_array(values)).alias(column))
+
+
+def literal_array(values, type_: str = "array<string>") -> Column:
+    """Driver-side values as one constant, however many they are."""
+    return F.from_json(F.lit(json.dumps(list(values))), type_)
 
 
 def lookup_join(

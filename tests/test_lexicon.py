@@ -75,8 +75,10 @@ def test_mask_on_candidates(spark):
     rows = [(c, p) for c in contexts for p in [*rng.sample(pieces, 12), "</s>", "unseen"]]
     vocabulary = spark.createDataFrame([(p,) for p in pieces], "piece STRING")
     table = L.state_table(words(spark, TERMS), vocabulary, "</s>")
-    found = L.state_of(spark.createDataFrame(rows, "text STRING, piece STRING"), words(spark, TERMS))
-    states = {s for s in prefixes(TERMS)}
+    pairs, states = spark.createDataFrame(rows, "text STRING, piece STRING"), prefixes(TERMS)
+    found = L.state_of(pairs, words(spark, TERMS))
+    joined = L.state_of(pairs, words(spark, TERMS), literal_terms=0)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, joined.select(found.columns).collect()))
     got = L.with_mask(found, table, "</s>").collect()
     assert len(got) == len(rows)
     for r in got:
