@@ -24,23 +24,26 @@ def _regexes(constraints: DataFrame) -> list:
 def hits(texts: DataFrame, constraints: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, constraint_id, penalty) of every constraint a text violates, terms by raw containment."""
     term_rows = constraints.filter("kind = 'term'")
+    regexes = _regexes(constraints)
+    body = F.col(text)
+    few = term_rows.filter("pattern <> ''").limit(T.LISTED_TERMS + 1).collect()
+    if len(few) <= T.LISTED_TERMS:
+        # Everything in one pass over the texts.
+        terms = [(r, F.contains(body, F.lit(r["pattern"]))) for r in few]
+        return _flagged(texts, terms + [(r, body.rlike(r["pattern"])) for r in regexes], key)
     lex = T.lexicon(term_rows.select(F.col("pattern").alias("term")), T.ENFORCE)
-    by_term = T.hits(texts, lex, key, text)
     named = term_rows.select(F.col("pattern").alias("term"), "constraint_id", "penalty")
-    found = lookup_join(by_term, named, "term").select(key, "constraint_id", "penalty")
-    rows = _regexes(constraints)
-    if rows:
-        checks = [
-            F.when(
-                F.col(text).rlike(r["pattern"]),
-                F.struct(F.lit(r["constraint_id"]).alias("constraint_id"), F.lit(r["penalty"]).alias("penalty")),
-            )
-            for r in rows
-        ]
-        flagged = texts.filter(F.col(text).rlike("|".join(f"(?:{r['pattern']})" for r in rows)))
-        by_regex = flagged.select(key, F.explode(F.array_compact(F.array(*checks))).alias("_c"))
-        found = found.unionByName(by_regex.select(key, "_c.*"))
-    return found
+    found = lookup_join(T.hits(texts, lex, key, text), named, "term").select(key, "constraint_id", "penalty")
+    return found.unionByName(_flagged(texts, [(r, body.rlike(r["pattern"])) for r in regexes], key))
+
+
+def _flagged(texts: DataFrame, checks: list, key: str) -> DataFrame:
+    entries = [
+        F.when(hit, F.struct(F.lit(r["constraint_id"]).alias("constraint_id"), F.lit(r["penalty"]).alias("penalty")))
+        for r, hit in checks
+    ]
+    table = F.array_compact(F.array(*entries)).cast("array<struct<constraint_id: string, penalty: double>>")
+    return texts.select(key, F.explode(table).alias("_c")).select(key, "_c.*")
 
 
 def merged(texts: DataFrame, constraints: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

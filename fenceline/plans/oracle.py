@@ -168,7 +168,7 @@ SQL: dict[str, str] = {
                 FROM docs WHERE regexp_matches(text, '{ALL}'))),
         o AS (SELECT *, sum(length(gap)) OVER v + sum(length(span)) OVER v - length(span) AS s
           FROM u WINDOW v AS (PARTITION BY doc_id ORDER BY ord))
-        SELECT doc_id, ord, s AS start, s + length(span) AS "end", span FROM o""",
+        SELECT doc_id, ord, s::BIGINT AS start, (s + length(span))::BIGINT AS "end", span FROM o""",
     "pii_spans_distinct": f"""WITH {DOCS} SELECT DISTINCT unnest(regexp_extract_all(text, '{ALL}')) AS span FROM docs""",
     "pii_first_completion": f"""WITH {DOCS} SELECT doc_id, """
     + ", ".join(f"{end_of('text', lazy)} AS end_{p.name}" for p, lazy in zip(P.PII, LAZY))

@@ -110,7 +110,9 @@ def test_any_of():
         assert not matcher.fullmatch("zz")
 
 
-def test_constraint_table(spark):
+@pytest.mark.parametrize("listed", [64, 1])
+def test_constraint_table(spark, monkeypatch, listed):
+    monkeypatch.setattr(T, "LISTED_TERMS", listed)
     rows = [("w1", 0, "term", "bad", -1.0), ("w2", 1, "term", "badger", -2.0), ("r1", 2, "regex", "[0-9]{3}", -4.0)]
     constraints = spark.createDataFrame(rows, K.CONSTRAINTS)
     df = docs(spark, ["a badger 123", "bad", "12", "999"])
