@@ -73,17 +73,19 @@ def sample(candidates: DataFrame, seed: int, logit: str = "logit", out: str = "p
     return greedy(candidates.withColumn("_g", F.col(logit) + noise), "_g", out)
 
 
+def soft_score(logit: Column, penalty: Column, is_eos: Column) -> Column:
+    """The score plus the penalty; sums below the threshold become minus infinity. The end marker is
+    never penalised."""
+    raw = logit + F.when(is_eos, 0.0).otherwise(F.coalesce(penalty, F.lit(0.0)))
+    return F.when(raw < NEG_INF_THRESH, F.lit(MINUS_INF)).otherwise(raw)
+
+
 def penalised(candidates: DataFrame, penalties: DataFrame, logit: str = "logit", out: str = "score") -> DataFrame:
-    """Add ``out``: the score plus the summed penalties (seq_id, step, cand, penalty) of its
-    candidate, one per constraint; sums below the threshold become minus infinity. The end marker
-    is never penalised."""
+    """Add ``out``: the soft score under the summed penalties (seq_id, step, cand, penalty) of a
+    candidate, one row per constraint."""
     total = penalties.groupBy(*STEP, "cand").agg(F.sum("penalty").alias("_p"))
-    raw = F.col(logit) + F.when(F.col("is_eos"), 0.0).otherwise(F.coalesce("_p", F.lit(0.0)))
-    return (
-        candidates.join(total, [*STEP, "cand"], "left")
-        .withColumn(out, F.when(raw < NEG_INF_THRESH, F.lit(MINUS_INF)).otherwise(raw))
-        .drop("_p")
-    )
+    score = soft_score(F.col(logit), F.col("_p"), F.col("is_eos"))
+    return candidates.join(total, [*STEP, "cand"], "left").withColumn(out, score).drop("_p")
 
 
 def mask(candidates: DataFrame, logit: str = "logit") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import lookup_join
@@ -23,18 +23,39 @@ def _regexes(constraints: DataFrame) -> list:
 
 def hits(texts: DataFrame, constraints: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, constraint_id, penalty) of every constraint a text violates, terms by raw containment."""
-    term_rows = constraints.filter("kind = 'term'")
-    regexes = _regexes(constraints)
-    body = F.col(text)
-    few = term_rows.filter("pattern <> ''").limit(T.LISTED_TERMS + 1).collect()
-    if len(few) <= T.LISTED_TERMS:
-        # Everything in one pass over the texts.
-        terms = [(r, F.contains(body, F.lit(r["pattern"]))) for r in few]
-        return _flagged(texts, terms + [(r, body.rlike(r["pattern"])) for r in regexes], key)
+    checks, term_rows = _checks(constraints, F.col(text))
+    found = _flagged(texts, checks, key)
+    if term_rows is None:
+        return found
     lex = T.lexicon(term_rows.select(F.col("pattern").alias("term")), T.ENFORCE)
     named = term_rows.select(F.col("pattern").alias("term"), "constraint_id", "penalty")
-    found = lookup_join(T.hits(texts, lex, key, text), named, "term").select(key, "constraint_id", "penalty")
-    return found.unionByName(_flagged(texts, [(r, body.rlike(r["pattern"])) for r in regexes], key))
+    by_term = lookup_join(T.hits(texts, lex, key, text), named, "term")
+    return found.unionByName(by_term.select(key, "constraint_id", "penalty"))
+
+
+def with_penalty(
+    texts: DataFrame, constraints: DataFrame, key: str = "doc_id", text: str = "text", out: str = "penalty"
+) -> DataFrame:
+    """Add ``out``: the summed penalties of the violated constraints, 0 without one. A table of few
+    constraints is one expression and needs neither a join nor a shuffle."""
+    checks, term_rows = _checks(constraints, F.col(text))
+    if term_rows is None:
+        total = F.lit(0.0)
+        for row, hit in checks:
+            total = total + F.when(hit, F.lit(row["penalty"])).otherwise(F.lit(0.0))
+        return texts.withColumn(out, total)
+    summed = merged(texts, constraints, key, text).select(key, F.col("penalty").alias("_p"))
+    return texts.join(summed, key, "left").withColumn(out, F.coalesce("_p", F.lit(0.0))).drop("_p")
+
+
+def _checks(constraints: DataFrame, body: Column) -> tuple[list, DataFrame | None]:
+    """(row, condition) of the constraints tested row by row, and the term rows left for a join."""
+    term_rows = constraints.filter("kind = 'term'")
+    checks = [(r, body.rlike(r["pattern"])) for r in _regexes(constraints)]
+    few = term_rows.filter("pattern <> ''").limit(T.LISTED_TERMS + 1).collect()
+    if len(few) > T.LISTED_TERMS:
+        return checks, term_rows
+    return [(r, F.contains(body, F.lit(r["pattern"]))) for r in few] + checks, None
 
 
 def _flagged(texts: DataFrame, checks: list, key: str) -> DataFrame:

@@ -35,7 +35,7 @@ def batches(df: DataFrame, order: str, size: int, fan: int = FAN) -> DataFrame:
     about equal size, whatever its distribution; the cell is a function of the value alone, so a
     recomputed task assigns the same index.
     """
-    steps = [i / fan**2 for i in range(fan**2)]
+    steps = literal_array([i / fan**2 for i in range(fan**2)], "array<double>")
     bounds = df.agg(F.percentile_approx(order, steps, 10 * fan**2)).first()[0] or [0]
     indexed = _running(df, [], order, F.lit(1), "idx", _cell(F.col(order), sorted(set(bounds)), fan))
     return indexed.withColumn("batch_id", F.floor(F.col("idx") / size))

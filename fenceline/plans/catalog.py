@@ -427,11 +427,9 @@ def cand_soft_penalty(spark, sf):
     rows += [(p.name, 100 + i, "regex", p.regex, C.NEG_INF_CONST) for i, p in enumerate(P.PII)]
     rows += [("shout", 200, "regex", "!", -0.25)]
     constraints = spark.createDataFrame(rows, K.CONSTRAINTS)
-    keyed = candidates.filter("NOT is_eos").select(
-        F.struct(*C.STEP, "cand").alias("k"), F.concat_ws(" ", "seq_id", "cand").alias("text")
-    )
-    penalties = K.merged(keyed, constraints, key="k").select("k.*", "penalty")
-    scored = C.penalised(candidates, penalties)
+    texts = candidates.withColumn("k", F.struct(*C.STEP, "cand")).withColumn("text", F.concat_ws(" ", "seq_id", "cand"))
+    punished = K.with_penalty(texts, constraints, key="k")
+    scored = punished.withColumn("score", C.soft_score(F.col("logit"), F.col("penalty"), F.col("is_eos")))
     return scored.select(
         *C.STEP,
         "cand",
@@ -439,6 +437,13 @@ def cand_soft_penalty(spark, sf):
     )
 
 
+def violated_constraints(spark, sf):
+    """Constraints violated per document and their summed penalties."""
+    rows = [(t, i, "term", t, -1.5) for i, t in enumerate(V.LEXICON8)]
+    rows += [(p.name, 100 + i, "regex", p.regex, -10.0) for i, p in enumerate(P.PII)]
+    return K.merged(V.docs_pii(spark, sf), spark.createDataFrame(rows, K.CONSTRAINTS))
+
+
 def nbest_clean(spark, sf):
     outputs = V.nbest(spark, sf)
     clean = spans.clean(T.without(outputs, _lex8(spark, T.ENFORCE), key="gen_id", text="output"), text="output")
@@ -562,6 +567,7 @@ QUERIES = [
     cand_mask_audit,
     cand_masked_pick,
     cand_soft_penalty,
+    violated_constraints,
     nbest_clean,
     seq_perplexity,
     sql_functions,

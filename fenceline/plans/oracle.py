@@ -339,6 +339,14 @@ SQL: dict[str, str] = {
     + " + ".join(f"CASE WHEN regexp_matches({JOINED}, '{p.regex}') THEN {C.NEG_INF_CONST} ELSE 0 END" for p in P.PII)
     + f""" + CASE WHEN contains({JOINED}, '!') THEN -0.25 ELSE 0 END END AS s FROM cands)
         SELECT seq_id, step, cand, CASE WHEN s >= -1000000 THEN round(s, 6) END AS score FROM raw""",
+    "violated_constraints": f"""WITH {DOCS}, {LEX8},
+        v AS (SELECT doc_id, -1.5::DOUBLE AS penalty FROM docs JOIN lex ON contains(text, term)
+          """
+    + " ".join(
+        f"UNION ALL SELECT doc_id, -10.0::DOUBLE FROM docs WHERE regexp_matches(text, '{p.regex}')" for p in P.PII
+    )
+    + """)
+        SELECT doc_id, count(*) AS n_violated, sum(penalty) AS penalty FROM v GROUP BY 1""",
     "nbest_clean": f"""WITH {LEX8} SELECT prompt_id, gen_id, rank FROM (SELECT doc_id % 100 AS prompt_id, doc_id AS gen_id,
           row_number() OVER (PARTITION BY doc_id % 100 ORDER BY -n_chars / 10.0 DESC, doc_id) AS rank
           FROM documents WHERE NOT regexp_matches(text, '{ALL}') AND NOT {RAW8.format('text')}) WHERE rank <= 3""",

@@ -120,3 +120,5 @@ def test_constraint_table(spark, monkeypatch, listed):
     assert got == {(0, "w1"), (0, "w2"), (0, "r1"), (1, "w1"), (3, "r1")}
     merged = {r["doc_id"]: (r["n_violated"], r["penalty"]) for r in K.merged(df, constraints).collect()}
     assert merged == {0: (3, -7.0), 1: (1, -1.0), 3: (1, -4.0)}
+    totals = {r["doc_id"]: r["penalty"] for r in K.with_penalty(df, constraints).collect()}
+    assert totals == {0: -7.0, 1: -1.0, 2: 0.0, 3: -4.0}
