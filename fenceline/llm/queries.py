@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import mixing, packing, rules, sharding, token_counts
+from . import mixing, packing, rules, sharding, simhash, token_counts
 from .common import table
 
 SEQUENCE = 1024
@@ -34,6 +34,11 @@ def op4_flow_resharding(spark, sf):
     )
 
 
+def op5_pigeonring_simhash(spark, sf):
+    found = simhash.clustered(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op6_rule_ledger(spark, sf):
     return rules.judged(rules.ledger(table(spark, sf, "documents")))
 
@@ -54,4 +59,4 @@ def op10_pattern_packing(spark, sf):
     return packing.packed_pieces(pieces, SEQUENCE)
 
 
-QUERIES: list[Callable] = [op1_poisson_mixing, op4_flow_resharding, op6_rule_ledger, op7_two_tier_tokens, op10_pattern_packing]
+QUERIES: list[Callable] = [op1_poisson_mixing, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op10_pattern_packing]
