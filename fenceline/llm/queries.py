@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import mixing, packing, rules, sharding, simhash, token_counts
+from . import mixing, nearest, packing, rules, sharding, simhash, token_counts
 from .common import table
 
 SEQUENCE = 1024
@@ -48,6 +48,10 @@ def op7_two_tier_tokens(spark, sf):
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
+def op9_adaptive_scan(spark, sf):
+    return nearest.searched(table(spark, sf, "embeddings"), "id % 50 = 0")
+
+
 def byte_pieces(docs: DataFrame) -> DataFrame:
     return packing.pieces(
         docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, END_ID, SEQUENCE
@@ -59,4 +63,4 @@ def op10_pattern_packing(spark, sf):
     return packing.packed_pieces(pieces, SEQUENCE)
 
 
-QUERIES: list[Callable] = [op1_poisson_mixing, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op10_pattern_packing]
+QUERIES: list[Callable] = [op1_poisson_mixing, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op9_adaptive_scan, op10_pattern_packing]
