@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import mixing, nearest, packing, rules, sharding, simhash, token_counts
+from . import mixing, nearest, packing, quality, rules, sharding, simhash, token_counts
 from .common import table
 
 SEQUENCE = 1024
@@ -24,6 +24,13 @@ def op1_poisson_mixing(spark, sf):
     return copies.select("row.doc_id", "row.source", "count", "copy", "order_key", mixing.document_size("row.text").alias("size"))
 
 
+def op3_subword_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    scores = quality.scored(docs, quality.trained(docs, table(spark, sf, "labels")))
+    held_out = quality.fold(F.col("row.doc_id")) == 0
+    return scores.select("row.doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_flow_resharding(spark, sf):
     """24 shards of equal bytes, from 16 old ones that hold whole sources."""
     docs = table(spark, sf, "documents")
@@ -63,4 +70,4 @@ def op10_pattern_packing(spark, sf):
     return packing.packed_pieces(pieces, SEQUENCE)
 
 
-QUERIES: list[Callable] = [op1_poisson_mixing, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op9_adaptive_scan, op10_pattern_packing]
+QUERIES: list[Callable] = [op1_poisson_mixing, op3_subword_quality, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op9_adaptive_scan, op10_pattern_packing]
