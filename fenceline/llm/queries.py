@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import mixing, nearest, packing, quality, rules, sharding, simhash, token_counts
+from . import mixing, nearest, packing, quality, rules, sharding, simhash, suffixes, token_counts
 from .common import table
 
 SEQUENCE = 1024
@@ -24,6 +24,11 @@ def op1_poisson_mixing(spark, sf):
     return copies.select("row.doc_id", "row.source", "count", "copy", "order_key", mixing.document_size("row.text").alias("size"))
 
 
+def op2_suffix_index_dedup(spark, sf):
+    cleaned = suffixes.cleaned(table(spark, sf, "documents").select("doc_id", "text"))
+    return cleaned.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_subword_quality(spark, sf):
     docs = table(spark, sf, "documents")
     scores = quality.scored(docs, quality.trained(docs, table(spark, sf, "labels")))
@@ -70,4 +75,4 @@ def op10_pattern_packing(spark, sf):
     return packing.packed_pieces(pieces, SEQUENCE)
 
 
-QUERIES: list[Callable] = [op1_poisson_mixing, op3_subword_quality, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op9_adaptive_scan, op10_pattern_packing]
+QUERIES: list[Callable] = [op1_poisson_mixing, op2_suffix_index_dedup, op3_subword_quality, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op9_adaptive_scan, op10_pattern_packing]
