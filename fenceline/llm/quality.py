@@ -31,8 +31,8 @@ from ..session import written
 BUCKETS = 1 << 18
 DIMENSIONS = 16
 GRAMS = (3, 4, 5)
-FIT_ROWS = 6_000
-FIT_BYTES = 48_000_000
+FIT_ROWS = 3_000
+FIT_BYTES = 12_000_000
 STEPS = 400
 BATCH = 32
 RATE = 3.0
