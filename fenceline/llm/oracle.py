@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .licenses import OTHER, TEMPLATES, THRESHOLD, bigrams_of
 from .mixing import DIGITS, POWER, SEED
 
+_TEMPLATES = ", ".join(f"('{name}', {bigrams_of(t)!r})" for name, t in TEMPLATES.items())
 _SPACE = r"[\x20\x09-\x0D]+"
 
 SQL = {
@@ -62,5 +64,29 @@ failed as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed,
   failed & 3 <> 0 as base_failed, failed = 0 as kept, 'v2' as policy
 from failed
+""",
+    "op8_license_bigrams": f"""
+with templates(license, bigrams) as (values {_TEMPLATES}),
+own as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+lines as (select r, string_split(text, chr(10)) as parts, text from own),
+units as (
+  select r, unnest(u) as u, unnest(range(len(u))) as unit
+  from (select r, case when len(parts) > 1 then list_concat([text], parts) else [text] end as u from lines)),
+words as (select r, unit, string_split(trim(regexp_replace(lower(u), '{OTHER}', ' ', 'g')), ' ') as w from units),
+pairs as (
+  select r, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as b
+  from words where len(w) > 1),
+matched as (
+  select r, unit, license, 2.0::double * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) as score
+  from pairs, templates
+  where len(b) >= len(bigrams) * {THRESHOLD} / (2 - {THRESHOLD}) and len(b) <= len(bigrams) * (2 - {THRESHOLD}) / {THRESHOLD}),
+hits as (select * from matched where score >= {THRESHOLD}),
+best as (
+  select r, first(license order by score desc, license, unit) as license, max(score) as score,
+    first(unit order by score desc, license, unit)::int as unit, count(*) as n_matches,
+    string_agg(distinct license, ',' order by license) as licenses
+  from hits group by r)
+select doc_id, license, score, unit, coalesce(n_matches, 0)::bigint as n_matches, coalesce(licenses, '') as licenses
+from own left join best using (r)
 """,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import mixing, nearest, packing, quality, rules, sharding, simhash, suffixes, token_counts
+from . import licenses, mixing, nearest, packing, quality, rules, sharding, simhash, suffixes, token_counts
 from .common import table
 
 SEQUENCE = 1024
@@ -60,6 +60,10 @@ def op7_two_tier_tokens(spark, sf):
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
+def op8_license_bigrams(spark, sf):
+    return licenses.scanned(table(spark, sf, "documents"))
+
+
 def op9_adaptive_scan(spark, sf):
     return nearest.searched(table(spark, sf, "embeddings"), "id % 50 = 0")
 
@@ -75,4 +79,4 @@ def op10_pattern_packing(spark, sf):
     return packing.packed_pieces(pieces, SEQUENCE)
 
 
-QUERIES: list[Callable] = [op1_poisson_mixing, op2_suffix_index_dedup, op3_subword_quality, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op9_adaptive_scan, op10_pattern_packing]
+QUERIES: list[Callable] = [op1_poisson_mixing, op2_suffix_index_dedup, op3_subword_quality, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op8_license_bigrams, op9_adaptive_scan, op10_pattern_packing]
