@@ -79,4 +79,10 @@ def op10_pattern_packing(spark, sf):
     return packing.packed_pieces(pieces, SEQUENCE)
 
 
-QUERIES: list[Callable] = [op1_poisson_mixing, op2_suffix_index_dedup, op3_subword_quality, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op8_license_bigrams, op9_adaptive_scan, op10_pattern_packing]
+def pipeline(spark, sf):
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf)
+
+
+QUERIES: list[Callable] = [op1_poisson_mixing, op2_suffix_index_dedup, op3_subword_quality, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op8_license_bigrams, op9_adaptive_scan, op10_pattern_packing, pipeline]
