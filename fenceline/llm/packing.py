@@ -31,6 +31,7 @@ from .common import gapless
 PARTS = 3
 # Tokens in a bin of the fit, at the default length of a sequence.
 BINS = 256
+WEIGHT = 4.0
 
 
 def _encoding(path: str, pattern: str, specials: dict[str, int]):
@@ -93,8 +94,9 @@ def patterns(bins: int, parts: int = PARTS) -> list[tuple[int, ...]]:
     return sorted(found, reverse=True)
 
 
-def fit(counts: np.ndarray, parts: list[tuple[int, ...]]) -> np.ndarray:
-    """Repeat counts x >= 0 of the patterns that minimise the squares of (their bins - ``counts``).
+def fit(counts: np.ndarray, parts: list[tuple[int, ...]], power: float = WEIGHT) -> np.ndarray:
+    """Repeat counts x >= 0 of the patterns that minimise the squares of (their bins - ``counts``), where bin b
+    weighs b to ``power``: long pieces are harder to place among what is left.
 
     The active-set method: the pattern with the steepest descent joins, the least-squares solution over
     the joined ones is taken, and steps stop where a count would turn negative, which then leaves.
@@ -104,6 +106,8 @@ def fit(counts: np.ndarray, parts: list[tuple[int, ...]]) -> np.ndarray:
     for j, p in enumerate(parts):
         for b in p:
             a[b - 1, j] += 1
+    weights = (np.arange(1, bins + 1) / bins) ** power
+    a, counts = a * weights[:, None], counts * weights
     x, joined = np.zeros(len(parts)), np.zeros(len(parts), bool)
     tolerance = 1e-9 * max(1.0, float(counts.max(initial=0)))
     for _ in range(3 * bins):
