@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEP = ["seq_id", "step"]
+# Slices of a step that are ranked apart before they meet.
+SLICES = 32
 # Scores below the threshold count as minus infinity.
 NEG_INF_CONST, NEG_INF_THRESH = -1000000000.0, -1000000.0
 MINUS_INF = float("-inf")
@@ -20,17 +22,26 @@ def _step() -> Window:
 
 
 def log_softmax(candidates: DataFrame, logit: str = "logit", out: str = "logprob") -> DataFrame:
-    """Add the log-probability within the step; a masked candidate keeps minus infinity."""
-    peak = F.max(logit).over(_step())
-    mass = F.sum(F.exp(F.col(logit) - F.col("_peak"))).over(_step())
+    """Add the log-probability within the step; a masked candidate keeps minus infinity. A step's peak and
+    mass are aggregates that are joined back: a step with very many candidates is no single task's."""
     return (
-        candidates.withColumn("_peak", peak)
-        .withColumn("_mass", mass)
+        candidates.join(step_mass(candidates, logit), STEP)
         .withColumn(out, F.col(logit) - F.col("_peak") - F.ln("_mass"))
         .drop("_peak", "_mass")
     )
 
 
+def step_mass(candidates: DataFrame, logit: str = "logit") -> DataFrame:
+    """(seq_id, step, _peak, _mass): the highest score of a step and the sum of exp(score - peak)."""
+    peaks = candidates.groupBy(*STEP).agg(F.max(logit).alias("_peak"))
+    # Equal scores are counted before they meet their peak.
+    levels = candidates.groupBy(*STEP, F.col(logit).alias("_level")).agg(F.count("*").alias("_n"))
+    masses = levels.join(peaks, STEP).groupBy(*STEP).agg(
+        F.first("_peak").alias("_peak"), F.sum(F.col("_n") * F.exp(F.col("_level") - F.col("_peak"))).alias("_mass")
+    )
+    return masses
+
+
 def temperature(candidates: DataFrame, value: float, logit: str = "logit") -> DataFrame:
     return candidates if value == 1.0 else candidates.withColumn(logit, F.col(logit) / F.lit(float(value)))
 
@@ -39,8 +50,14 @@ def top_k(candidates: DataFrame, k: int, logit: str = "logit") -> DataFrame:
     """Drop candidates strictly below the k-th value; ties with it stay. ``k <= 0`` is off."""
     if k <= 0:
         return candidates
-    place = F.rank().over(_step().orderBy(F.col(logit).desc()))
-    return candidates.withColumn("_rank", place).filter(F.col("_rank") <= k).drop("_rank")
+    # Each slice of a step keeps its own k best scores; the k-th of them together is exact, and rows
+    # are then compared with it.
+    slice_ = F.pmod(F.xxhash64("cand"), F.lit(SLICES))
+    own = Window.partitionBy(*STEP, "_slice").orderBy(F.col(logit).desc())
+    scores = candidates.select(*STEP, logit, slice_.alias("_slice")).withColumn("_r", F.row_number().over(own))
+    few = scores.filter(F.col("_r") <= k).withColumn("_r", F.row_number().over(_step().orderBy(F.col(logit).desc())))
+    last = few.filter(F.col("_r") <= k).groupBy(*STEP).agg(F.min(logit).alias("_last"))
+    return candidates.join(last, STEP).filter(F.col(logit) >= F.col("_last")).drop("_last")
 
 
 def top_p(candidates: DataFrame, p: float, logit: str = "logit") -> DataFrame:
@@ -102,17 +119,23 @@ def mask_audit(candidates: DataFrame) -> DataFrame:
     """
     hit = F.col("blocked") & ~F.col("is_eos")
     ranked = F.struct((-F.col("logit")).alias("s"), F.col("cand").alias("c"))
+    peaks = candidates.groupBy(*STEP).agg(
+        F.count("*").alias("n_cands"),
+        F.count_if(hit).alias("n_blocked"),
+        F.min(ranked).alias("_b"),
+        F.min(F.when(~hit, ranked)).alias("_a"),
+    )
+    levels = candidates.groupBy(*STEP, "logit").agg(F.count("*").alias("_n"), F.count_if(hit).alias("_h"))
+    share = F.exp(F.col("logit") + F.col("_b.s"))
+    sums = levels.join(peaks, STEP).groupBy(*STEP).agg(
+        F.first("n_cands").alias("n_cands"),
+        F.first("n_blocked").alias("n_blocked"),
+        F.first("_b").alias("_b"),
+        F.first("_a").alias("_a"),
+        (F.sum(F.col("_h") * share) / F.sum(F.col("_n") * share)).alias("removed_mass"),
+    )
     return (
-        log_softmax(candidates)
-        .groupBy(*STEP)
-        .agg(
-            F.count("*").alias("n_cands"),
-            F.count_if(hit).alias("n_blocked"),
-            F.coalesce(F.sum(F.when(hit, F.exp("logprob"))), F.lit(0.0)).alias("removed_mass"),
-            F.min(ranked).alias("_b"),
-            F.min(F.when(~hit, ranked)).alias("_a"),
-        )
-        .select(
+        sums.select(
             *STEP,
             "n_cands",
             "n_blocked",
@@ -130,12 +153,13 @@ def chosen_logprob(candidates: DataFrame, picks: DataFrame) -> DataFrame:
 
 
 def sequence_scores(chosen: DataFrame) -> DataFrame:
-    """(seq_id, n_tokens, score, perplexity) from the log-probabilities of the chosen tokens."""
-    return chosen.groupBy("seq_id").agg(
-        F.count("*").alias("n_tokens"),
-        F.sum("logprob").alias("score"),
-        F.exp(-F.avg("logprob")).alias("perplexity"),
+    """(seq_id, n_tokens, score, perplexity) from the log-probabilities of the chosen tokens; a row with a
+    count ``times`` stands for so many tokens."""
+    times = F.col("times") if "times" in chosen.columns else F.lit(1)
+    totals = chosen.groupBy("seq_id").agg(
+        F.sum(times).cast("bigint").alias("n_tokens"), F.sum(times * F.col("logprob")).alias("score")
     )
+    return totals.withColumn("perplexity", F.exp(-F.col("score") / F.col("n_tokens")))
 
 
 def best_completions(clean: DataFrame, n: int = 1, salts: int = 32) -> DataFrame:

@@ -10,48 +10,51 @@ from . import terms as T
 
 # (constraint_id, ord, kind 'term'|'regex', pattern, penalty)
 CONSTRAINTS = "constraint_id STRING, ord INT, kind STRING, pattern STRING, penalty DOUBLE"
-# Regular expressions evaluated per row; each is a pass over the text.
-MAX_REGEXES = 256
+# Checks that one array of conditions holds; more of them take more arrays.
+CHECKS_AT_ONCE = 64
 
 
-def _regexes(constraints: DataFrame) -> list:
-    rows = constraints.filter("kind = 'regex'").orderBy("ord").limit(MAX_REGEXES + 1).collect()
-    if len(rows) > MAX_REGEXES:
-        raise ValueError(f"more than {MAX_REGEXES} regular expressions")
-    return rows
+def _rows(constraints: DataFrame) -> DataFrame:
+    """The table with its one rule for NULLs: a NULL penalty is 0."""
+    return constraints.withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
 
 
 def hits(texts: DataFrame, constraints: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, constraint_id, penalty) of every constraint a text violates, terms by raw containment."""
+    """Distinct (key, constraint_id, penalty) of the constraints that the texts of a key violate, terms by
+    raw containment."""
     checks, term_rows = _checks(constraints, F.col(text))
     found = _flagged(texts, checks, key)
     if term_rows is None:
-        return found
+        return found.distinct()
     lex = T.lexicon(term_rows.select(F.col("pattern").alias("term")), T.ENFORCE)
     named = term_rows.select(F.col("pattern").alias("term"), "constraint_id", "penalty")
     by_term = lookup_join(T.hits(texts, lex, key, text), named, "term")
-    return found.unionByName(by_term.select(key, "constraint_id", "penalty"))
+    return found.unionByName(by_term.select(key, "constraint_id", "penalty")).distinct()
 
 
 def with_penalty(
-    texts: DataFrame, constraints: DataFrame, key: str = "doc_id", text: str = "text", out: str = "penalty"
+    texts: DataFrame, constraints: DataFrame, text: str = "text", out: str = "penalty"
 ) -> DataFrame:
     """Add ``out``: the summed penalties of the violated constraints, 0 without one. A table of few
-    constraints is one expression and needs neither a join nor a shuffle."""
+    constraints is one expression and needs neither a join nor a shuffle; a larger one is joined by
+    the hash of the text."""
     checks, term_rows = _checks(constraints, F.col(text))
     if term_rows is None:
         total = F.lit(0.0)
         for row, hit in checks:
             total = total + F.when(hit, F.lit(row["penalty"])).otherwise(F.lit(0.0))
         return texts.withColumn(out, total)
-    summed = merged(texts, constraints, key, text).select(key, F.col("penalty").alias("_p"))
-    return texts.join(summed, key, "left").withColumn(out, F.coalesce("_p", F.lit(0.0))).drop("_p")
+    hashed = texts.select(T.text_hash(text).alias("_hash"), F.col(text).alias("_text"))
+    summed = merged(hashed, constraints, "_hash", "_text").select("_hash", F.col("penalty").alias("_p"))
+    joined = texts.withColumn("_hash", T.text_hash(text)).join(summed, "_hash", "left")
+    return joined.withColumn(out, F.coalesce("_p", F.lit(0.0))).drop("_p", "_hash")
 
 
 def _checks(constraints: DataFrame, body: Column) -> tuple[list, DataFrame | None]:
     """(row, condition) of the constraints tested row by row, and the term rows left for a join."""
-    term_rows = constraints.filter("kind = 'term'")
-    checks = [(r, body.rlike(r["pattern"])) for r in _regexes(constraints)]
+    table = _rows(constraints)
+    term_rows = table.filter("kind = 'term'")
+    checks = [(r, body.rlike(r["pattern"])) for r in table.filter("kind = 'regex'").orderBy("ord").collect()]
     few = term_rows.filter("pattern <> ''").limit(T.LISTED_TERMS + 1).collect()
     if len(few) > T.LISTED_TERMS:
         return checks, term_rows
@@ -63,8 +66,10 @@ def _flagged(texts: DataFrame, checks: list, key: str) -> DataFrame:
         F.when(hit, F.struct(F.lit(r["constraint_id"]).alias("constraint_id"), F.lit(r["penalty"]).alias("penalty")))
         for r, hit in checks
     ]
-    table = F.array_compact(F.array(*entries)).cast("array<struct<constraint_id: string, penalty: double>>")
-    return texts.select(key, F.explode(table).alias("_c")).select(key, "_c.*")
+    kind = "array<struct<constraint_id: string, penalty: double>>"
+    parts = [entries[i : i + CHECKS_AT_ONCE] for i in range(0, len(entries), CHECKS_AT_ONCE)]
+    tables = [F.array_compact(F.array(*part)).cast(kind) for part in parts] or [F.array().cast(kind)]
+    return texts.select(key, F.explode(F.concat(*tables)).alias("_c")).select(key, "_c.*")
 
 
 def merged(texts: DataFrame, constraints: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -66,15 +66,15 @@ def state_table(
     term, state, piece = F.col("term"), F.col("state"), F.col("piece")
     lex = T.lexicon(T.minimal_terms(terms, literal_terms), T.ENFORCE, literal_terms)
     minimal = lex.terms
-    nodes = written(T.without(states(terms), lex, key="state", text="state").select("state"), "states")
+    nodes = written(T.without(states(terms), lex, text="state").select("state"), "states")
     pieces = vocabulary.select("piece").filter(piece != "").distinct()
     scanned = pieces if end_piece is None else pieces.filter(piece != end_piece)
-    clean = T.without(scanned, lex, key="piece", text="piece")
+    clean = T.without(scanned, lex, text="piece")
 
     # What a piece does on its own: a term inside it, else the longest suffix that is a state.
     inside = F.col("_inside") if end_piece is None else F.col("_inside") & (piece != end_piece)
     alone = _add_longest(pieces, nodes, "piece", "_alone", literal_terms)
-    root = T.flagged(alone, lex, "_inside", key="piece", text="piece").select(
+    root = T.flagged(alone, lex, "_inside", text="piece").select(
         F.lit("").alias("state"),
         "piece",
         F.when(~inside, F.col("_alone")).alias("next_state"),
@@ -174,7 +174,7 @@ def blocked_alone(vocabulary: DataFrame, lex: T.Lexicon | None = None, patterns=
     if lex is None:
         by_term = pieces.withColumn("by_term", F.lit(False))
     else:
-        by_term = T.flagged(pieces, lex, "by_term", key="piece", text="piece")
+        by_term = T.flagged(pieces, lex, "by_term", text="piece")
     return by_term.withColumn("by_pattern", by_pattern).filter("by_term OR by_pattern")
 
 

@@ -93,15 +93,14 @@ def output_name(dataset: Column, model: Column, batch_size: Column, seed: Column
 
 
 def judged(generations: DataFrame, lexicon: T.Lexicon, patterns=P.PII) -> DataFrame:
-    """Add ``hit``: whether the answer behind its prompt violates under the mode of its file.
-
-    Rows are identified by (file, idx) when the lexicon is beyond the literal bound.
-    """
+    """Add ``hit``: whether the answer behind its prompt violates under the mode of its file. It depends
+    on the answer and the mode only; ``idx`` may be NULL or repeated."""
     rows = generations.withColumn("_mode", mode(F.col("file"))).withColumn(
         "_answer", strip_prompt(F.col("prompt"), F.col("output"))
     )
-    keyed = rows.withColumn("_key", F.struct("file", "idx"))
-    flagged = T.flagged(keyed, lexicon, "_term_hit", "_key", "_answer")
+    # Terms are looked up in the answers of their mode alone.
+    asked = rows.withColumn("_asked", F.when(F.col("_mode") == TERM_MODE, F.col("_answer")))
+    flagged = T.flagged(asked, lexicon, "_term_hit", "_asked")
     regex_hit = F.coalesce(P.has_match(F.col("_answer"), patterns), F.lit(False))
     hit = (
         F.when(F.col("_mode") == REGEX_MODE, regex_hit)
@@ -181,12 +180,6 @@ def throughput(run_log: DataFrame) -> DataFrame:
 def relative_throughput(run_log: DataFrame, base_run: str) -> DataFrame:
     """Throughput of every run divided by that of the unconstrained run."""
     rates = throughput(run_log)
-    base = rates.filter(F.col("run_id") == base_run).select(F.col("tokens_per_second").alias("_base"))
-    # One row at most: the total of one run.
-    return rates.join(F.broadcast(base), F.lit(True), "left").select(
-        "run_id",
-        "new_tokens",
-        "seconds",
-        "tokens_per_second",
-        (F.col("tokens_per_second") / F.col("_base")).alias("relative"),
-    )
+    base = throughput(run_log.filter(F.col("run_id") == base_run)).first()
+    rate = F.lit(None if base is None else base["tokens_per_second"]).cast("double")
+    return rates.withColumn("relative", F.col("tokens_per_second") / rate)

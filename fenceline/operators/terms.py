@@ -14,6 +14,7 @@ presets, on character grams for raw containment.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ ENFORCE, SELECT, EVAL = "ENFORCE", "SELECT", "EVAL"
 LITERAL_TERMS = 4096
 # Up to this many terms, which of them a text holds is tested term by term.
 LISTED_TERMS = 64
+# Depth of the groups of one expression.
+NESTED = 50
 # Long texts are cut into blocks of this many characters before character grams are made.
 BLOCK_CHARS = 4096
 
@@ -74,16 +77,40 @@ def _regex(lex: Lexicon) -> str:
 
 def any_of(words) -> str:
     """An expression that matches each of the words, common beginnings shared, so that a position
-    is tested against the possible first characters and not against every word."""
-    rests: dict[str, list[str]] = {}
-    for word in sorted(set(words)):
-        if word:
-            rests.setdefault(word[0], []).append(word[1:])
-    branches = [quote(first) + any_of(rest) for first, rest in rests.items()]
-    if not branches:
-        return ""
-    body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
-    return f"(?:{body})?" if "" in words else body
+    is tested against the possible first characters and not against every word. Groups are nested
+    ``NESTED`` deep at most; what is left of the words there is listed."""
+    out: list[str] = []
+    # Open work: text to write, or words (sorted, different) with the length of their common beginning
+    # that is written already and the depth.
+    work: list = [(sorted({w for w in words if w}), 0, 0)]
+    while work:
+        item = work.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        group, done, depth = item
+        if not group:
+            continue
+        shared = len(os.path.commonprefix([group[0], group[-1]]))
+        out.append(quote(group[0][done:shared]))
+        rest = [w for w in group if len(w) > shared]
+        optional = len(rest) < len(group)
+        if not rest:
+            continue
+        if depth == NESTED:
+            listed = "|".join(quote(w[shared:]) for w in reversed(rest))
+            out.append(f"(?:{listed})" + "?" * optional)
+            continue
+        heads: dict[str, list[str]] = {}
+        for w in rest:
+            heads.setdefault(w[shared], []).append(w)
+        out.append("(?:")
+        work.append(")?" if optional else ")")
+        for i, branch in enumerate(reversed(heads.values())):
+            if i:
+                work.append("|")
+            work.append((branch, shared, depth + 1))
+    return "".join(out)
 
 
 def any_literal(lex: Lexicon, text: Column) -> Column:
@@ -98,30 +125,43 @@ def any_literal(lex: Lexicon, text: Column) -> Column:
     return F.coalesce(_subject(lex, text).rlike(_regex(lex)), F.lit(False))
 
 
-def flagged(docs: DataFrame, lex: Lexicon, out: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add ``out``: whether the text holds a term. ``key`` must identify a row."""
+def text_hash(text: str) -> Column:
+    """What identifies a text in joins: whether it holds a term depends on nothing else. Keys of the
+    caller may be NULL or repeated."""
+    return F.sha2(F.col(text), 256)
+
+
+def _holding(docs: DataFrame, lex: Lexicon, text: str) -> DataFrame:
+    """``_hash`` of the different texts that hold a term."""
+    texts = docs.select(text_hash(text).alias("_hash"), F.col(text).alias("_text"))
+    return hits(texts, lex, "_hash", "_text").select("_hash").distinct()
+
+
+def flagged(docs: DataFrame, lex: Lexicon, out: str, text: str = "text") -> DataFrame:
+    """Add ``out``: whether the text holds a term; a NULL text does not."""
     if lex.literals is not None:
         return docs.withColumn(out, any_literal(lex, F.col(text)))
-    found = hits(docs, lex, key, text).select(key).distinct().withColumn("_found", F.lit(True))
-    return docs.join(found, key, "left").withColumn(out, F.coalesce("_found", F.lit(False))).drop("_found")
+    found = _holding(docs, lex, text).withColumn("_found", F.lit(True))
+    joined = docs.withColumn("_hash", text_hash(text)).join(found, "_hash", "left")
+    return joined.withColumn(out, F.coalesce("_found", F.lit(False))).drop("_found", "_hash")
 
 
-def containing(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows whose text contains a term. ``key`` must identify a row."""
+def containing(docs: DataFrame, lex: Lexicon, text: str = "text") -> DataFrame:
+    """Rows whose text contains a term."""
     if lex.literals is not None:
         return docs.filter(any_literal(lex, F.col(text)))
-    return docs.join(hits(docs, lex, key, text).select(key).distinct(), key, "left_semi")
+    return docs.withColumn("_hash", text_hash(text)).join(_holding(docs, lex, text), "_hash", "left_semi").drop("_hash")
 
 
-def without(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows whose text contains no term."""
+def without(docs: DataFrame, lex: Lexicon, text: str = "text") -> DataFrame:
+    """Rows whose text contains no term, NULL texts included."""
     if lex.literals is not None:
         return docs.filter(~any_literal(lex, F.col(text)))
-    return docs.join(hits(docs, lex, key, text).select(key).distinct(), key, "left_anti")
+    return docs.withColumn("_hash", text_hash(text)).join(_holding(docs, lex, text), "_hash", "left_anti").drop("_hash")
 
 
 def hits(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Distinct (key, term) pairs of contained terms."""
+    """Distinct (key, term) pairs of contained terms: rows of one key count as one text of it."""
     if lex.literals is not None:
         docs = docs.filter(any_literal(lex, F.col(text)))
         if len(lex.literals) <= LISTED_TERMS:
@@ -131,7 +171,7 @@ def hits(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "text")
                 F.array(subject),
                 lambda x: F.filter(table, lambda t: F.contains(x, F.concat(F.lit(pad), t, F.lit(pad)))),
             )
-            return docs.select(key, F.explode(F.flatten(inside)).alias("term"))
+            return docs.select(key, F.explode(F.flatten(inside)).alias("term")).distinct()
     if lex.preset == ENFORCE:
         return _char_gram_hits(docs, lex, key, F.col(text), positions=False).distinct()
     return _word_gram_hits(docs, lex, key, _subject(lex, F.col(text)))

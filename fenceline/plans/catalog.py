@@ -353,7 +353,7 @@ def tokens_until_end(spark, sf):
 
 
 def running_position(spark, sf):
-    kept = sequences.generated(_tokens(spark, sf)).filter(~F.contains("piece", F.lit(" ")))
+    kept = sequences.generated(_tokens(spark, sf))
     return running.position(kept.select("seq_id", F.col("pos").alias("at")), ["seq_id"], "at", "pos")
 
 
@@ -427,8 +427,7 @@ def cand_soft_penalty(spark, sf):
     rows += [(p.name, 100 + i, "regex", p.regex, C.NEG_INF_CONST) for i, p in enumerate(P.PII)]
     rows += [("shout", 200, "regex", "!", -0.25)]
     constraints = spark.createDataFrame(rows, K.CONSTRAINTS)
-    texts = candidates.withColumn("k", F.struct(*C.STEP, "cand")).withColumn("text", F.concat_ws(" ", "seq_id", "cand"))
-    punished = K.with_penalty(texts, constraints, key="k")
+    punished = K.with_penalty(candidates.withColumn("text", F.concat_ws(" ", "seq_id", "cand")), constraints)
     scored = punished.withColumn("score", C.soft_score(F.col("logit"), F.col("penalty"), F.col("is_eos")))
     return scored.select(
         *C.STEP,
@@ -446,7 +445,7 @@ def violated_constraints(spark, sf):
 
 def nbest_clean(spark, sf):
     outputs = V.nbest(spark, sf)
-    clean = spans.clean(T.without(outputs, _lex8(spark, T.ENFORCE), key="gen_id", text="output"), text="output")
+    clean = spans.clean(T.without(outputs, _lex8(spark, T.ENFORCE), text="output"), text="output")
     best = C.best_completions(clean.select("prompt_id", "gen_id", "sum_logprob"), 3)
     return best.select("prompt_id", "gen_id", "rank")
 
@@ -460,14 +459,12 @@ def seq_perplexity(spark, sf):
     chosen = steps.groupBy("doc_id", F.col("p.c").alias("seq_id"), F.col("p.s").alias("cand")).agg(
         F.count("*").alias("times")
     ).join(scored, ["seq_id", "cand"])
-    totals = chosen.groupBy("doc_id").agg(
-        F.sum("times").alias("n_tokens"), F.sum(F.col("times") * F.col("logprob")).alias("score")
-    )
-    return totals.select(
-        "doc_id",
+    scores = C.sequence_scores(chosen.select(F.col("doc_id").alias("seq_id"), "times", "logprob"))
+    return scores.select(
+        F.col("seq_id").alias("doc_id"),
         "n_tokens",
         F.round("score", 4).alias("score"),
-        F.round(F.exp(-F.col("score") / F.col("n_tokens")), 4).alias("perplexity"),
+        F.round("perplexity", 4).alias("perplexity"),
     )
 
 

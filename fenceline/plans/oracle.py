@@ -67,10 +67,9 @@ SAMPLE = (
 BIGRAMS = """w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
 pairs AS (SELECT doc_id, unnest(w[1:len(w) - 1]) AS seq_id, unnest(w[2:len(w)]) AS cand FROM w WHERE len(w) > 1),
 counted AS (SELECT seq_id, cand, count(*) AS n FROM pairs GROUP BY 1, 2),
-ctx AS (SELECT seq_id FROM counted GROUP BY 1 HAVING count(*) >= 5),
+ctx AS (SELECT DISTINCT seq_id FROM counted),
 cands AS (
   SELECT seq_id, 0 AS step, cand, ln(n) AS logit, false AS is_eos FROM counted
-  WHERE cand <> '</s>' AND seq_id IN (SELECT seq_id FROM ctx)
   UNION ALL SELECT seq_id, 0, '</s>', 0.0, true FROM ctx)"""
 
 
@@ -281,7 +280,7 @@ SQL: dict[str, str] = {
           round(a.r, 6) AS violation_rate, round(b.r, 6) AS base_rate
         FROM rated a LEFT JOIN (SELECT * FROM rated WHERE method = 'base') b USING (dataset, model_alias, batch_size)""",
     "throughput": """WITH r AS (SELECT event_type AS run_id, sum(floor(value * 10)::BIGINT)::BIGINT AS new_tokens,
-          sum(value / 10) AS seconds FROM events WHERE value > 0 GROUP BY 1)
+          sum(value / 10) AS seconds FROM events GROUP BY 1)
         SELECT run_id, new_tokens, round(seconds, 3) AS seconds, round(new_tokens / seconds, 6) AS tokens_per_second,
           round((new_tokens / seconds) / (SELECT new_tokens / seconds FROM r WHERE run_id = 'view'), 6) AS relative FROM r""",
     "seeded_sample": "SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id::VARCHAR), doc_id LIMIT 500",
@@ -292,7 +291,7 @@ SQL: dict[str, str] = {
           AS over FROM conversations) WHERE over = 0""",
     "running_position": f"""WITH {DOCS}, {TOKENS} SELECT seq_id, pos AS at,
         row_number() OVER (PARTITION BY seq_id ORDER BY pos) - 1 AS pos
-        FROM tokens WHERE NOT is_prompt AND NOT contains(piece, ' ')""",
+        FROM tokens WHERE NOT is_prompt""",
     "token_spans": f"""WITH {DOCS}, {TOKENS},
         u AS (SELECT doc_id, unnest(generate_series(0, len(m) - 1)) AS ord, unnest(m) AS span, unnest(g[1:len(m)]) AS gap
           FROM (SELECT doc_id, regexp_extract_all(text, '{ALL}') AS m, string_split_regex(text, '{ALL}') AS g

@@ -34,4 +34,4 @@ def toxic_prompts(prompts: DataFrame, lex: T.Lexicon) -> DataFrame:
         text_or_empty(F.col("continuation")).alias("text"),
     )
     usable = flat.filter(P.usable_prompt(F.col("prompt")))
-    return T.containing(usable, lex, key="row_id").select("row_id", "prompt")
+    return T.containing(usable, lex).select("row_id", "prompt")

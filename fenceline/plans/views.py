@@ -101,9 +101,10 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.split("text", " ", -1).alias("w"))
 
 
-def candidates(spark: SparkSession, sf_dir: str, min_successors: int = 5) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next-word candidates: a word of the corpus is a sequence of one step, its successors are the
-    candidates, the log of their count is the score; an end marker is added to every step."""
+    candidates, the log of their count is the score; an end marker, known by ``is_eos``, is added to
+    every step."""
     w, n = F.col("w"), F.size("w")
     pairs = F.arrays_zip(F.slice(w, F.lit(1), n - 1).alias("c"), F.slice(w, F.lit(2), n - 1).alias("s"))
     counted = (
@@ -113,18 +114,12 @@ def candidates(spark: SparkSession, sf_dir: str, min_successors: int = 5) -> Dat
         .groupBy(F.col("p.c").alias("seq_id"), F.col("p.s").alias("cand"))
         .agg(F.count("*").alias("n"))
     )
-    # The counted pairs move to their context once; the end marker rides on its first successor.
-    of_context = Window.partitionBy("seq_id")
-    known = F.when(F.col("cand") != END_PIECE, F.col("cand"))
-    stepped = (
-        counted.withColumn("k", F.count("*").over(of_context))
-        .withColumn("first", F.min(known).over(of_context))
-        .filter((F.col("k") >= min_successors) & (F.col("cand") != END_PIECE))
+    step = F.lit(0).alias("step")
+    scored = counted.select("seq_id", step, "cand", F.ln("n").alias("logit"), F.lit(False).alias("is_eos"))
+    ends = counted.select("seq_id").distinct().select(
+        "seq_id", step, F.lit(END_PIECE).alias("cand"), F.lit(0.0).alias("logit"), F.lit(True).alias("is_eos")
     )
-    scored = F.struct(F.col("cand").alias("cand"), F.ln("n").alias("logit"), F.lit(False).alias("is_eos"))
-    end = F.struct(F.lit(END_PIECE).alias("cand"), F.lit(0.0).alias("logit"), F.lit(True).alias("is_eos"))
-    rows = F.when(F.col("cand") == F.col("first"), F.array(scored, end)).otherwise(F.array(scored))
-    return stepped.select("seq_id", F.lit(0).alias("step"), F.explode(rows).alias("r")).select("seq_id", "step", "r.*")
+    return scored.unionByName(ends)
 
 
 def nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +220,6 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "events")
-        .filter("value > 0")
         .select(
             F.col("event_type").alias("run_id"),
             F.col("event_id").alias("batch_no"),

@@ -102,7 +102,7 @@ def test_generation_sink(spark, tmp_path):
     out = str(tmp_path / "gens")
     df = spark.createDataFrame([(0, "p ü", 'o "q"\n')], "idx BIGINT, prompt STRING, output STRING")
     writers.write_generations(df, out)
-    raw = next(Path(out).glob("part-*.json")).read_text(encoding="utf-8")
+    raw = "".join(p.read_text(encoding="utf-8") for p in Path(out).glob("part-*.json"))
     assert json.loads(raw) == {"idx": 0, "prompt": "p ü", "output": 'o "q"\n'} and "ü" in raw
     back = readers.read_generations(spark, out, "*.json").drop("file").collect()
     assert [tuple(r) for r in back] == [(0, "p ü", 'o "q"\n')]

@@ -1,6 +1,7 @@
 """Lexicon matching: three presets, two ways each, against plain Python."""
 
 import random
+import re
 
 import pytest
 
@@ -122,3 +123,43 @@ def test_constraint_table(spark, monkeypatch, listed):
     assert merged == {0: (3, -7.0), 1: (1, -1.0), 3: (1, -4.0)}
     totals = {r["doc_id"]: r["penalty"] for r in K.with_penalty(df, constraints).collect()}
     assert totals == {0: -7.0, 1: -1.0, 2: 0.0, 3: -4.0}
+
+
+NASTY = [(None, "bad x bad y"), (None, "clean"), (1, "a bad b"), (1, "clean too"), (2, None), (3, ""), (4, "bad"), (4, " BAD ")]
+
+
+@pytest.mark.parametrize("preset", [T.ENFORCE, T.SELECT, T.EVAL])
+@pytest.mark.parametrize("extra", [[], ["x" * 5000], [f"z{i}" for i in range(70)]])
+def test_results_do_not_depend_on_the_size_of_the_lexicon(spark, preset, extra):
+    rows = [(k, t if t is None else t + " " + "y" * 30) for k, t in NASTY] + NASTY + [(9, "p " + "x" * 5000 + " q")]
+    docs_ = spark.createDataFrame(rows, "doc_id INT, text STRING")
+    terms = spark.createDataFrame([("bad",), ("x bad",), *[(t,) for t in extra]], "term STRING")
+
+    def state(lex):
+        sort = lambda df: sorted(map(tuple, df.collect()), key=repr)
+        return (sort(T.containing(docs_, lex)), sort(T.without(docs_, lex)), sort(T.flagged(docs_, lex, "hit")))
+
+    known, *others = [state(T.lexicon(terms, preset, n)) for n in (T.LITERAL_TERMS, 3, 0)]
+    assert len(known[0]) + len(known[1]) == len(rows)
+    assert all(other == known for other in others)
+
+
+def test_any_of_long_and_nested_words():
+    words = ["a" * n for n in range(1, 300)] + ["b" * 5000, "ba", "", "c.d", "c.e"]
+    pattern = re.compile(T.any_of(words))
+    assert all(pattern.fullmatch(w) for w in words if w)
+    assert not any(pattern.fullmatch(w) for w in ["a" * 300, "b", "bb", "c.", "cxd"])
+
+
+def test_penalties_do_not_depend_on_the_size_of_the_table(spark):
+    docs_ = spark.createDataFrame(NASTY, "doc_id INT, text STRING")
+    known = None
+    for n in (0, 80, 300):
+        rows = [("t", 0, "term", "bad", -1.0), ("n", 1, "term", "clean", None), ("r", 2, "regex", "x.*y", -4.0)]
+        rows += [(f"t{i}", i, "term", f"zz{i}", -9.0) for i in range(10, 10 + n)]
+        rows += [(f"r{i}", i, "regex", f"zz{i}[0-9]", -9.0) for i in range(1000, 1000 + n)]
+        got = K.with_penalty(docs_, spark.createDataFrame(rows, K.CONSTRAINTS)).collect()
+        got = sorted(map(tuple, got), key=repr)
+        known = known or got
+        assert got == known
+    assert {r[2] for r in known} == {0.0, -1.0, -5.0}
