@@ -41,7 +41,7 @@ def definitions() -> dict[str, str]:
     cleaned = _without_markers("answer")
     trimmed, short = _trim_left(cleaned), _trim_right("prompt")
     name = f"translate(lower({_trim_right(_trim_left('value'))}), '-.', '__')"
-    reasons = " ".join(f"WHEN value RLIKE {_raw(p.regex)} THEN {_raw('match:' + p.regex)}" for p in P.PII)
+    reasons = " ".join(f"WHEN value RLIKE {_raw(p.completing)} THEN {_raw('match:' + p.regex)}" for p in P.PII)
     ends = ", ".join(_completion_end("value", p) for p in P.PII)
     return {
         "norm_name(value STRING) RETURNS STRING": name,
@@ -56,7 +56,7 @@ def definitions() -> dict[str, str]:
         "pii_reason(value STRING) RETURNS STRING": f"CASE {reasons} ELSE 'ok' END",
         "pii_completion_end(value STRING) RETURNS INT": f"least({ends})",
         "pii_redact(value STRING, placeholder STRING) RETURNS STRING": (
-            f"regexp_replace(value, {_raw(P.alternation())}, placeholder)"
+            f"CASE WHEN value RLIKE {_raw(P.probe())} THEN regexp_replace(value, {_raw(P.scan())}, placeholder) ELSE value END"
         ),
     }
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -109,3 +110,33 @@ def test_null_text(spark):
     df = spark.createDataFrame([(1, None)], "doc_id BIGINT, text STRING")
     assert spans.violating(df).count() == 0 and spans.clean(df).count() == 1
     assert spans.eligible(df).count() == 0
+
+
+def test_scanning_finds_the_matches_of_the_pattern(spark):
+    """The linear form against Python's matches of the plain one, also where a match ends inside a run."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab1.-_@@ %") for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
+    texts += ["a@b.coX1@c.de", "a@b.co1@c.de2@e.fg", "x@y.zz@a.bb", "@a.bc", "a@.bc", "123-45-6789a@b.co", None, "ü@b.co ä.a@b.co"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")
+    whole = re.compile(P.alternation())
+    got = {}
+    for r in spans.spans(df).collect():
+        got.setdefault(r["doc_id"], []).append((r["ord"], r["start"], r["end"], r["span"]))
+    want = {}
+    for i, t in enumerate(texts):
+        found = [(k, m.start(), m.end(), m.group()) for k, m in enumerate(whole.finditer(t or ""))]
+        if found:
+            want[i] = found
+    assert {k: sorted(v) for k, v in got.items()} == want
+    redacted = {r[0]: r[1] for r in df.select("doc_id", P.redact(F.col("text"))).collect()}
+    assert redacted == {i: t if t is None else whole.sub("[PII]", t) for i, t in enumerate(texts)}
+
+
+def test_long_runs_and_many_matches(spark):
+    texts = ["a@b.co " + "x" * 1_000_000, "y" * 500_000 + " z@b.co", "m@b.co " * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING").repartition(3)
+    start = time.monotonic()
+    counts = {r["doc_id"]: (r["n"], r["e"]) for r in spans.spans(df).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("end").alias("e")).collect()}
+    assert counts == {0: (1, 6), 1: (1, 500_007), 2: (100_000, 699_999)}
+    assert {r[0] for r in df.select(F.length(P.redact(F.col("text")))).collect()} == {1_000_006, 500_006, 600_000}
+    assert time.monotonic() - start < 60
