@@ -8,28 +8,35 @@ from pyspark.sql import functions as F
 from ..session import lookup_join
 from . import terms as T
 
-# (constraint_id, ord, kind 'term'|'regex', pattern, penalty)
+# (constraint_id, ord, kind 'term'|'regex', pattern, penalty). A table may have a column match_mode (ENFORCE,
+# SELECT or EVAL), which says how a term is compared; without it, or with NULL, terms are compared by ENFORCE.
 CONSTRAINTS = "constraint_id STRING, ord INT, kind STRING, pattern STRING, penalty DOUBLE"
+MODES = (T.ENFORCE, T.SELECT, T.EVAL)
 # Checks that one array of conditions holds; more of them take more arrays.
 CHECKS_AT_ONCE = 64
 
 
 def _rows(constraints: DataFrame) -> DataFrame:
-    """The table with its one rule for NULLs: a NULL penalty is 0."""
-    return constraints.withColumn("penalty", F.coalesce("penalty", F.lit(0.0)))
+    """The table with its rules for NULLs: a NULL penalty is 0, a NULL mode is ENFORCE."""
+    mode = F.col("match_mode") if "match_mode" in constraints.columns else F.lit(None).cast("string")
+    return constraints.withColumns(
+        {"penalty": F.coalesce("penalty", F.lit(0.0)), "match_mode": F.coalesce(mode, F.lit(T.ENFORCE))}
+    )
 
 
 def hits(texts: DataFrame, constraints: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Distinct (key, constraint_id, penalty) of the constraints that the texts of a key violate, terms by
-    raw containment."""
+    """Distinct (key, constraint_id, penalty) of the constraints that the texts of a key violate."""
     checks, term_rows = _checks(constraints, F.col(text))
     found = _flagged(texts, checks, key)
     if term_rows is None:
         return found.distinct()
-    lex = T.lexicon(term_rows.select(F.col("pattern").alias("term")), T.ENFORCE)
-    named = term_rows.select(F.col("pattern").alias("term"), "constraint_id", "penalty")
-    by_term = lookup_join(T.hits(texts, lex, key, text), named, "term")
-    return found.unionByName(by_term.select(key, "constraint_id", "penalty")).distinct()
+    for mode in MODES:
+        own = term_rows.filter(F.col("match_mode") == mode)
+        lex = T.lexicon(own.select(F.col("pattern").alias("term")), mode)
+        named = own.select(T.as_term(F.col("pattern"), mode).alias("term"), "constraint_id", "penalty")
+        by_term = lookup_join(T.hits(texts, lex, key, text), named, "term")
+        found = found.unionByName(by_term.select(key, "constraint_id", "penalty"))
+    return found.distinct()
 
 
 def with_penalty(
@@ -58,7 +65,7 @@ def _checks(constraints: DataFrame, body: Column) -> tuple[list, DataFrame | Non
     few = term_rows.filter("pattern <> ''").limit(T.LISTED_TERMS + 1).collect()
     if len(few) > T.LISTED_TERMS:
         return checks, term_rows
-    return [(r, F.contains(body, F.lit(r["pattern"]))) for r in few] + checks, None
+    return [(r, T.holds(body, F.lit(r["pattern"]), r["match_mode"])) for r in few] + checks, None
 
 
 def _flagged(texts: DataFrame, checks: list, key: str) -> DataFrame:

@@ -167,6 +167,24 @@ def run_summary(report: DataFrame, base_method: str = "base") -> DataFrame:
     return pooled.withColumn("base_rate", base.over(Window.partitionBy(*setting)))
 
 
+def setting_throughput(files: DataFrame, run_log: DataFrame, base_method: str = "base") -> DataFrame:
+    """Tokens per second per method, dataset, model and batch size, and relative to the unconstrained
+    method in the same setting. ``run_log`` has (file, new_tokens, seconds); badly named files are left out."""
+    setting = ["dataset", "model_alias", "batch_size"]
+    totals = run_log.groupBy("file").agg(F.sum("new_tokens").alias("new_tokens"), F.sum("seconds").alias("seconds"))
+    pooled = (
+        parse_names(files)
+        .filter("error IS NULL")
+        .join(totals, "file")
+        .groupBy("method", *setting)
+        .agg(F.sum("new_tokens").alias("new_tokens"), F.sum("seconds").alias("seconds"))
+        .withColumn("tokens_per_second", F.when(F.col("seconds") > 0, F.col("new_tokens") / F.col("seconds")))
+    )
+    # A setting has a row per method.
+    base = F.max(F.when(F.col("method") == base_method, F.col("tokens_per_second")))
+    return pooled.withColumn("relative", F.col("tokens_per_second") / base.over(Window.partitionBy(*setting)))
+
+
 def throughput(run_log: DataFrame) -> DataFrame:
     """Tokens per second of a run: the ratio of the sums."""
     seconds = F.col("seconds")

@@ -47,14 +47,9 @@ def lexicon(terms: DataFrame, preset: str, literal_terms: int = LITERAL_TERMS) -
     """Prepare ``terms.term`` for a preset. Empty terms, which would forbid every text, are dropped
     from ``ENFORCE`` and ``EVAL``."""
     term = F.col("term")
-    if preset == SELECT:
-        prepared = terms.select(F.lower(term).alias("term"))
-    elif preset == EVAL:
-        prepared = terms.select(F.lower(strip(term)).alias("term")).filter(term != "")
-    elif preset == ENFORCE:
-        prepared = terms.select(term).filter(term != "")
-    else:
-        raise ValueError(f"unknown preset: {preset}")
+    prepared = terms.select(as_term(term, preset).alias("term"))
+    if preset != SELECT:
+        prepared = prepared.filter(term != "")
     prepared = prepared.filter(term.isNotNull()).distinct()
     first = sorted(r["term"] for r in prepared.limit(literal_terms + 1).collect())
     if len(first) <= literal_terms:
@@ -63,6 +58,25 @@ def lexicon(terms: DataFrame, preset: str, literal_terms: int = LITERAL_TERMS) -
     return Lexicon(preset, written(prepared, "lexicon"), None)
 
 
+def as_term(term: Column, preset: str) -> Column:
+    """A term in the form in which a preset compares it."""
+    if preset == SELECT:
+        return F.lower(term)
+    if preset == EVAL:
+        return F.lower(strip(term))
+    if preset == ENFORCE:
+        return term
+    raise ValueError(f"unknown preset: {preset}")
+
+
+def holds(text: Column, term: Column, preset: str) -> Column:
+    """Whether a text holds a term under a preset."""
+    prepared = as_term(term, preset)
+    if preset == ENFORCE:
+        return F.contains(text, prepared)
+    return F.contains(F.lower(text) if preset == SELECT else text, F.concat(F.lit(" "), prepared, F.lit(" ")))
+
+
 def _subject(lex: Lexicon, text: Column) -> Column:
     return F.lower(text) if lex.preset == SELECT else text
 

@@ -13,7 +13,7 @@ from ..operators import lexicon as L
 from ..operators import running, runs, sampling, sequences, spans
 from ..operators import terms as T
 from ..session import shared_folder, written
-from ..sources import readers
+from ..sources import readers, writers
 from ..streaming import alerts, chunks
 from . import preparation
 from . import views as V
@@ -283,6 +283,68 @@ def violation_report(spark, sf):
     return _report(spark, sf).withColumn("violation_rate", rate)
 
 
+def violation_report_grams(spark, sf):
+    """The report with the lexicon as a join and records without an index."""
+    records = V.generations(V.docs_pii(spark, sf)).withColumn("idx", F.lit(None).cast("bigint"))
+    report = runs.violation_report(V.files(spark, sf), records, _lex8(spark, T.EVAL, 0))
+    return report.withColumn("violation_rate", F.when(~F.isnan("violation_rate"), F.round("violation_rate", 6)))
+
+
+def generations_roundtrip(spark, sf):
+    """Records through the JSON lines sink and back."""
+    path = shared_folder(spark, "generations")
+    writers.write_generations(V.generations(V.docs_pii(spark, sf)), path)
+    return readers.read_generations(spark, path, "*.json").select("idx", "prompt", "output")
+
+
+def lexicon_roundtrip(spark, sf):
+    """Matched spans through the JSON array sink, read as one of several lexicons and for evaluation."""
+    path = shared_folder(spark, "lexicon")
+    writers.write_json_lexicon(spans.distinct_spans(V.docs_pii(spark, sf)).withColumnRenamed("span", "term"), path)
+    union, _ = readers.read_json_lexicons(spark, [path])
+    evaluation = readers.read_evaluation_lexicon(spark, path)
+    return union.select(F.lit("union").alias("reader"), "term").unionByName(
+        evaluation.select(F.lit("evaluation").alias("reader"), "term")
+    )
+
+
+def report_roundtrip(spark, sf):
+    """Report and rejects through the CSV sinks and back."""
+    root = shared_folder(spark, "report")
+    path = writers.write_report(_report(spark, sf), root)
+    writers.write_rejects(runs.rejects(V.files(spark, sf)), f"{root}_rejects")
+    numbers = "file STRING, method STRING, dataset STRING, model_alias STRING, batch_size STRING, seed STRING, mode STRING"
+    numbers += ", total_examples BIGINT, violations BIGINT, violation_rate DOUBLE"
+    report = spark.read.schema(numbers).option("header", True).csv(path)
+    rejects = spark.read.schema("file STRING, error STRING").option("header", True).csv(f"{root}_rejects")
+    rate = F.when(~F.isnan("violation_rate"), F.round("violation_rate", 6)).alias("violation_rate")
+    columns = ["file", "method", "seed", "mode", "total_examples", "violations"]
+    return report.select(*columns, rate, F.lit(None).cast("string").alias("error")).unionByName(
+        rejects, allowMissingColumns=True
+    )
+
+
+def setting_throughput(spark, sf):
+    """Tokens per second of each setting, as if a second took a hundred characters."""
+    records = V.generations(V.docs_pii(spark, sf))
+    log = records.select(
+        "file",
+        F.size(F.split("output", " ", -1)).cast("bigint").alias("new_tokens"),
+        (F.length("output") / 100).alias("seconds"),
+    )
+    rates = runs.setting_throughput(V.files(spark, sf), log)
+    return rates.select(
+        "method",
+        "dataset",
+        "model_alias",
+        "batch_size",
+        "new_tokens",
+        F.round("seconds", 3).alias("seconds"),
+        F.round("tokens_per_second", 6).alias("tokens_per_second"),
+        F.round("relative", 6).alias("relative"),
+    )
+
+
 def report_rejects(spark, sf):
     return runs.rejects(V.files(spark, sf))
 
@@ -421,19 +483,42 @@ def cand_masked_pick(spark, sf):
     return C.chosen_logprob(candidates, picks).withColumn("logprob", F.round("logprob", 6))
 
 
-def cand_soft_penalty(spark, sf):
-    candidates = V.candidates(spark, sf)
+def _candidate_constraints(spark):
     rows = [(t, i, "term", t, -1.5) for i, t in enumerate(V.LEXICON8)]
     rows += [(p.name, 100 + i, "regex", p.regex, C.NEG_INF_CONST) for i, p in enumerate(P.PII)]
     rows += [("shout", 200, "regex", "!", -0.25)]
-    constraints = spark.createDataFrame(rows, K.CONSTRAINTS)
-    punished = K.with_penalty(candidates.withColumn("text", F.concat_ws(" ", "seq_id", "cand")), constraints)
-    scored = punished.withColumn("score", C.soft_score(F.col("logit"), F.col("penalty"), F.col("is_eos")))
-    return scored.select(
-        *C.STEP,
-        "cand",
-        F.round(F.when(F.col("score") > C.NEG_INF_THRESH, F.col("score")), 6).alias("score"),
+    return spark.createDataFrame(rows, K.CONSTRAINTS)
+
+
+def _finite_score(scored):
+    score = F.round(F.when(F.col("score") > C.NEG_INF_THRESH, F.col("score")), 6)
+    return scored.select(*C.STEP, "cand", score.alias("score"))
+
+
+def cand_soft_penalty(spark, sf):
+    texts = V.candidates(spark, sf).withColumn("text", F.concat_ws(" ", "seq_id", "cand"))
+    punished = K.with_penalty(texts, _candidate_constraints(spark))
+    return _finite_score(
+        punished.withColumn("score", C.soft_score(F.col("logit"), F.col("penalty"), F.col("is_eos")))
+    )
+
+
+def cand_penalty_join(spark, sf):
+    """The same scores from a table of penalties, one row per candidate and violated constraint."""
+    candidates = V.candidates(spark, sf)
+    texts = candidates.select(
+        F.struct(*C.STEP, "cand").alias("k"), F.concat_ws(" ", "seq_id", "cand").alias("text")
     )
+    penalties = K.hits(texts, _candidate_constraints(spark), "k").select("k.*", "penalty")
+    return _finite_score(C.penalised(candidates, penalties))
+
+
+def constraint_modes(spark, sf):
+    """Constraints violated per document, each term under all three ways of comparing."""
+    rows = [(f"{m}:{t}", i, "term", f" {t}" if m == T.EVAL else t.upper() if m == T.SELECT else t, -1.0, m)
+            for m in K.MODES for i, t in enumerate(V.LEXICON8)]
+    table = spark.createDataFrame(rows, K.CONSTRAINTS + ", match_mode STRING")
+    return K.hits(V.documents(spark, sf), table).select("doc_id", "constraint_id")
 
 
 def violated_constraints(spark, sf):
@@ -543,6 +628,11 @@ QUERIES = [
     strip_prompt,
     resolve_fields,
     violation_report,
+    violation_report_grams,
+    generations_roundtrip,
+    lexicon_roundtrip,
+    report_roundtrip,
+    setting_throughput,
     report_rejects,
     run_summary,
     throughput,
@@ -564,6 +654,8 @@ QUERIES = [
     cand_mask_audit,
     cand_masked_pick,
     cand_soft_penalty,
+    cand_penalty_join,
+    constraint_modes,
     violated_constraints,
     nbest_clean,
     seq_perplexity,

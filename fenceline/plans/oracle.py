@@ -371,3 +371,27 @@ SQL["token_scan_regex"] = f"WITH {DOCS}, g AS (SELECT doc_id AS seq_id, substr(t
     f"SELECT seq_id, '{p.name}' AS pattern, 3 + ({end_of('t', lazy)} - 1) // 7 AS pos FROM g WHERE regexp_matches(t, '{lazy}')"
     for p, lazy in zip(P.PII, LAZY)
 )
+
+SQL["violation_report_grams"] = SQL["violation_report"]
+SQL["cand_penalty_join"] = SQL["cand_soft_penalty"]
+SQL["generations_roundtrip"] = f"WITH {DOCS}, {GENERATIONS} SELECT idx, prompt, output FROM gens"
+SQL["lexicon_roundtrip"] = f"""WITH {DOCS},
+    spans AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{ALL}')) AS span FROM docs)
+    SELECT 'union' AS reader, span AS term FROM spans UNION ALL SELECT 'evaluation', lower(span) FROM spans"""
+SQL["report_roundtrip"] = f"""WITH {DOCS}, {LEX8}, {GENERATIONS}, {ANSWERS}, {REPORT}
+    SELECT file, method, seed, mode, total_examples, violations, CASE WHEN total_examples > 0 AND mode <> 'unsupported'
+      THEN round(violations / total_examples * 100, 6) END AS violation_rate, NULL AS error FROM report
+    UNION ALL SELECT DISTINCT file, NULL, NULL, NULL, NULL, NULL, NULL, 'Too few parts: ' || file FROM gens
+    WHERE file = 'broken_name.jsonl'"""
+SQL["setting_throughput"] = f"""WITH {DOCS}, {LEX8}, {GENERATIONS}, {ANSWERS}, {REPORT},
+    log AS (SELECT file, len(string_split(output, ' ')) AS t, length(output) / 100 AS s FROM gens),
+    pooled AS (SELECT method, dataset, model_alias, batch_size, sum(t)::BIGINT AS new_tokens, sum(s) AS seconds
+      FROM report JOIN log USING (file) GROUP BY ALL),
+    rated AS (SELECT *, CASE WHEN seconds > 0 THEN new_tokens / seconds END AS r FROM pooled)
+    SELECT a.method, a.dataset, a.model_alias, a.batch_size, a.new_tokens, round(a.seconds, 3) AS seconds,
+      round(a.r, 6) AS tokens_per_second, round(a.r / b.r, 6) AS relative
+    FROM rated a LEFT JOIN (SELECT * FROM rated WHERE method = 'base') b USING (dataset, model_alias, batch_size)"""
+SQL["constraint_modes"] = f"""WITH {DOCS}, {LEX8}
+    SELECT doc_id, 'ENFORCE:' || term AS constraint_id FROM docs JOIN lex ON contains(text, term)
+    UNION ALL SELECT doc_id, 'SELECT:' || term FROM docs JOIN lex ON contains(lower(text), ' ' || lower(term) || ' ')
+    UNION ALL SELECT doc_id, 'EVAL:' || term FROM docs JOIN lex ON contains(text, ' ' || lower(trim(term)) || ' ')"""

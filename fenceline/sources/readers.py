@@ -90,9 +90,17 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> Data
     return spark.createDataFrame(found, "file STRING, length BIGINT")
 
 
-def read_records(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(file, record VARIANT) of every non-blank line; a malformed line fails the query."""
-    lines = spark.read.option("pathGlobFilter", pattern).text(root)
+def read_records(
+    spark: SparkSession, root: str, pattern: str = "*.jsonl", files: list[str] | None = None
+) -> DataFrame:
+    """(file, record VARIANT) of every non-blank line of the matching files below ``root``, or of ``files``
+    alone; a malformed line fails the query."""
+    if files is None:
+        lines = spark.read.option("pathGlobFilter", pattern).text(root)
+    elif files:
+        lines = spark.read.text(files)
+    else:
+        return spark.createDataFrame([], "file STRING, value STRING").select("file", F.parse_json("value").alias("record"))
     return lines.select(source_path().alias("file"), strip(F.col("value")).alias("value")).filter(
         "value <> ''"
     ).select("file", F.parse_json("value").alias("record"))
@@ -115,8 +123,9 @@ def read_generations(
     pattern: str = "*.jsonl",
     prompt_key: str = "prompt",
     answer_key: str = "output",
+    files: list[str] | None = None,
 ) -> DataFrame:
-    return generations(read_records(spark, root, pattern), prompt_key, answer_key)
+    return generations(read_records(spark, root, pattern, files), prompt_key, answer_key)
 
 
 def stream(

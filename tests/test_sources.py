@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from fenceline.plans import evaluation
 from fenceline.operators import runs
 from fenceline.operators import terms as T
 from fenceline.sources import readers, writers
@@ -98,6 +99,20 @@ def test_no_files_and_bad_lines(spark, tmp_path):
         readers.read_records(spark, str(tmp_path)).collect()
 
 
+def test_badly_named_files_are_not_read(spark, tmp_path):
+    root = tmp_path / "runs"
+    root.mkdir()
+    (root / "ours_Enron_phi_4_1_42.jsonl").write_text('{"idx": 0, "output": "123-45-6789"}\n', encoding="utf-8")
+    (root / "odd.jsonl").write_text("{not json\n", encoding="utf-8")
+    (tmp_path / "lex.json").write_text('["bad"]', encoding="utf-8")
+    report, rejects = evaluation.evaluate(spark, str(root), str(tmp_path / "lex.json"))
+    assert [(r["total_examples"], r["violations"]) for r in report.collect()] == [(1, 1)]
+    assert [r["file"] for r in rejects.collect()] == ["odd.jsonl"]
+    (root / "ours_Enron_phi_4_1_42.jsonl").rename(root / "good.jsonl")
+    report, rejects = evaluation.evaluate(spark, str(root), str(tmp_path / "lex.json"))
+    assert report.count() == 0 and rejects.count() == 2
+
+
 def test_generation_sink(spark, tmp_path):
     out = str(tmp_path / "gens")
     df = spark.createDataFrame([(0, "p ü", 'o "q"\n')], "idx BIGINT, prompt STRING, output STRING")
