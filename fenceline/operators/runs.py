@@ -54,6 +54,7 @@ def parse_names(files: DataFrame, path: str = "file", aliases=MODEL_ALIASES) ->
         .withColumn("_parts", F.split(stem(name), "_", -1))
         .withColumn("_core", F.concat_ws("_", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 3, F.lit(0)))))
         .withColumn("_model", F.regexp_extract(core, alias, 1))
+        # The messages.
         .withColumn(
             "error",
             F.when(F.size(parts) < 5, F.concat(F.lit("Too few parts: "), name))
@@ -87,6 +88,7 @@ def output_name(dataset: Column, model: Column, batch_size: Column, seed: Column
     """Name of a result file of this method for a model given as ``owner/name``."""
     short = F.replace(F.split_part(F.split_part(model, F.lit("/"), F.lit(2)), F.lit("-Instruct"), F.lit(1)), F.lit("-"), F.lit("_"))
     return F.concat(
+        # Fixed value: the prefix of this method.
         F.concat_ws("_", F.lit("ours"), dataset, short, batch_size.cast("string"), seed.cast("string")),
         F.lit(".jsonl"),
     )

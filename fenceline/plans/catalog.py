@@ -573,10 +573,19 @@ def stream_filter(spark, sf):
     return alerts.drain(alerts.violating(docs).select("doc_id"))
 
 
+def stream_filter_terms(spark, sf):
+    """A stream against the lexicon as a join."""
+    docs = readers.stream(spark, sf, "doc_id BIGINT, text STRING", pattern="documents.parquet")
+    out = shared_folder(spark, "alerts")
+    alerts.write_term_alerts(docs, _lex8(spark, T.ENFORCE, 0), f"{out}/data", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema("doc_id BIGINT").parquet(f"{out}/data").select("doc_id")
+
+
 def stream_scan(spark, sf):
     source = shared_folder(spark, "chunks")
     V.chunks(V.docs_pii(spark, sf)).repartition(4, "chunk_no").write.parquet(source)
-    arriving = readers.stream(spark, source, "seq_id BIGINT, chunk_no INT, piece STRING", files_per_trigger=2)
+    schema = "seq_id BIGINT, chunk_no INT, piece STRING, is_last BOOLEAN"
+    arriving = readers.stream(spark, source, schema, files_per_trigger=2)
     found = alerts.drain(chunks.first_completions(arriving))
     return found.select("seq_id", F.col("end").alias("end_first"))
 
@@ -661,5 +670,6 @@ QUERIES = [
     seq_perplexity,
     sql_functions,
     stream_filter,
+    stream_filter_terms,
     stream_scan,
 ]

@@ -395,3 +395,4 @@ SQL["constraint_modes"] = f"""WITH {DOCS}, {LEX8}
     SELECT doc_id, 'ENFORCE:' || term AS constraint_id FROM docs JOIN lex ON contains(text, term)
     UNION ALL SELECT doc_id, 'SELECT:' || term FROM docs JOIN lex ON contains(lower(text), ' ' || lower(term) || ' ')
     UNION ALL SELECT doc_id, 'EVAL:' || term FROM docs JOIN lex ON contains(text, ' ' || lower(trim(term)) || ' ')"""
+SQL["stream_filter_terms"] = SQL["toxic_raw"]

@@ -87,7 +87,8 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def chunks(docs: DataFrame) -> DataFrame:
     pieces = F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{CHUNK_CHARS}}})"), F.lit(1))
-    return docs.select(F.col("doc_id").alias("seq_id"), F.posexplode(pieces).alias("chunk_no", "piece"))
+    cut = docs.select(F.col("doc_id").alias("seq_id"), F.size(pieces).alias("_n"), F.posexplode(pieces).alias("chunk_no", "piece"))
+    return cut.withColumn("is_last", F.col("chunk_no") == F.col("_n") - 1).drop("_n")
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

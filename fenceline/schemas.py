@@ -8,6 +8,7 @@ TOKENS = "seq_id BIGINT, pos BIGINT, piece STRING, is_prompt BOOLEAN, is_eos BOO
 CHUNKS = "seq_id BIGINT, chunk_no INT, piece STRING"
 RUN_LOG = "run_id STRING, batch_no BIGINT, new_tokens BIGINT, seconds DOUBLE"
 
+# Columns of the report, in order.
 REPORT_COLUMNS = [
     "file",
     "method",

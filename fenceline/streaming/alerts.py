@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import spans
+from ..operators import terms as T
 from ..session import shared_folder
 
 
@@ -14,6 +15,22 @@ def violating(stream: DataFrame, text: str = "text") -> DataFrame:
     return spans.violating(stream, text)
 
 
+def write_term_alerts(
+    stream: DataFrame, lexicon: T.Lexicon, path: str, checkpoint: str, text: str = "text"
+) -> StreamingQuery:
+    """Rows of a stream whose text holds a term of a lexicon of any size, under its preset, below ``path``.
+
+    Each micro-batch is filtered as a table; its rows lie in a folder of its number, which a repeated
+    batch writes again."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        T.containing(batch, lexicon, text).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def write_alerts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to parquet, processing what is available and then stopping. The checkpoint
     folder makes a restarted query go on where it ended."""
