@@ -230,11 +230,10 @@ SQL: dict[str, str] = {
         clean AS (SELECT state FROM st WHERE NOT {RAW8.format('state')}),
         grid AS (SELECT state, piece, state || piece AS t FROM clean, vocab),
         hit AS (SELECT state, piece, t, regexp_matches(t, '{"|".join(V.LEXICON8)}') AS blocked FROM grid),
-        tails AS (SELECT state, piece, n FROM (SELECT state, piece, t, unnest(generate_series(0, least(length(t), 12))) AS n
-            FROM hit WHERE NOT blocked) x WHERE right(t, n) IN (SELECT state FROM clean)),
-        best AS (SELECT state, piece, max(n) AS n FROM tails GROUP BY 1, 2),
-        nxt AS (SELECT hit.state, hit.piece, blocked, CASE WHEN NOT blocked THEN right(t, n) END AS next_state
-            FROM hit LEFT JOIN best USING (state, piece)),
+        known AS (SELECT list(state) AS states FROM clean),
+        nxt AS (SELECT state, piece, blocked, CASE WHEN NOT blocked THEN right(t, list_max(list_filter(
+            generate_series(0, least(length(t), 12)), lambda n: list_contains(states, right(t, n))))) END AS next_state
+            FROM hit, known),
         root AS (SELECT * FROM nxt WHERE state = '')
         SELECT nxt.* FROM nxt JOIN root USING (piece)
         WHERE nxt.state = '' OR nxt.blocked <> root.blocked OR nxt.next_state <> root.next_state""",
