@@ -28,6 +28,8 @@ ENFORCE, SELECT, EVAL = "ENFORCE", "SELECT", "EVAL"
 LITERAL_TERMS = 4096
 # Up to this many terms, which of them a text holds is tested term by term.
 LISTED_TERMS = 64
+# Characters that the beginnings of terms are told by, and up to how many beginnings are.
+HEAD, HEADS = 3, 4096
 # Depth of the groups of one expression.
 NESTED = 50
 # Long texts are cut into blocks of this many characters before character grams are made.
@@ -247,12 +249,23 @@ def _char_gram_hits(docs: DataFrame, lex: Lexicon, key, subject: Column, positio
         return docs.select(*keys, F.lit("").alias("term"), F.lit(0).alias("start")).limit(0)
 
     # A look-ahead captures the window at every character: from the anchor's width up to the longest
-    # term of the level. One pattern per level; the compiled one is kept from row to row.
+    # term of the level. One pattern per level; the compiled one is kept from row to row. Where the place
+    # of a window does not matter, only those that begin like a term are cut.
+    heads: dict[int, list[str]] = {}
+    if not positions:
+        head = F.left(F.col("term"), F.least(F.lit(HEAD), F.call_function("shiftleft", F.lit(1), level)))
+        found = lex.terms.select(level.alias("l"), head.alias("h")).distinct().limit(HEADS + 1).collect()
+        if len(found) <= HEADS:
+            for r in found:
+                heads.setdefault(r["l"], []).append(r["h"])
+
+    def window(j: int) -> str:
+        known = any_of(heads[j]) if heads else ""
+        given = min(HEAD, 1 << j) if heads else 0
+        return f"(?s)(?=({known}.{{{(1 << j) - given},{(2 << j) - 1 - given}}}))."
+
     table = F.array(
-        *[
-            F.struct(F.lit(1 << j).alias("_width"), F.lit(f"(?s)(?=(.{{{1 << j},{(2 << j) - 1}}})).").alias("_re"))
-            for j in levels
-        ]
+        *[F.struct(F.lit(1 << j).alias("_width"), F.lit(window(j)).alias("_re")) for j in levels]
     )
     blocks = docs.select(*keys, F.explode(_blocks(subject, longest - 1)).alias("_b")).select(*keys, "_b.*")
     leveled = blocks.select(*keys, "_at", "_block", F.explode(table).alias("_l")).select(
