@@ -32,7 +32,8 @@ BUCKETS = 1 << 18
 DIMENSIONS = 16
 GRAMS = (3, 4, 5)
 FIT_ROWS = 3_000
-FIT_BYTES = 12_000_000
+FIT_BYTES = 8_000_000
+WORDS_AT_ONCE = 10_000
 STEPS = 400
 BATCH = 32
 RATE = 3.0
@@ -77,7 +78,7 @@ def features(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
         owner.append(word[at])
     owners = np.concatenate(owner)
     order = np.argsort(owners, kind="stable")
-    return np.concatenate(ids)[order].astype(np.int64), np.bincount(owners, minlength=len(words))
+    return np.concatenate(ids).astype(np.int32)[order], np.bincount(owners, minlength=len(words))
 
 
 @dataclass
@@ -100,7 +101,10 @@ def fitted(texts: list[str], labels: list[int], steps: int = STEPS, seed: int =
         counts = Counter(marked_words(t))
         docs.append((np.array([number.setdefault(w, len(number)) for w in counts], dtype=np.int64), np.array(list(counts.values()), dtype=np.float64)))
     words = list(number)
-    ids, sizes = features(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    # A few words at a time: forming their features takes many times the room of the result.
+    parts = [features(words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)]
+    ids = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int32)])
+    sizes = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
     first = np.r_[0, np.cumsum(sizes)]
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     out, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
