@@ -40,7 +40,7 @@ MANY = 50_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _ALL = (1 << 64) - 1
 # Starts of strings that are handled at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 
 def _tables(seed: int = 5) -> np.ndarray:
@@ -95,34 +95,37 @@ def anchors(data: np.ndarray, hashes: Hashes, length: int = LENGTH, gram: int =
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
     width = length - gram + 1
-    found = []
-    for k in range(0, starts, CHUNK):
-        stop = min(k + CHUNK, starts)
-        grams = hashes.all(k, stop + width - 1, gram)
-        # 40 bits of hash over 24 bits of place: the minimum is the leftmost smallest gram.
-        low = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
-        span = 1
-        while 2 * span <= width:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        if span < width:
-            low = np.minimum(low[: stop - k], low[width - span : width - span + stop - k])
-        found.append((low & np.uint64((1 << 24) - 1)).astype(np.int64) + k)
-    at = np.concatenate(found)
+    grams = hashes.all(0, len(data) - gram + 1, gram)
+    # 40 bits of hash over 24 bits of place: the minimum is the leftmost smallest gram.
+    low = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
+    span = 1
+    while 2 * span <= width:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if span < width:
+        low = np.minimum(low[:starts], low[width - span : width - span + starts])
+    at = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     return at[first], first, np.r_[first[1:], starts] - 1
 
 
 def entries_of(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Key, block hash, first start and last start of each anchor."""
-    hashes = Hashes(data)
-    at, first, last = anchors(data, hashes, length, gram)
-    own = hashes.of(at, at + gram)
-    lead = (data[at].astype(np.uint64) << np.uint64(16)) | (data[at + 1].astype(np.uint64) << np.uint64(8)) | data[at + 2]
-    # Signed, in the order of the leading bytes.
-    key = ((lead << np.uint64(40)) | (own >> np.uint64(24))) ^ np.uint64(1 << 63)
-    block = hashes.of(first, last + length) ^ (last - first).astype(np.uint64) * np.uint64(_BASE)
-    return key.view("i8"), block.view("i8"), first, last
+    """Key, block hash, first start and last start of each anchor.
+
+    A text is taken in parts of CHUNK starts, so memory does not grow with it. A block on the border of two parts falls into
+    two, which differ from its copies as a whole; their strings are compared one by one."""
+    found = []
+    for k in range(0, max(1, len(data) - length + 1), CHUNK):
+        part = data[k : k + CHUNK + length - 1]
+        hashes = Hashes(part)
+        at, first, last = anchors(part, hashes, length, gram)
+        own = hashes.of(at, at + gram)
+        lead = (part[at].astype(np.uint64) << np.uint64(16)) | (part[at + 1].astype(np.uint64) << np.uint64(8)) | part[at + 2]
+        # Signed, in the order of the leading bytes.
+        key = ((lead << np.uint64(40)) | (own >> np.uint64(24))) ^ np.uint64(1 << 63)
+        block = hashes.of(first, last + length) ^ (last - first).astype(np.uint64) * np.uint64(_BASE)
+        found.append((key.view("i8"), block.view("i8"), first + k, last + k))
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
 
 
 class Index:

@@ -122,11 +122,12 @@ def test_suffixes_on_periodic_and_random_bytes(spark):
         assert {r[0]: tuple(r)[1:] for r in got.collect()} == dict(enumerate(want))
 
 
-def test_anchors_in_chunks(monkeypatch):
-    data = np.frombuffer(np.random.default_rng(0).bytes(5000), dtype=np.uint8)
-    whole = suffixes.anchors(data, suffixes.Hashes(data))
-    monkeypatch.setattr(suffixes, "CHUNK", 333)
-    assert all((a == b).all() for a, b in zip(whole, suffixes.anchors(data, suffixes.Hashes(data)), strict=True))
+def test_long_texts_in_parts(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 97)
+    rows = docs.select("doc_id", "text").collect()
+    got = suffixes.cleaned(docs, 50, 20).select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
+    want = plain_spans([(r["text"] or "").encode() for r in rows], 50)
+    assert Counter(map(tuple, got.collect())) == Counter((r["doc_id"], *w) for r, w in zip(rows, want, strict=True))
 
 
 def test_levels_grow_geometrically(spark):
