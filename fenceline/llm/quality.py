@@ -4,7 +4,7 @@ A text's features are its words, the character 3- to 5-grams of its words, and t
 before it, and a word of a line that repeats an earlier line. Features are hashed into buckets, each bucket has a learned
 vector, a text is the average of its features' vectors, and a softmax over two outputs gives the score. Training
 is numpy stochastic gradient descent over a bounded sample of labelled rows: those with the smallest hashes of their ids, at most
-``FIT_ROWS`` rows and ``FIT_BYTES`` bytes of text.
+``FIT_ROWS`` rows and ``FIT_BYTES`` bytes of text, none above ``FIT_LONGEST``.
 
 As output is linear in the average, a word's share of the result is one number; ``scored`` sends the
 buckets' numbers to all workers (their size is a parameter) and keeps each word's sum in a cache.
@@ -33,6 +33,7 @@ DIMENSIONS = 16
 GRAMS = (3, 4, 5)
 FIT_ROWS = 3_000
 FIT_BYTES = 8_000_000
+FIT_LONGEST = 1_000_000
 WORDS_AT_ONCE = 10_000
 STEPS = 400
 BATCH = 32
@@ -154,6 +155,7 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     # FIT_ROWS rows at most, so they may be sent to every task.
     chosen = F.broadcast(own.withColumn("rank", rank).orderBy("rank", "id", "y").limit(FIT_ROWS))
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    texts = texts.where(F.octet_length("text") <= FIT_LONGEST)
     sample = written(texts.join(chosen, "id").select("rank", "id", "y", "text"), "sample")
     kept, size, last = 0, 0, None
     order = sample.select("rank", F.octet_length("text").alias("n")).orderBy("rank", "n").limit(FIT_ROWS)
