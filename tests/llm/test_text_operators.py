@@ -2,6 +2,7 @@
 
 import bisect
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -113,6 +114,68 @@ def test_licenses_on_awkward_rows(docs, empty):
     assert licenses.scanned(docs, templates={}).where("n_matches > 0").count() == 0
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and
+the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and
+the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
+COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE
+USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or
+FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+
+
+def test_published_licenses_wrapped_and_in_prose(spark):
+    mit = licenses.PUBLISHED["mit-license"]
+    wrapped = {"mit-license": mit, "bsd-2-clause-license": BSD, "gpl-3.0-header": GPL}
+    wrapped |= {n: licenses.PUBLISHED[n] for n in ("gpl-3.0-license", "mpl-2.0-license", "lgpl-2.1-license", "apache-2.0-license")}
+    prose = "\n".join(" ".join(f"w{i * 7 % 31}x{j}" for j in range(12)) for i in range(40))
+    cases = [(name, width, comment, alone) for name in wrapped for width, comment in ((76, ""), (60, " * ")) for alone in (True, False)]
+    rows = []
+    for i, (name, width, comment, alone) in enumerate(cases):
+        body = "\n\n".join(textwrap.fill(" ".join(p.split()), width, initial_indent=comment, subsequent_indent=comment) for p in wrapped[name].split("\n\n"))
+        rows.append((i, body if alone else f"{prose}\n\n{body}\n\n{prose}"))
+    rows.append((len(cases), f"{prose}\n{mit}\n{prose}\n{mit}\n{prose}"))
+    got = {r["doc_id"]: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, _, _, alone) in enumerate(cases):
+        # Whole licences hold their own headers, too.
+        assert name in got[i]["licenses"].split(",") and got[i]["license"].rsplit("-", 1)[0] == name.rsplit("-", 1)[0], (cases[i], got[i])
+        assert alone or got[i]["unit"] > 40
+    twice = got[len(cases)]
+    assert twice["license"] == "mit-license" and twice["score"] > 0.95 and twice["n_matches"] >= 2
+
+
+def test_license_runs_against_all_pairs_of_lines():
+    rng = np.random.default_rng(3)
+    templates = {"a": "one two three four five six seven eight nine ten", "b": "red green blue red green", "c": "x y"}
+    known = licenses.prepared(templates, 0.8)
+    every = frozenset().union(*(t.bigrams for t in known))
+    pool = " ".join(templates.values()).split() + ["", "", "other"]
+    for _ in range(400):
+        words = list(rng.choice(pool, rng.integers(0, 12))) + templates[rng.choice(["a", "b", "c"])].split() + list(rng.choice(pool, rng.integers(0, 12)))
+        text = "".join(w + ("\n" if rng.random() < 0.3 else " ") for w in words)
+        lines = text.split("\n")
+        found = licenses.matches(text, known, every, 0.8)
+        for t in known:
+            best = 0.0
+            for i in range(len(lines)):
+                for j in range(i, len(lines)):
+                    w = re.findall(r"[^\W_]+", " ".join(lines[i : j + 1]))
+                    own = set(zip(w, w[1:], strict=False))
+                    if len(w) <= t.words or i == j:
+                        best = max(best, 2 * len(own & t.bigrams) / (len(own) + len(t.bigrams)))
+            w = re.findall(r"[^\W_]+", text)
+            own = set(zip(w, w[1:], strict=False))
+            best = max(best, 2 * len(own & t.bigrams) / (len(own) + len(t.bigrams)))
+            scores = [-m[0] for m in found if m[1] == t.name]
+            assert max(scores, default=0.0) == (best if best >= 0.8 else 0.0)
+
+
 # --- quality ---------------------------------------------------------------------------------------
 
 
