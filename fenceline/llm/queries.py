@@ -70,7 +70,7 @@ def op9_adaptive_scan(spark, sf):
 
 def byte_pieces(docs: DataFrame) -> DataFrame:
     return packing.pieces(
-        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, END_ID, SEQUENCE
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, END_ID, SEQUENCE
     )
 
 

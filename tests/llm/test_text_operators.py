@@ -299,6 +299,13 @@ def test_packed_pieces(spark, docs, empty):
     assert packing.packed_pieces(queries.byte_pieces(empty), 1024).collect() == []
 
 
+def test_pieces_of_long_white_space(spark):
+    run = 1_200_000
+    texts = [" " * run + "a", "\n" * run + "a", "b" + " " * run + "<|endoftext|>c", "d\t" + " " * (packing.LONG_RUN - 2) + "e", "f"]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_packed(list(enumerate(texts)), packing.packed_pieces(queries.byte_pieces(own).cache(), 1024).collect(), 1024)
+
+
 def test_packing_of_given_documents(spark):
     texts = rows_of(spark, "documents", "doc_id", "text")
     got = entry.queries()["op10_pattern_packing"](spark, SF).collect()
