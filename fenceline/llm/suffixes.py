@@ -166,7 +166,8 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
         t.cast("binary").alias("text"),
         F.xxhash64(t).alias("t1"),
-        F.xxhash64(t, F.lit(1)).alias("t2"),
+        # The text comes last: hashed first, its own hash would be all that is known of it.
+        F.xxhash64(F.lit(1), t).alias("t2"),
     )
 
 

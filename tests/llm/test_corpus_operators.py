@@ -342,3 +342,21 @@ def test_abandoned_rows_are_far(spark):
         score[q] = -math.inf
         hits += len(set(ids.tolist()) & set(np.argsort(-score)[:5].tolist()))
     assert hits >= 95
+
+
+def test_texts_that_agree_in_one_hash_are_told_apart(spark):
+    # Two texts with one XXH64 of seed 42: the second stripe makes up for the first.
+    p1, p2, all_ = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+
+    def after(word):
+        v = (42 + p1 + p2 + word * p2) & all_
+        return ((v << 31 | v >> 33) * p1) & all_
+
+    a = bytes(range(33, 97)) * 4
+    first, second = (int.from_bytes(a[k : k + 8], "little") for k in (0, 32))
+    other = first ^ 1
+    made_up = (second + (after(first) - after(other)) * pow(p2, -1, 1 << 64)) & all_
+    b = other.to_bytes(8, "little") + a[8:32] + made_up.to_bytes(8, "little") + a[40:]
+    docs = spark.createDataFrame([(bytearray(a),), (bytearray(b),)], "text binary").select(F.col("text").cast("string").alias("text"))
+    one, two = suffixes._texts(docs, "text").collect()
+    assert one["text"] != two["text"] and one["t1"] == two["t1"] and one["t2"] != two["t2"]
