@@ -1,14 +1,14 @@
-"""Removal of long repeated passages with a logarithmic family of sparse suffix arrays.
+"""Removal of long repeated passages by minimizer hashing, with a logarithmic family of key tables.
 
 A byte goes if it lies in a string of ``length`` bytes that starts anywhere else, too.
 
-Sparse suffixes. Of the ``length - GRAM + 1`` grams in a string of ``length`` bytes, that with the smallest hash is the
-string's anchor. Equal strings have their anchors at equal places, so only suffixes that
-start at an anchor are indexed, about one in 70. An entry's key is the first three bytes of the suffix and 40 bits of the
-hash of its first gram: keys are in the order of the suffixes' first bytes, and equal suffixes have equal keys.
+Anchors. Of the ``length - GRAM + 1`` grams in a string of ``length`` bytes, that with the smallest hash is the
+string's anchor. Equal strings have their anchors at equal places, so only places that
+are anchors are indexed, about one in 70. An entry's key is the first three bytes of the anchor's gram and 40 bits of the gram's
+hash: equal strings have equal keys. The index holds no positions and no order of suffixes.
 
-Index family. ``Index.add`` takes a batch of entries, forms its suffix array (its keys in order, each once, in runs by hash),
-merge-scans it against every level by a sort-merge join, and notes the keys that occur again, in the batch
+Index family. ``Index.add`` takes a batch of entries, counts its keys, joins them
+with every level by equality, and notes the keys that occur again, in the batch
 or in a level. The batch becomes a level; before the next one comes, levels of equal size are merged,
 so n batches lie in about log n levels and a key is rewritten log n times.
 
