@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import licenses, mixing, nearest, packing, quality, rules, sharding, simhash, suffixes, token_counts
+from . import licenses, mixing, nearest, packing, periodic, quality, rules, sharding, simhash, suffixes, token_counts
 from .common import table
 
 SEQUENCE = 1024
@@ -79,10 +79,14 @@ def op10_pattern_packing(spark, sf):
     return packing.packed_pieces(pieces, SEQUENCE)
 
 
+def op13_grammar_runs(spark, sf):
+    return periodic.detected(table(spark, sf, "documents"), change=periodic.looped)
+
+
 def pipeline(spark, sf):
     import corpus_pipeline  # it imports this module
 
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES: list[Callable] = [op1_poisson_mixing, op2_suffix_index_dedup, op3_subword_quality, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op8_license_bigrams, op9_adaptive_scan, op10_pattern_packing, pipeline]
+QUERIES: list[Callable] = [op1_poisson_mixing, op2_suffix_index_dedup, op3_subword_quality, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op8_license_bigrams, op9_adaptive_scan, op10_pattern_packing, op13_grammar_runs, pipeline]
