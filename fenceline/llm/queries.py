@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from . import alignment, licenses, mixing, nearest, packing, periodic, quality, rules, sharding, simhash, suffixes, token_counts
+from . import alignment, licenses, mixing, nearest, packing, periodic, quality, rules, sharding, signature_trees, simhash, suffixes, token_counts
 from .common import table
 
 SEQUENCE = 1024
@@ -79,6 +79,10 @@ def op10_pattern_packing(spark, sf):
     return packing.packed_pieces(pieces, SEQUENCE)
 
 
+def op11_signature_trees(spark, sf):
+    return signature_trees.joined(table(spark, sf, "documents"))
+
+
 def op12_pair_alignment(spark, sf):
     files = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
     return alignment.aligned(table(spark, sf, "documents"), *files)
@@ -94,4 +98,4 @@ def pipeline(spark, sf):
     return corpus_pipeline.run(spark, sf)
 
 
-QUERIES: list[Callable] = [op1_poisson_mixing, op2_suffix_index_dedup, op3_subword_quality, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op8_license_bigrams, op9_adaptive_scan, op10_pattern_packing, op12_pair_alignment, op13_grammar_runs, pipeline]
+QUERIES: list[Callable] = [op1_poisson_mixing, op2_suffix_index_dedup, op3_subword_quality, op4_flow_resharding, op5_pigeonring_simhash, op6_rule_ledger, op7_two_tier_tokens, op8_license_bigrams, op9_adaptive_scan, op10_pattern_packing, op11_signature_trees, op12_pair_alignment, op13_grammar_runs, pipeline]
