@@ -9,37 +9,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import lookup_join, written
+
 STEP = ["seq_id", "step"]
 # Slices of a step that are ranked apart before they meet.
 SLICES = 32
 # Scores below the threshold count as minus infinity.
 NEG_INF_CONST, NEG_INF_THRESH = -1000000000.0, -1000000.0
 MINUS_INF = float("-inf")
+# Bins of levels: so many to a unit of score below the peak; all lower levels share the last one.
+BINS_PER_UNIT, LAST_BIN = 64, 4096
+# Characters by which texts of one level are told apart before any are sorted.
+HEAD_CHARS = 3
 
 
 def _step() -> Window:
     return Window.partitionBy(*STEP)
 
 
+def levels(candidates: DataFrame, logit: str = "logit") -> DataFrame:
+    """(seq_id, step, _level, _n): how many candidates of a step have a score, as a table: candidates are read once for it,
+    and equal scores are counted before they meet."""
+    counted = candidates.groupBy(*STEP, F.col(logit).alias("_level")).agg(F.count("*").alias("_n"))
+    return written(counted, "levels")
+
+
 def log_softmax(candidates: DataFrame, logit: str = "logit", out: str = "logprob") -> DataFrame:
     """Add the log-probability within the step; a masked candidate keeps minus infinity. A step's peak and
-    mass are aggregates that are joined back: a step with very many candidates is no single task's."""
+    mass are aggregates that are looked up: a step with very many candidates is no single task's."""
     return (
-        candidates.join(step_mass(candidates, logit), STEP)
+        lookup_join(candidates, written(step_mass(levels(candidates, logit)), "mass"), STEP)
         .withColumn(out, F.col(logit) - F.col("_peak") - F.ln("_mass"))
         .drop("_peak", "_mass")
     )
 
 
-def step_mass(candidates: DataFrame, logit: str = "logit") -> DataFrame:
+def step_mass(levels: DataFrame) -> DataFrame:
     """(seq_id, step, _peak, _mass): the highest score of a step and the sum of exp(score - peak)."""
-    peaks = candidates.groupBy(*STEP).agg(F.max(logit).alias("_peak"))
-    # Equal scores are counted before they meet their peak.
-    levels = candidates.groupBy(*STEP, F.col(logit).alias("_level")).agg(F.count("*").alias("_n"))
-    masses = levels.join(peaks, STEP).groupBy(*STEP).agg(
+    peaks = levels.groupBy(*STEP).agg(F.max("_level").alias("_peak"))
+    return lookup_join(levels, peaks, STEP).groupBy(*STEP).agg(
         F.first("_peak").alias("_peak"), F.sum(F.col("_n") * F.exp(F.col("_level") - F.col("_peak"))).alias("_mass")
     )
-    return masses
 
 
 def temperature(candidates: DataFrame, value: float, logit: str = "logit") -> DataFrame:
@@ -50,26 +60,75 @@ def top_k(candidates: DataFrame, k: int, logit: str = "logit") -> DataFrame:
     """Drop candidates strictly below the k-th value; ties with it stay. ``k <= 0`` is off."""
     if k <= 0:
         return candidates
-    # Each slice of a step keeps its own k best scores; the k-th of them together is exact, and rows
+    # Each slice of a step's levels keeps its own k best; the k-th value among them is exact, and rows
     # are then compared with it.
-    slice_ = F.pmod(F.xxhash64("cand"), F.lit(SLICES))
-    own = Window.partitionBy(*STEP, "_slice").orderBy(F.col(logit).desc())
-    scores = candidates.select(*STEP, logit, slice_.alias("_slice")).withColumn("_r", F.row_number().over(own))
-    few = scores.filter(F.col("_r") <= k).withColumn("_r", F.row_number().over(_step().orderBy(F.col(logit).desc())))
-    last = few.filter(F.col("_r") <= k).groupBy(*STEP).agg(F.min(logit).alias("_last"))
-    return candidates.join(last, STEP).filter(F.col(logit) >= F.col("_last")).drop("_last")
+    best = F.col("_level").desc()
+    own = Window.partitionBy(*STEP, F.pmod(F.xxhash64("_level"), F.lit(SLICES))).orderBy(best)
+    few = levels(candidates, logit).withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= k)
+    above = F.coalesce(F.sum("_n").over(_step().orderBy(best).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = few.withColumn("_above", above).filter(F.col("_above") < k).groupBy(*STEP).agg(F.min("_level").alias("_last"))
+    return lookup_join(candidates, written(last, "last"), STEP).filter(F.col(logit) >= F.col("_last")).drop("_last")
 
 
 def top_p(candidates: DataFrame, p: float, logit: str = "logit") -> DataFrame:
-    """Keep a candidate while the probability before it is at most ``p``; the first always stays.
-    ``p >= 1`` is off."""
+    """Keep a candidate, in the order of score and text, while the probability before it is at most ``p``; the first
+    always stays. ``p >= 1`` is off.
+
+    No step is sorted. The mass of a step is summed by level and by bin of levels; a running sum over the bins finds the bin
+    that crosses ``p``, one over that bin's levels finds the level, and how many candidates of that level stay follows from their equal
+    shares. Which of them do is found likewise, by the beginnings of their texts.
+    """
     if p >= 1.0:
         return candidates
-    order = _step().orderBy(F.col(logit).desc(), "cand").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.exp("_lp")).over(order), F.lit(0.0))
-    ranked = log_softmax(candidates, logit, "_lp").withColumn("_before", before)
-    first = F.row_number().over(_step().orderBy(F.col(logit).desc(), "cand")) == 1
-    return ranked.withColumn("_first", first).filter("_before <= %r OR _first" % float(p)).drop("_lp", "_before", "_first")
+    cut = written(_mass_cut(levels(candidates, logit), max(0.0, float(p))), "cut")
+    rows = lookup_join(candidates, cut, STEP)
+    whole = rows.filter((F.col(logit) > F.col("_cut")) | ((F.col(logit) == F.col("_cut")) & (F.col("_keep") >= F.col("_n"))))
+    part = rows.filter((F.col(logit) == F.col("_cut")) & (F.col("_keep") < F.col("_n")))
+    extra = ["_cut", "_keep", "_n"]
+    return whole.drop(*extra).unionByName(_first_by_text(part).drop(*extra))
+
+
+def _mass_cut(levels: DataFrame, p: float) -> DataFrame:
+    """(seq_id, step, _cut, _n, _keep): the level in which the mass of a step exceeds ``p``, its candidates, and how many of
+    them stay."""
+    before = Window.unboundedPreceding, -1
+    shares = lookup_join(levels, written(step_mass(levels), "mass"), STEP).select(
+        *STEP,
+        "_level",
+        "_n",
+        # Without a finite score no candidate has a share; the first one stays.
+        F.when(F.col("_peak") == MINUS_INF, 0.0).otherwise(F.exp(F.col("_level") - F.col("_peak")) / F.col("_mass")).alias("_each"),
+        F.least(F.floor((F.col("_peak") - F.col("_level")) * BINS_PER_UNIT), F.lit(LAST_BIN)).alias("_at"),
+    ).withColumn("_bin", F.when(F.col("_level") == MINUS_INF, LAST_BIN).otherwise(F.col("_at")).cast("int"))
+    shares = written(shares.drop("_at"), "shares")
+    # At most LAST_BIN + 1 bins to a step.
+    bins = shares.groupBy(*STEP, "_bin").agg(F.sum(F.col("_n") * F.col("_each")).alias("_share"))
+    base = F.coalesce(F.sum("_share").over(_step().orderBy("_bin").rowsBetween(*before)), F.lit(0.0))
+    last = bins.withColumn("_base", base).filter(F.col("_base") <= p).groupBy(*STEP).agg(F.max_by(F.struct("_bin", "_base"), "_bin").alias("_b"))
+    inside = lookup_join(shares, last.select(*STEP, "_b.*").withColumnRenamed("_bin", "_own"), STEP).filter("_bin = _own")
+    order = _step().orderBy(F.col("_level").desc()).rowsBetween(*before)
+    inside = inside.withColumn("_before", F.col("_base") + F.coalesce(F.sum(F.col("_n") * F.col("_each")).over(order), F.lit(0.0)))
+    crossing = F.min_by(F.struct("_level", "_n", "_each", "_before"), "_level").alias("_l")
+    found = inside.filter(F.col("_before") <= p).groupBy(*STEP).agg(crossing).select(*STEP, "_l.*")
+    keep = F.when(F.col("_level") == MINUS_INF, F.when(F.col("_before") == 0.0, 1).otherwise(0)).otherwise(
+        F.least(F.floor((F.lit(p) - F.col("_before")) / F.col("_each")) + 1, F.col("_n"))
+    )
+    return found.select(*STEP, F.col("_level").alias("_cut"), "_n", keep.cast("bigint").alias("_keep"))
+
+
+def _first_by_text(rows: DataFrame) -> DataFrame:
+    """The ``_keep`` first rows of each step in the order of ``cand``. Beginnings of texts are counted and summed up in order; only rows of the
+    beginning in which the count is reached are sorted."""
+    rows = rows.withColumn("_head", F.left("cand", F.lit(HEAD_CHARS)))
+    sizes = rows.groupBy(*STEP, "_head").agg(F.count("*").alias("_size"))
+    order = _step().orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lookup_join(rows, written(sizes.withColumn("_first", F.coalesce(F.sum("_size").over(order), F.lit(0))), "heads"), [*STEP, "_head"])
+    kept = placed.filter(F.col("_first") < F.col("_keep"))
+    whole = kept.filter(F.col("_first") + F.col("_size") <= F.col("_keep"))
+    rank = F.row_number().over(Window.partitionBy(*STEP, "_head").orderBy("cand"))
+    some = kept.filter(F.col("_first") + F.col("_size") > F.col("_keep")).withColumn("_r", rank)
+    some = some.filter(F.col("_first") + F.col("_r") <= F.col("_keep")).drop("_r")
+    return whole.unionByName(some).drop("_head", "_size", "_first")
 
 
 def greedy(candidates: DataFrame, logit: str = "logit", out: str = "picked") -> DataFrame:
@@ -118,38 +177,34 @@ def mask_audit(candidates: DataFrame) -> DataFrame:
     candidate is blocked.
     """
     hit = F.col("blocked") & ~F.col("is_eos")
-    ranked = F.struct((-F.col("logit")).alias("s"), F.col("cand").alias("c"))
-    peaks = candidates.groupBy(*STEP).agg(
-        F.count("*").alias("n_cands"),
-        F.count_if(hit).alias("n_blocked"),
-        F.min(ranked).alias("_b"),
-        F.min(F.when(~hit, ranked)).alias("_a"),
+    # One pass over the candidates: what a step needs is known of its levels.
+    by_level = candidates.groupBy(*STEP, F.col("logit").alias("_level")).agg(
+        F.count("*").alias("_n"),
+        F.count_if(hit).alias("_h"),
+        F.min("cand").alias("_b"),
+        F.min(F.when(~hit, F.col("cand"))).alias("_a"),
     )
-    levels = candidates.groupBy(*STEP, "logit").agg(F.count("*").alias("_n"), F.count_if(hit).alias("_h"))
-    share = F.exp(F.col("logit") + F.col("_b.s"))
-    sums = levels.join(peaks, STEP).groupBy(*STEP).agg(
-        F.first("n_cands").alias("n_cands"),
-        F.first("n_blocked").alias("n_blocked"),
-        F.first("_b").alias("_b"),
-        F.first("_a").alias("_a"),
-        (F.sum(F.col("_h") * share) / F.sum(F.col("_n") * share)).alias("removed_mass"),
+    by_level = written(by_level, "levels")
+    peaks = by_level.groupBy(*STEP).agg(
+        F.sum("_n").alias("n_cands"),
+        F.sum("_h").alias("n_blocked"),
+        F.max("_level").alias("_peak"),
+        F.max_by("_b", "_level").alias("greedy_before"),
+        F.max_by("_a", F.when(F.col("_a").isNotNull(), F.col("_level"))).alias("greedy_after"),
     )
-    return (
-        sums.select(
-            *STEP,
-            "n_cands",
-            "n_blocked",
-            "removed_mass",
-            F.col("_b.c").alias("greedy_before"),
-            F.col("_a.c").alias("greedy_after"),
-        )
+    share = F.exp(F.col("_level") - F.col("_peak"))
+    kept = ["n_cands", "n_blocked", "greedy_before", "greedy_after"]
+    sums = lookup_join(by_level, written(peaks, "peaks"), STEP).groupBy(*STEP).agg(
+        *[F.first(c).alias(c) for c in kept], (F.sum(F.col("_h") * share) / F.sum(F.col("_n") * share)).alias("removed_mass")
     )
+    return sums.select(*STEP, "n_cands", "n_blocked", "removed_mass", "greedy_before", "greedy_after")
 
 
 def chosen_logprob(candidates: DataFrame, picks: DataFrame) -> DataFrame:
-    """(seq_id, step, picked, logprob) with the original, unmasked log-probability of the pick."""
-    scored = log_softmax(candidates).select(*STEP, F.col("cand").alias("picked"), "logprob")
-    return picks.join(scored, [*STEP, "picked"])
+    """(seq_id, step, picked, logprob) with the original, unmasked log-probability of the pick. Only the picks are scored."""
+    chosen = lookup_join(candidates.withColumnRenamed("cand", "picked"), picks.select(*STEP, "picked"), [*STEP, "picked"], "left_semi")
+    scored = lookup_join(chosen.select(*STEP, "picked", "logit"), written(step_mass(levels(candidates)), "mass"), STEP)
+    return scored.select(*STEP, "picked", (F.col("logit") - F.col("_peak") - F.ln("_mass")).alias("logprob"))
 
 
 def sequence_scores(chosen: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import lookup_join
+from ..session import lookup_join, written
 from . import terms as T
 
 # (constraint_id, ord, kind 'term'|'regex', pattern, penalty). A table may have a column match_mode (ENFORCE,
@@ -53,7 +53,7 @@ def with_penalty(
         return texts.withColumn(out, total)
     hashed = texts.select(T.text_hash(text).alias("_hash"), F.col(text).alias("_text"))
     summed = merged(hashed, constraints, "_hash", "_text").select("_hash", F.col("penalty").alias("_p"))
-    joined = texts.withColumn("_hash", T.text_hash(text)).join(summed, "_hash", "left")
+    joined = lookup_join(texts.withColumn("_hash", T.text_hash(text)), written(summed, "penalties"), "_hash", "left")
     return joined.withColumn(out, F.coalesce("_p", F.lit(0.0))).drop("_p", "_hash")
 
 

@@ -148,9 +148,13 @@ def text_hash(text: str) -> Column:
 
 
 def _holding(docs: DataFrame, lex: Lexicon, text: str) -> DataFrame:
-    """``_hash`` of the different texts that hold a term."""
-    texts = docs.select(text_hash(text).alias("_hash"), F.col(text).alias("_text"))
-    return hits(texts, lex, "_hash", "_text").select("_hash").distinct()
+    """``_hash`` of the different texts that hold a term, as a table: it is counted before it is joined."""
+    texts = docs.filter(F.col(text).isNotNull()).select(text_hash(text).alias("_hash"), F.col(text).alias("_text"))
+    return written(hits(texts, lex, "_hash", "_text").select("_hash").distinct(), "holding")
+
+
+def _hashed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumn("_hash", text_hash(text))
 
 
 def flagged(docs: DataFrame, lex: Lexicon, out: str, text: str = "text") -> DataFrame:
@@ -158,7 +162,7 @@ def flagged(docs: DataFrame, lex: Lexicon, out: str, text: str = "text") -> Data
     if lex.literals is not None:
         return docs.withColumn(out, any_literal(lex, F.col(text)))
     found = _holding(docs, lex, text).withColumn("_found", F.lit(True))
-    joined = docs.withColumn("_hash", text_hash(text)).join(found, "_hash", "left")
+    joined = lookup_join(_hashed(docs, text), found, "_hash", "left")
     return joined.withColumn(out, F.coalesce("_found", F.lit(False))).drop("_found", "_hash")
 
 
@@ -166,14 +170,14 @@ def containing(docs: DataFrame, lex: Lexicon, text: str = "text") -> DataFrame:
     """Rows whose text contains a term."""
     if lex.literals is not None:
         return docs.filter(any_literal(lex, F.col(text)))
-    return docs.withColumn("_hash", text_hash(text)).join(_holding(docs, lex, text), "_hash", "left_semi").drop("_hash")
+    return lookup_join(_hashed(docs, text), _holding(docs, lex, text), "_hash", "left_semi").drop("_hash")
 
 
 def without(docs: DataFrame, lex: Lexicon, text: str = "text") -> DataFrame:
     """Rows whose text contains no term, NULL texts included."""
     if lex.literals is not None:
         return docs.filter(~any_literal(lex, F.col(text)))
-    return docs.withColumn("_hash", text_hash(text)).join(_holding(docs, lex, text), "_hash", "left_anti").drop("_hash")
+    return lookup_join(_hashed(docs, text), _holding(docs, lex, text), "_hash", "left_anti").drop("_hash")
 
 
 def hits(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import constraints as K
 from ..operators import lexicon as L
 from ..operators import running, runs, sampling, sequences, spans
 from ..operators import terms as T
-from ..session import shared_folder, written
+from ..session import lookup_join, shared_folder, written
 from ..sources import readers, writers
 from ..streaming import alerts, chunks
 from . import preparation
@@ -423,21 +423,21 @@ def running_position(spark, sf):
 
 
 def cand_logprob(spark, sf):
-    scored = C.log_softmax(V.candidates(spark, sf))
+    scored = C.log_softmax(V.candidate_table(spark, sf))
     return scored.select("seq_id", "step", "cand", F.round("logprob", 6).alias("logprob"))
 
 
 def cand_temp(spark, sf):
-    scored = C.log_softmax(C.temperature(V.candidates(spark, sf), 0.7))
+    scored = C.log_softmax(C.temperature(V.candidate_table(spark, sf), 0.7))
     return scored.select("seq_id", "step", "cand", F.round("logprob", 6).alias("logprob"))
 
 
 def cand_topk(spark, sf):
-    return C.top_k(V.candidates(spark, sf), 5).select("seq_id", "step", "cand")
+    return C.top_k(V.candidate_table(spark, sf), 5).select("seq_id", "step", "cand")
 
 
 def cand_topp(spark, sf):
-    return C.top_p(C.top_k(V.candidates(spark, sf), 20), 0.7531).select("seq_id", "step", "cand")
+    return C.top_p(C.top_k(V.candidate_table(spark, sf), 20), 0.7531).select("seq_id", "step", "cand")
 
 
 def cand_greedy(spark, sf):
@@ -478,7 +478,7 @@ def cand_mask_audit(spark, sf):
 
 def cand_masked_pick(spark, sf):
     """Original log-probability of the greedy choice under the mask."""
-    candidates = _blocked_candidates(spark, sf)
+    candidates = written(_blocked_candidates(spark, sf), "candidates")
     picks = C.greedy(C.mask(candidates))
     return C.chosen_logprob(candidates, picks).withColumn("logprob", F.round("logprob", 6))
 
@@ -540,10 +540,10 @@ def seq_perplexity(spark, sf):
     w, n = F.col("w"), F.size("w")
     pairs = F.arrays_zip(F.slice(w, F.lit(1), n - 1).alias("c"), F.slice(w, F.lit(2), n - 1).alias("s"))
     steps = V.words(spark, sf).filter("size(w) > 1").select("doc_id", F.explode(pairs).alias("p"))
-    scored = C.log_softmax(V.candidates(spark, sf)).filter("NOT is_eos").select("seq_id", "cand", "logprob")
-    chosen = steps.groupBy("doc_id", F.col("p.c").alias("seq_id"), F.col("p.s").alias("cand")).agg(
-        F.count("*").alias("times")
-    ).join(scored, ["seq_id", "cand"])
+    scored = C.log_softmax(V.candidate_table(spark, sf)).filter("NOT is_eos").select("seq_id", "cand", "logprob")
+    steps = steps.groupBy("doc_id", F.col("p.c").alias("seq_id"), F.col("p.s").alias("cand")).agg(F.count("*").alias("times"))
+    # Distinct pairs are scored once; a pair that very many documents hold is looked up by broadcast.
+    chosen = lookup_join(steps, written(scored, "scored"), ["seq_id", "cand"])
     scores = C.sequence_scores(chosen.select(F.col("doc_id").alias("seq_id"), "times", "logprob"))
     return scores.select(
         F.col("seq_id").alias("doc_id"),

@@ -123,6 +123,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.unionByName(ends)
 
 
+def candidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates as a table, for queries that read them more than once."""
+    return written(candidates(spark, sf_dir), "candidates")
+
+
 def nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir, "n_chars").select(
         (F.col("doc_id") % 100).alias("prompt_id"),

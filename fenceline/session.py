@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 # Largest side that may be broadcast, checked by an aggregate before the hint is given.
 BROADCAST_MAX_ROWS = 2_000_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
-# Copies of the unique side of a salted join.
-SALTS = 32
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -77,21 +75,46 @@ def literal_array(values, type_: str = "array<string>") -> Column:
     return F.from_json(F.lit(json.dumps(list(values))), type_)
 
 
+def hot_keys(facts: DataFrame, on: list[str]) -> DataFrame | None:
+    """The keys that hold more than one in 2n rows of ``facts``, n being the number of shuffle partitions; None
+    without any. There are fewer than 2n of them, whatever the size of ``facts``. Rows are counted by partial sums."""
+    spark = facts.sparkSession
+    most = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = facts.select(*on).dropna().select(F.struct(*on).alias("_k")).rollup("_k").agg(F.count("*").alias("_n"))
+    # The row of the total, which no key exceeds, and the largest keys.
+    top = counts.orderBy(F.desc("_n"), F.col("_k").isNotNull()).limit(most + 1).collect()
+    hot = [tuple(r["_k"]) for r in top[1:] if r["_n"] * most > top[0]["_n"] and r["_n"] > 1]
+    return F.broadcast(spark.createDataFrame(hot, facts.select(*on).schema)) if hot else None
+
+
 def lookup_join(
     facts: DataFrame, lookup: DataFrame, on: str | list[str], how: str = "inner", small: bool = False
 ) -> DataFrame:
     """Equi-join of a large, possibly skewed side with a lexicon-like side.
 
-    A lookup within the broadcast bound is broadcast (``small`` says that its size is known). A larger one is joined by shuffle with
-    salted keys, so one hot key of ``facts`` is spread over ``SALTS`` tasks.
+    A lookup within the broadcast bound is broadcast (``small`` says that its size is known). Beyond it the keys of ``facts`` are counted:
+    rows of hot keys, see :func:`hot_keys`, meet their few lookup rows by broadcast, all others are joined by a plain shuffle. A NULL
+    key matches nothing and is never shuffled.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
+    keys = [on] if isinstance(on, str) else list(on)
     if small or fits_broadcast(lookup):
-        return facts.join(F.broadcast(lookup), on, how)
-    salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (
-        facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int"))
-        .join(salted, [*([on] if isinstance(on, str) else on), "_salt"], how)
-        .drop("_salt")
-    )
+        return facts.join(F.broadcast(lookup), keys, how)
+    known = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    joined = _split_join(facts.filter(known), lookup, keys, how)
+    if how in ("inner", "left_semi"):
+        return joined
+    return joined.unionByName(facts.filter(f"NOT ({known})"), allowMissingColumns=True)
+
+
+def _split_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str) -> DataFrame:
+    hot = hot_keys(facts, keys)
+    if hot is None:
+        return facts.join(lookup, keys, how)
+    few = lookup.join(hot, keys, "left_semi")
+    if not fits_broadcast(few):
+        # Many lookup rows to a key, no lookup proper: adaptive execution may still split the join.
+        return facts.join(lookup, keys, how)
+    rest = facts.join(hot, keys, "left_anti").join(lookup, keys, how)
+    return rest.unionByName(facts.join(hot, keys, "left_semi").join(F.broadcast(few), keys, how))
