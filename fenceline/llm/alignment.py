@@ -28,6 +28,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,11 @@ class Tokenizers:
             self.b_bytes[i] = bytes([int(name[3:5], 16)]) if self._b.is_byte(i) else name.replace(SPACE, " ").encode()
         self.a_size = {i: len(b) for i, b in self.a_bytes.items()}
         self.b_size = {i: len(b) for i, b in self.b_bytes.items()}
+        self.sizes_a, self.sizes_b = (np.array([x.get(i, 0) for i in range(max(x) + 1)]) for x in (self.a_size, self.b_size))
+        # Every id as it is written in a group: inside, and as the last of its side.
+        n, m = len(self.sizes_a), len(self.sizes_b)
+        self.written = [f"{i}{sign}" for count, signs in ((n, ",|"), (m, ",;")) for sign in signs for i in range(count)]
+        self.written_at = (0, n), (2 * n, 2 * n + m)
         self._lone = self._b.piece_to_id(SPACE)
         # White space inside pieces, and a literal sign for the space, may join what chunks keep apart.
         odd = {c for n in names for c in n if c in WHITE} | {SPACE}
@@ -91,6 +97,14 @@ class Tokenizers:
             return library.encode(text, add_special_tokens=False).ids
         return self._a.encode_ordinary(text)
 
+    def encode_chunks(self, chunks: list[str], ends: np.ndarray) -> np.ndarray:
+        """A's ids of chunks that end at the byte offsets ``ends``. No token of A goes on from one into the next, as its pattern never joins
+        white space to what is before it, so they are encoded as one text."""
+        ids = np.array(self.encode_a("".join(chunks)), dtype=np.int64)
+        if not np.isin(ends, np.cumsum(self.sizes_a[ids])).all():
+            raise ValueError("a token crosses the border of chunks")
+        return ids
+
     def whole(self, text: str) -> tuple[list[int], list[int]] | None:
         """The ids of a text, or None where B does not give its bytes back."""
         b = self._b.encode(text)
@@ -99,17 +113,12 @@ class Tokenizers:
             return None
         return self.encode_a(full), b
 
-    def chunks(self, chunks: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """The ids of each chunk as part of a text, or None where they can't be had alone."""
+    def b_of_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """B's ids of each chunk as part of a text; where they can't be had alone they don't give the chunk's bytes."""
         spaced = [c[0] == " " and len(c) > 1 for c in chunks]
         encoded = self._b.encode([c[1:] if s else c for c, s in zip(chunks, spaced, strict=True)], num_threads=1)
-        out = []
-        for c, s, b in zip(chunks, spaced, encoded, strict=True):
-            if not s:  # without the space that B adds
-                b = b[1:] if b and b[0] == self._lone else []
-            ok = b"".join(map(self.b_bytes.__getitem__, b)) == c.encode()
-            out.append((self.encode_a(c), b) if ok else None)
-        return out
+        # Without the space that B adds.
+        return [b if s else b[1:] if b and b[0] == self._lone else [] for s, b in zip(spaced, encoded, strict=True)]
 
 
 def linkable(a_bytes: dict[int, bytes], b_bytes: dict[int, bytes]) -> int:
@@ -186,10 +195,10 @@ class PerfectHash:
 
 
 class Known:
-    """What a worker knows of chunks, by row: tokens of A and B, groups as text, links from ``first`` on; ``fails`` if a chunk can't be had alone."""
+    """What a worker knows of chunks, by row: tokens of A and B, links (all in one list), groups as text that ends in a semicolon; ``fails`` if a chunk can't be had alone."""
 
-    def __init__(self, tokenizers: Tokenizers):
-        self.tokenizers = tokenizers
+    def __init__(self, tokenizers: Tokenizers, with_text: bool = True):
+        self.tokenizers, self.with_text = tokenizers, with_text
         self.clear()
 
     def clear(self) -> None:
@@ -200,20 +209,40 @@ class Known:
         self.links = np.zeros(0, dtype=np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        a_size, b_size = self.tokenizers.a_size, self.tokenizers.b_size
-        n_a, n_b, n_links, fails, links = [], [], [], [], []
-        for c, ids in zip(chunks, self.tokenizers.chunks(chunks), strict=True):
-            a, b = ids or ([], [])
-            text, own = groups(a, b, a_size, b_size)
-            self.row[c] = len(self.text)
-            self.text.append(text)
-            n_a.append(len(a))
-            n_b.append(len(b))
-            n_links.append(len(own))
-            fails.append(ids is None)
-            links += own
-        self.n_a, self.n_b, self.n_links = np.r_[self.n_a, np.int64(n_a)], np.r_[self.n_b, np.int64(n_b)], np.r_[self.n_links, np.int64(n_links)]
-        self.fails, self.links = np.r_[self.fails, np.array(fails, dtype=bool)], np.r_[self.links, np.int64(links)]
+        """Chunks that begin with white space and end without are aligned together, as one text; others fail."""
+        t = self.tokenizers
+        raw = [c.encode() for c in chunks]
+        ids_b = t.b_of_chunks(chunks)
+        sizes = np.array([len(r) for r in raw], dtype=np.int64)
+        sizes_b = np.array([sum(map(t.b_size.__getitem__, b)) for b in ids_b], dtype=np.int64)
+        whole = np.array_equal(sizes, sizes_b) and b"".join(raw) == b"".join(t.b_bytes[i] for b in ids_b for i in b)
+        good = np.array([
+            c[0] in WHITE and c[-1] not in WHITE and (whole or r == b"".join(map(t.b_bytes.__getitem__, b))) for c, r, b in zip(chunks, raw, ids_b, strict=True)
+        ], dtype=bool)
+        sizes = np.where(good, sizes, 0)
+        n_b = np.where(good, [len(b) for b in ids_b], 0)
+        b = np.array([i for ok, b in zip(good, ids_b, strict=True) if ok for i in b], dtype=np.int64)
+        ends = np.cumsum(sizes)
+        a = t.encode_chunks([c for c, ok in zip(chunks, good, strict=True) if ok], ends[good]) if good.any() else np.zeros(0, dtype=np.int64)
+        end_a, end_b = np.cumsum(t.sizes_a[a]), np.cumsum(t.sizes_b[b])
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+        last_a, last_b = cuts[group_a] == end_a, cuts[group_b] == end_b
+        n_a = np.diff(np.r_[0, np.searchsorted(end_a, ends, "right")])
+        n_links = np.diff(np.r_[0, np.searchsorted(cuts, ends, "right")])
+        first = len(self.text)
+        self.row.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        if self.with_text:
+            (in_a, end_of_a), (in_b, end_of_b) = t.written_at
+            sign = np.r_[a + np.where(last_a, end_of_a, in_a), b + np.where(last_b, end_of_b, in_b)]
+            order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+            pieces = list(map(t.written.__getitem__, sign[order].tolist()))
+            at = np.r_[0, np.cumsum(n_a + n_b)].tolist()
+            self.text += ["".join(pieces[x:y]) for x, y in pairwise(at)]
+        else:
+            self.text += [""] * len(chunks)
+        self.n_a, self.n_b, self.n_links = np.r_[self.n_a, n_a], np.r_[self.n_b, n_b], np.r_[self.n_links, n_links]
+        self.fails, self.links = np.r_[self.fails, ~good], np.r_[self.links, a[last_a] << 32 | b[last_b]]
 
     def documents(self, texts: list[str]) -> list[np.ndarray | tuple[list[int], list[int]] | None]:
         """For each text the rows of its chunks, or its ids where it was encoded whole, or None if it has no tokens."""
@@ -264,7 +293,7 @@ def pair_sums(docs: DataFrame, files: tuple[str, str, str, str], text: str = "te
     """``pair`` (A id << 32 | B id) and ``n``, how many links of a task's documents it has."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(Tokenizers(*files))
+        known = Known(Tokenizers(*files), with_text=False)
         a_size, b_size = known.tokenizers.a_size, known.tokenizers.b_size
         keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         often = np.zeros(0, dtype=np.int64)
@@ -372,7 +401,7 @@ def aligned(docs: DataFrame, ranks: str, tokenizer: str, pattern: str, pieces: s
                     n_links = known.n_links[rows].sum()
                     values[:, i] = known.n_a[rows].sum(), known.n_b[rows].sum(), n_links, n_links, *by_row[:, rows].sum(axis=1)
                     # A chunk's tokens end with it, so its groups are groups of the text.
-                    own_text = ";".join(map(known.text.__getitem__, rows.tolist()))
+                    own_text = "".join(map(known.text.__getitem__, rows.tolist()))[:-1]
                 else:
                     own_text, links = groups(*rows, a_size, b_size)
                     at = slots.slots(np.array(links, dtype=np.int64))
