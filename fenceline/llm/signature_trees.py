@@ -12,9 +12,10 @@ each text; inside a component not every link is looked at, but no two linked tex
    ``BLOCK_HASHES`` hashes), each with the group's outermost sets, so that blocks grow together.
 4. What step 3 connects counts as one component. Head hashes that two components share go on: a set meets others at its rarest ones, as
    many as make sure that linked sets meet, in trees of bitmaps alone. Pairs that pass the bounds are compared by their sets: first one
-   of each pair of components, then, components brought up to date, all that are left.
+   of each pair of components that have more than one set between them, then, components brought up to date, all that are left.
 
-Nothing is compared twice over all tokens but pairs that pass the bounds. Bitmaps have two bits or more a hash, up to ``WIDEST``.
+A pair that shares some of its ``LEADS`` rarest hashes is only looked at where the smallest of them brings it together. Bitmaps have four bits or
+more a hash, up to ``WIDEST``; a group of at most ``LEAF`` sets is one leaf, whose pairs are tested one by one.
 
 Words are runs without ASCII white space, A-Z in lower case. A text with fewer words than a shingle has one, the whole sequence. Null and
 empty texts have an empty set, no link, and their own ``doc_id`` as component. A null ``doc_id`` is never the smallest one. Repeated rows are linked.
@@ -43,7 +44,9 @@ ROUTES = 3
 BLOCK = 1024
 BLOCK_HASHES = 4_000_000
 FAN = 8
-WIDEST = 8192
+LEAF = 24
+LEADS = 8
+WIDEST = 16_384
 # Heads that a task looks through at once for hashes it can tell to be shared, and how many of those are sent to all tasks.
 HEADS_AT_ONCE = 4096
 TOLD = 20_000
@@ -204,8 +207,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> Data
 
 
 def width_of(n: np.ndarray) -> np.ndarray:
-    """Bits of the bitmap of a set of ``n``: a power of two, two a hash or more."""
-    return np.minimum(WIDEST, 64 << np.ceil(np.log2(np.maximum(1, n / 32))).astype(np.int64))
+    """Bits of the bitmap of a set of ``n``: a power of two, four a hash or more."""
+    return np.minimum(WIDEST, 64 << np.ceil(np.log2(np.maximum(1, n / 16))).astype(np.int64))
 
 
 def bitmap(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -296,6 +299,29 @@ def candidate_pairs(sizes: np.ndarray, bits: list[np.ndarray], comps: np.ndarray
                     yield own[i], wide[j]
 
 
+def leaf_pairs(sizes: list[int], bits: list[bytes], comps: list[int], percent: int) -> list[tuple[int, int]]:
+    """As :func:`candidate_pairs`, for few sets."""
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    maps = [int.from_bytes(b, "little") for b in bits]
+    over = [n - m.bit_count() for n, m in zip(sizes, maps, strict=True)]
+    found = []
+    for k, i in enumerate(order):
+        for j in order[k + 1 :]:
+            n, m = sizes[i], sizes[j]
+            if percent * m > 100 * n:
+                break
+            if comps[i] == comps[j]:
+                continue
+            width, wide, other = 8 * len(bits[i]), maps[j], over[j]
+            if len(bits[j]) > len(bits[i]):  # twice as wide
+                wide = (wide & ((1 << width) - 1)) | (wide >> width)
+                other = m - wide.bit_count()
+            most = min(n, (maps[i] & wide).bit_count() + min(over[i], other))
+            if (100 + percent) * most >= percent * (n + m):
+                found.append((i, j))
+    return found
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
@@ -375,45 +401,68 @@ def routed_links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def candidates(entries: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, one_each: bool) -> DataFrame:
-    """Pairs (a, b) of sets of different components that may be linked: all, or one of each pair of components and token.
+    """Pairs (a, b) of sets of different components that may be linked: all, or one for each token and pair of components of which one has
+    more than one set.
 
     A set of which ``least`` head hashes at least are shared with a partner meets it at all its shared hashes but the ``least - 1`` most
     frequent ones.
     """
     often = written(entries.groupBy("token").agg(F.count("*").alias("df")), "frequency")
     ordered = lookup_join(entries, often, "token").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    known = sets.select("fp", "n", "least", "bits")
+    many = labels.groupBy("comp").agg((F.count("*") > 1).alias("many"))
+    known = sets.select("fp", "n", "least", "bits").join(lookup_join(labels, many, "comp"), "fp")
     kept = F.greatest(F.size("t") - F.col("least") + 1, F.lit(0)).cast("int")
-    routed = ordered.join(known, "fp").join(labels, "fp").select("fp", "n", "comp", "bits", F.explode(F.slice("t", F.lit(1), kept)).alias("t"))
-    routed = routed.select("fp", "n", "comp", "bits", "t.token", "t.df").withColumn("_blocks", F.ceil(F.col("df") / (4 * BLOCK)).cast("int"))
-    block = F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int")
+    lead = F.array_sort(F.slice(F.col("t")["token"], 1, LEADS))
+    meets = ordered.join(known.select("fp", "least", "many"), "fp").select("fp", "many", lead.alias("lead"), F.slice("t", F.lit(1), kept).alias("t"))
+    meets = written(meets, "meets")
+    routed = meets.select("fp", "many", F.explode("t").alias("t")).select("fp", "many", "t.token", "t.df")
+    if one_each:
+        worth = routed.groupBy("token").agg(F.max("many").alias("any")).where("any").select("token")
+        routed = lookup_join(routed, written(worth, "worth"), "token", "left_semi")
+    blocks = F.ceil(F.col("df") / (4 * BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     dealt = (
-        routed.withColumn("_own", block)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .select(F.xxhash64("token", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("g"), "fp", "n", "comp", "bits")
+        routed.withColumn("_own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(F.xxhash64("token", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("g"), "fp", "token")
     )
+    carried = known.select("fp", "n", "comp", "many", "bits").join(meets.select("fp", "lead"), "fp")
+    placed = dealt.join(carried, "fp").select("g", "fp", "token", "n", "comp", "many", "bits", "lead")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
         for group in _groups(batches):
             comps = group.column("comp").to_numpy()
             if comps.min() == comps.max():
                 continue
-            fps = group.column("fp").to_numpy()
-            bits = [np.frombuffer(b.as_py(), dtype="<u8") for b in group.column("bits")]
+            token = group.column("token")[0].as_py()
+            fps, many, leads = group.column("fp").to_pylist(), group.column("many").to_pylist(), group.column("lead").to_pylist()
+            bits = [b.as_buffer() for b in group.column("bits")]
             seen: set[tuple[int, int]] = set()
-            for i, j in candidate_pairs(group.column("n").to_numpy(), bits, comps, percent):
-                open_ = comps[i] != comps[j]
-                i, j = i[open_], j[open_]
-                if one_each and len(i):
-                    both = np.stack([np.minimum(comps[i], comps[j]), np.maximum(comps[i], comps[j])], axis=1)
-                    own, first = np.unique(both, axis=0, return_index=True)
-                    new = [k for pair_, k in zip(map(tuple, own.tolist()), first.tolist(), strict=True) if pair_ not in seen]
-                    seen.update(map(tuple, own.tolist()))
-                    i, j = i[new], j[new]
-                low, high = np.minimum(fps[i], fps[j]), np.maximum(fps[i], fps[j])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
-
-    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(pair, "a long, b long").distinct()
+            if len(fps) <= LEAF:
+                pairs = iter([leaf_pairs(group.column("n").to_pylist(), [bytes(b) for b in bits], comps.tolist(), percent)])
+            else:
+                trees = candidate_pairs(group.column("n").to_numpy(), [np.frombuffer(b, dtype="<u8") for b in bits], comps, percent)
+                pairs = (zip(i.tolist(), j.tolist(), strict=True) for i, j in trees)
+            for part in pairs:
+                for i, j in part:
+                    if comps[i] == comps[j] or one_each and not (many[i] or many[j]):
+                        continue
+                    both = set(leads[i]).intersection(leads[j])
+                    if both and min(both) != token:
+                        continue
+                    if one_each:
+                        named = (min(comps[i], comps[j]), max(comps[i], comps[j]))
+                        if named in seen:
+                            continue
+                        seen.add(named)
+                    found.append((min(fps[i], fps[j]), max(fps[i], fps[j])))
+                if len(found) > 100_000:
+                    yield _pair_batch(found)
+                    found = []
+        yield _pair_batch(sorted(set(found)))
+
+    return placed.repartition("g").sortWithinPartitions("g").mapInArrow(pair, "a long, b long").distinct()
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -76,6 +76,8 @@ def test_families(spark, monkeypatch):
             monkeypatch.setattr(S, "BLOCK", 4)
             monkeypatch.setattr(S, "ROUTES", 1)
             monkeypatch.setattr(S, "FAN", 2)
+            monkeypatch.setattr(S, "LEAF", 3)
+            monkeypatch.setattr(S, "LEADS", 2)
             assert got(table) == plain_rows(rows)
             monkeypatch.setattr(S, "spanning_links", lambda *a: [])
             assert got(table) == plain_rows(rows)
@@ -136,6 +138,7 @@ def test_no_linked_pair_is_pruned(seed):
     bits = [S.bitmap(s, int(w)) for s, w in zip(sets, S.width_of(sizes), strict=True)]
     comps = rng.integers(0, 12, len(sets))
     found = {frozenset(p) for i, j in S.candidate_pairs(sizes, bits, comps, 85) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    few = {frozenset(p) for p in S.leaf_pairs(sizes.tolist(), [b.tobytes() for b in bits], comps.tolist(), 85)}
     for i, j in combinations(range(len(sets)), 2):
         if comps[i] != comps[j] and S.linked(sets[i], sets[j], 85):
-            assert frozenset((i, j)) in found
+            assert frozenset((i, j)) in found and frozenset((i, j)) in few
