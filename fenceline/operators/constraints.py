@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import lookup_join, written
+from . import regex_index
 from . import terms as T
 
 # (constraint_id, ord, kind 'term'|'regex', pattern, penalty). A table may have a column match_mode (ENFORCE,
@@ -14,6 +15,8 @@ CONSTRAINTS = "constraint_id STRING, ord INT, kind STRING, pattern STRING, penal
 MODES = (T.ENFORCE, T.SELECT, T.EVAL)
 # Checks that one array of conditions holds; more of them take more arrays.
 CHECKS_AT_ONCE = 64
+# Up to this many regular expressions are one condition each; more are found by their literals.
+LISTED_EXPRESSIONS = 64
 
 
 def _rows(constraints: DataFrame) -> DataFrame:
@@ -26,8 +29,10 @@ def _rows(constraints: DataFrame) -> DataFrame:
 
 def hits(texts: DataFrame, constraints: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct (key, constraint_id, penalty) of the constraints that the texts of a key violate."""
-    checks, term_rows = _checks(constraints, F.col(text))
+    checks, term_rows, regex_rows = _checks(constraints, F.col(text))
     found = _flagged(texts, checks, key)
+    if regex_rows is not None:
+        found = found.unionByName(regex_index.hits(texts, regex_rows, key, text))
     if term_rows is None:
         return found.distinct()
     for mode in MODES:
@@ -45,8 +50,8 @@ def with_penalty(
     """Add ``out``: the summed penalties of the violated constraints, 0 without one. A table of few
     constraints is one expression and needs neither a join nor a shuffle; a larger one is joined by
     the hash of the text."""
-    checks, term_rows = _checks(constraints, F.col(text))
-    if term_rows is None:
+    checks, term_rows, regex_rows = _checks(constraints, F.col(text))
+    if term_rows is None and regex_rows is None:
         total = F.lit(0.0)
         for row, hit in checks:
             total = total + F.when(hit, F.lit(row["penalty"])).otherwise(F.lit(0.0))
@@ -57,15 +62,21 @@ def with_penalty(
     return joined.withColumn(out, F.coalesce("_p", F.lit(0.0))).drop("_p", "_hash")
 
 
-def _checks(constraints: DataFrame, body: Column) -> tuple[list, DataFrame | None]:
-    """(row, condition) of the constraints tested row by row, and the term rows left for a join."""
+def _checks(constraints: DataFrame, body: Column) -> tuple[list, DataFrame | None, DataFrame | None]:
+    """(row, condition) of the constraints tested row by row, and the term rows and the expressions left for a join."""
     table = _rows(constraints)
-    term_rows = table.filter("kind = 'term'")
-    checks = [(r, body.rlike(r["pattern"])) for r in table.filter("kind = 'regex'").orderBy("ord").collect()]
+    term_rows, regex_rows = table.filter("kind = 'term'"), table.filter("kind = 'regex'")
+    few = regex_rows.limit(LISTED_EXPRESSIONS + 1).collect()
+    if len(few) > LISTED_EXPRESSIONS:
+        regex_rows = written(regex_index.with_literals(regex_rows), "expressions")
+        few, regex_rows = regex_rows.filter("literal IS NULL").collect(), regex_rows.filter("literal IS NOT NULL").drop("literal")
+    else:
+        regex_rows = None
+    checks = [(r, body.rlike(r["pattern"])) for r in sorted(few, key=lambda r: r["ord"] or 0)]
     few = term_rows.filter("pattern <> ''").limit(T.LISTED_TERMS + 1).collect()
     if len(few) > T.LISTED_TERMS:
-        return checks, term_rows
-    return [(r, T.holds(body, F.lit(r["pattern"]), r["match_mode"])) for r in few] + checks, None
+        return checks, term_rows, regex_rows
+    return [(r, T.holds(body, F.lit(r["pattern"]), r["match_mode"])) for r in few] + checks, None, regex_rows
 
 
 def _flagged(texts: DataFrame, checks: list, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import literal_array
+from ..session import literal_array, written
 
 # Rows of a sequence ordered in one task.
 CELL = 4096
@@ -41,6 +41,32 @@ def batches(df: DataFrame, order: str, size: int, fan: int = FAN) -> DataFrame:
     return indexed.withColumn("batch_id", F.floor(F.col("idx") / size))
 
 
+def batches_by(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """As :func:`batches`, in the order of any columns, ties included."""
+    return numbered(df, order).withColumn("batch_id", F.floor(F.col("idx") / size))
+
+
+def numbered(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
+    """Add ``out``: the 0-based dense place of a row in the order of any columns; equal rows follow one another in any order.
+
+    The rows are dealt into ranges of the order, as many as there are shuffle partitions, sorted inside each and written with their place in it; the ranges' sizes, summed
+    up, give each its first number. Rows that agree in the order may lie in several ranges.
+    """
+    # The row's number in the input tells equal rows apart, so that a frequent key is no single range.
+    told = df.withColumn("_tie", F.monotonically_increasing_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = told.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    # The id counts the rows of a partition from its number shifted by 33 bits.
+    rows = written(ranges.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    own = F.shiftright("_at", 33)
+    sizes = rows.groupBy(own.alias("_part")).agg(F.count("*").alias("_n"))
+    # One row per range.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    placed = rows.withColumn("_part", own).join(F.broadcast(first), "_part")
+    return placed.withColumn(out, F.col("_first") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_first")
+
+
 def _cell(value: Column, bounds: list[int], fan: int) -> Column:
     """Number of bounds up to ``value``, found in a group of bounds and then inside the group."""
     groups = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]

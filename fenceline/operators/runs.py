@@ -169,6 +169,25 @@ def run_summary(report: DataFrame, base_method: str = "base") -> DataFrame:
     return pooled.withColumn("base_rate", base.over(Window.partitionBy(*setting)))
 
 
+def run_rollup(report: DataFrame) -> DataFrame:
+    """Pooled violation rates by dataset, model and method, with subtotals: ``level`` says how many of the three are summed over (0 to 3), which
+    then are NULL."""
+    rate = F.when(F.col("total_examples") > 0, F.col("violations") / F.col("total_examples") * 100)
+    return (
+        report.filter(F.col("mode") != NO_MODE)
+        .rollup("dataset", "model_alias", "method")
+        .agg(
+            F.grouping_id().alias("_g"),
+            F.count("*").alias("n_files"),
+            F.sum("total_examples").alias("total_examples"),
+            F.sum("violations").alias("violations"),
+        )
+        .withColumn("level", F.bit_count("_g"))
+        .withColumn("violation_rate", rate)
+        .drop("_g")
+    )
+
+
 def setting_throughput(files: DataFrame, run_log: DataFrame, base_method: str = "base") -> DataFrame:
     """Tokens per second per method, dataset, model and batch size, and relative to the unconstrained
     method in the same setting. ``run_log`` has (file, new_tokens, seconds); badly named files are left out."""

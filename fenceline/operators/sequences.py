@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..session import lookup_join
+from ..session import lookup_join, written
 from . import terms as T
 from .running import running_sum
 
@@ -131,7 +131,8 @@ def first_term_completions(tokens: DataFrame, lex: T.Lexicon, block: int = BLOCK
             return tokens.select("seq_id", F.lit("terms").alias("pattern"), F.col("pos").cast("bigint")).limit(0)
         return first_completions(tokens, (T.term_pattern(lex),), block)
     longest = lex.terms.agg(F.max(F.length("term"))).first()[0]
-    cut = blocks(tokens, longest - 1, block)
+    # Tokens are grouped once; the blocks are scanned and then looked up.
+    cut = written(blocks(tokens, longest - 1, block), "blocks")
     ends = (
         T.occurrences(cut, lex, ["seq_id", "block"])
         .groupBy("seq_id", "block")

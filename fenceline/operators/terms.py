@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import Pattern
 from ..functions.text import quote, strip
-from ..session import literal_array, lookup_join, text_rows, written
+from ..session import fits_broadcast, literal_array, lookup_join, text_rows, written
 
 ENFORCE, SELECT, EVAL = "ENFORCE", "SELECT", "EVAL"
 LITERAL_TERMS = 4096
@@ -34,6 +34,8 @@ HEAD, HEADS = 3, 4096
 NESTED = 50
 # Long texts are cut into blocks of this many characters before character grams are made.
 BLOCK_CHARS = 4096
+# Bits of the table that tells which keys a lookup may hold.
+FILTER_BITS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -185,18 +187,41 @@ def hits(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "text")
     if lex.literals is not None:
         docs = docs.filter(any_literal(lex, F.col(text)))
         if len(lex.literals) <= LISTED_TERMS:
-            subject, pad = _subject(lex, F.col(text)), "" if lex.preset == ENFORCE else " "
-            table = literal_array(lex.literals)
-            inside = F.transform(
-                F.array(subject),
-                lambda x: F.filter(table, lambda t: F.contains(x, F.concat(F.lit(pad), t, F.lit(pad)))),
-            )
-            return docs.select(key, F.explode(F.flatten(inside)).alias("term")).distinct()
+            return docs.select(key, F.explode(_listed(lex, F.col(text))).alias("term")).distinct()
     if lex.preset == ENFORCE:
         return _char_gram_hits(docs, lex, key, F.col(text), positions=False).distinct()
     return _word_gram_hits(docs, lex, key, _subject(lex, F.col(text)))
 
 
+def _listed(lex: Lexicon, text: Column) -> Column:
+    """The terms of a lexicon of few literals that a text holds, tested one by one."""
+    pad = F.lit("" if lex.preset == ENFORCE else " ")
+    table = literal_array(lex.literals)
+    # The outer array evaluates a derived text once and not once per term.
+    inside = F.transform(F.array(_subject(lex, text)), lambda x: F.filter(table, lambda t: F.contains(x, F.concat(pad, t, pad))))
+    return F.flatten(inside)
+
+
+def hits_by_preset(docs: DataFrame, lexicons: list[Lexicon], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Distinct (key, preset, term) for several lexicons. Those of few literals are tested in one pass over the texts; each larger one takes
+    its own."""
+    few = [lex for lex in lexicons if lex.literals is not None and len(lex.literals) <= LISTED_TERMS]
+    parts = []
+    if few:
+        def tagged(lex: Lexicon) -> Column:
+            return F.transform(_listed(lex, F.col(text)), lambda t: F.struct(F.lit(lex.preset).alias("preset"), t.alias("term")))
+
+        found = docs.filter(F.col(text).isNotNull()).select(key, F.explode(F.concat(*[tagged(lex) for lex in few])).alias("_h"))
+        parts.append(found.select(key, "_h.*").distinct())
+    for lex in lexicons:
+        if lex not in few:
+            parts.append(hits(docs, lex, key, text).select(key, F.lit(lex.preset).alias("preset"), "term"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def occurrences(docs: DataFrame, lex: Lexicon, keys: list[str], text: str = "text") -> DataFrame:
     """Every (key, term, start) of raw containment, overlaps included; ``start`` is 0-based."""
     if lex.preset != ENFORCE:
@@ -283,7 +308,9 @@ def _char_gram_hits(docs: DataFrame, lex: Lexicon, key, subject: Column, positio
         cut = leveled.select(*keys, "_width", F.explode(F.array_distinct(windows)).alias("window"))
     probes = cut.withColumn("anchor", F.left("window", F.col("_width"))).drop("_width")
     anchored = lex.terms.select(anchor.alias("anchor"), "term")
-    found = lookup_join(probes, anchored, "anchor", small=lex.literals is not None)
+    small = lex.literals is not None or fits_broadcast(anchored)
+    # A shuffled join is given only the windows that may begin a term.
+    found = lookup_join(probes if small else maybe_in(probes, anchored, "anchor"), anchored, "anchor", small=small)
     found = found.filter(F.startswith("window", "term"))
     if not positions:
         return found.select(*keys, "term")
@@ -291,6 +318,20 @@ def _char_gram_hits(docs: DataFrame, lex: Lexicon, key, subject: Column, positio
     return found.select(*keys, "term", "start").distinct()
 
 
+def maybe_in(rows: DataFrame, lookup: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The ``rows`` whose key may occur in ``lookup``: all that do, and of the others as few as one bit per hash tells. The bits are a constant of
+    fixed size, whatever the lookup's."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    own = lookup.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / 64).cast("int").alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("_p") % 64).cast("int"))).alias("b")
+    )
+    words = [0] * (bits // 64)
+    for r in own.collect():  # FILTER_BITS / 64 rows at most
+        words[r["w"]] = r["b"]
+    word = F.get(literal_array(words, "array<bigint>"), F.floor(place / 64).cast("int"))
+    return rows.filter(F.getbit(word, (place % 64).cast("int")) == 1)
+
+
 def redundant_terms(terms: DataFrame, literal_terms: int = LITERAL_TERMS) -> DataFrame:
     """(term, contained): terms that contain another term and so can never complete first."""
     lex = lexicon(terms, ENFORCE, literal_terms)

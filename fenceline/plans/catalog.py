@@ -10,11 +10,12 @@ from ..functions import patterns as P
 from ..operators import candidates as C
 from ..operators import constraints as K
 from ..operators import lexicon as L
-from ..operators import running, runs, sampling, sequences, spans
+from ..operators import redaction, running, runs, sampling, sequences, spans
 from ..operators import terms as T
+from ..schemas import RUN
 from ..session import lookup_join, shared_folder, written
 from ..sources import readers, writers
-from ..streaming import alerts, chunks
+from ..streaming import alerts, chunks, ordered
 from . import preparation
 from . import views as V
 
@@ -69,6 +70,11 @@ def pii_redact(spark, sf):
     return V.docs_pii(spark, sf).select("doc_id", P.redact(F.col("text")).alias("redacted"))
 
 
+def redact_all(spark, sf):
+    """Matches of patterns and terms of a lexicon of any size, overlaps replaced as one."""
+    return redaction.redact_all(V.docs_pii(spark, sf), _lex8(spark, T.ENFORCE, 0)).select("doc_id", "redacted")
+
+
 def pii_clean_docs(spark, sf):
     return spans.clean(V.docs_pii(spark, sf)).select("doc_id")
 
@@ -78,14 +84,7 @@ def span_lexicon(spark, sf):
 
 
 def stage_counts(spark, sf):
-    docs = V.docs_pii(spark, sf)
-    stages = {
-        "eligible": spans.eligible(docs).select("doc_id"),
-        "sampled": preparation.pii_sample(docs).select("doc_id"),
-        "spans": preparation.span_lexicon(docs),
-    }
-    counted = [d.agg(F.count("*").alias("n")).select(F.lit(s).alias("stage"), "n") for s, d in stages.items()]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    return preparation.counted_span_lexicon(V.docs_pii(spark, sf))[1]
 
 
 def page_spans(spark, sf):
@@ -133,11 +132,9 @@ def toxic_raw_grams(spark, sf):
 
 
 def term_counts(spark, sf):
-    docs, out = V.documents(spark, sf), None
-    for preset in (T.ENFORCE, T.SELECT, T.EVAL):
-        part = T.term_counts(docs, _lex8(spark, preset)).select(F.lit(preset).alias("preset"), "term", "n_docs")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """All three meanings of a term in one pass."""
+    lexicons = [_lex8(spark, preset) for preset in (T.ENFORCE, T.SELECT, T.EVAL)]
+    return T.hits_by_preset(V.documents(spark, sf), lexicons).groupBy("preset", "term").agg(F.count("*").alias("n_docs"))
 
 
 def word_doc_counts(spark, sf):
@@ -308,6 +305,41 @@ def lexicon_roundtrip(spark, sf):
     )
 
 
+def lexicon_roundtrip_large(spark, sf):
+    """Every distinct word of the corpus through the JSON array sink of any size and back, with its place in the file."""
+    path = shared_folder(spark, "lexicon")
+    writers.write_json_lines_lexicon(V.vocabulary(spark, sf).select(F.col("piece").alias("term")), path)
+    return readers.read_json_lines_lexicon(spark, path)
+
+
+def _results(spark, sf) -> DataFrame:
+    """Outputs with the run that they belong to."""
+    names = runs.parse_names(V.files(spark, sf)).filter("error IS NULL").select("file", *RUN)
+    records = V.generations(V.docs_pii(spark, sf)).select("file", "idx", F.length("output").cast("bigint").alias("n_chars"))
+    return lookup_join(records, names, "file").drop("file")
+
+
+def results_roundtrip(spark, sf):
+    """Results laid out by run; then some runs are written again, with half of their rows."""
+    path = shared_folder(spark, "results")
+    results = _results(spark, sf)
+    writers.write_results(results, path)
+    again = results.filter("method = 'ours' AND dataset = 'RTP' AND idx % 4 < 2").withColumn("n_chars", -F.col("n_chars"))
+    writers.rewrite_runs(again, path)
+    return readers.read_results(spark, path, "idx BIGINT, n_chars BIGINT").filter("dataset <> 'Other'").select(*RUN, "idx", "n_chars")
+
+
+def list_files_roundtrip(spark, sf):
+    """The listing of result files, one of which is empty."""
+    path = shared_folder(spark, "listed")
+    named = V.generations(V.documents(spark, sf)).select("file", F.lit("x").alias("value")).distinct()
+    named.coalesce(1).write.partitionBy("file").text(path)
+    named.filter("false").select("value").coalesce(1).write.text(f"{path}/file=ours_Enron_phi_4_16_42.jsonl")
+    found = readers.list_files(spark, path, "file=*/*.txt")
+    name = F.regexp_extract("file", "file=([^/]+)/", 1)
+    return found.groupBy(name.alias("file")).agg(F.count("*").alias("n_files"), F.sum("length").alias("length"))
+
+
 def report_roundtrip(spark, sf):
     """Report and rejects through the CSV sinks and back."""
     root = shared_folder(spark, "report")
@@ -356,6 +388,12 @@ def run_summary(spark, sf):
     )
 
 
+def run_rollup(spark, sf):
+    """Violation rates of each method, dataset and model, with subtotals."""
+    totals = runs.run_rollup(_report(spark, sf))
+    return totals.withColumn("violation_rate", F.round("violation_rate", 6))
+
+
 def throughput(spark, sf):
     rates = runs.relative_throughput(V.run_log(spark, sf), "view")
     return rates.select(
@@ -375,6 +413,15 @@ def batch_index(spark, sf):
     return running.batches(V.table(spark, sf, "documents").select("doc_id"), "doc_id", 16)
 
 
+def batch_index_text(spark, sf):
+    """Batches in the order of source and text hash: the first and last place of each pair, and how many rows it has."""
+    docs = V.table(spark, sf, "documents").select("source", F.md5("text").alias("hash"))
+    placed = running.batches_by(docs, ["source", "hash"], 16)
+    return placed.groupBy("source", "hash").agg(
+        F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.min("batch_id").alias("first_batch"), F.count("*").alias("n")
+    )
+
+
 # --- token tables -------------------------------------------------------------------------
 
 
@@ -528,6 +575,11 @@ def violated_constraints(spark, sf):
     return K.merged(V.docs_pii(spark, sf), spark.createDataFrame(rows, K.CONSTRAINTS))
 
 
+def constraint_regex_index(spark, sf):
+    """Thousands of expressions at once."""
+    return K.hits(V.documents(spark, sf), V.word_expressions(spark, sf)).select("doc_id", "constraint_id")
+
+
 def nbest_clean(spark, sf):
     outputs = V.nbest(spark, sf)
     clean = spans.clean(T.without(outputs, _lex8(spark, T.ENFORCE), text="output"), text="output")
@@ -590,6 +642,34 @@ def stream_scan(spark, sf):
     return found.select("seq_id", F.col("end").alias("end_first"))
 
 
+TIMED = "seq_id BIGINT, chunk_no INT, piece STRING, is_last BOOLEAN, sent TIMESTAMP"
+
+
+def _arriving(spark, sent: DataFrame) -> DataFrame:
+    """Chunks out of order, and behind them a heartbeat."""
+    source = shared_folder(spark, "chunks")
+    sent.repartition(4, "chunk_no").write.parquet(source)
+    V.heartbeat(spark).select(*sent.columns).write.mode("append").parquet(source)
+    return readers.stream(spark, source, TIMED, files_per_trigger=2)
+
+
+def stream_scan_gaps(spark, sf):
+    """First violations where chunks are lost; the loss is reported."""
+    with ordered.rocksdb(spark):
+        arriving = _arriving(spark, V.lossy_chunks(V.docs_pii(spark, sf)))
+        found = alerts.drain(ordered.first_completions(arriving, "1 day"))
+    return found.select("seq_id", "kind", F.col("end").alias("end_first"), F.when(F.col("kind") == "gap", F.col("chunk_no")).alias("gap_from"), F.col("upto").alias("gap_to"))
+
+
+def stream_scan_terms(spark, sf):
+    """First terms of a lexicon of any size, also across the borders of chunks."""
+    out = shared_folder(spark, "alerts")
+    with ordered.rocksdb(spark):
+        arriving = _arriving(spark, V.timed_chunks(V.documents(spark, sf)))
+        alerts.write_term_completions(arriving, _lex8(spark, T.ENFORCE, 0), f"{out}/data", f"{out}/checkpoint", delay="1 day").awaitTermination()
+    return spark.read.schema("seq_id BIGINT, end BIGINT").parquet(f"{out}/data").select("seq_id", F.col("end").alias("end_first"))
+
+
 QUERIES = [
     pii_by_pattern,
     pii_select,
@@ -600,6 +680,7 @@ QUERIES = [
     pii_first_completion,
     pii_clean_prefix,
     pii_redact,
+    redact_all,
     pii_clean_docs,
     span_lexicon,
     stage_counts,
@@ -640,13 +721,18 @@ QUERIES = [
     violation_report_grams,
     generations_roundtrip,
     lexicon_roundtrip,
+    lexicon_roundtrip_large,
+    results_roundtrip,
+    list_files_roundtrip,
     report_roundtrip,
     setting_throughput,
     report_rejects,
     run_summary,
+    run_rollup,
     throughput,
     seeded_sample,
     batch_index,
+    batch_index_text,
     token_scan_terms,
     token_scan_terms_grams,
     token_scan_regex,
@@ -666,10 +752,13 @@ QUERIES = [
     cand_penalty_join,
     constraint_modes,
     violated_constraints,
+    constraint_regex_index,
     nbest_clean,
     seq_perplexity,
     sql_functions,
     stream_filter,
     stream_filter_terms,
     stream_scan,
+    stream_scan_gaps,
+    stream_scan_terms,
 ]

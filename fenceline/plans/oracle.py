@@ -395,3 +395,43 @@ SQL["constraint_modes"] = f"""WITH {DOCS}, {LEX8}
     UNION ALL SELECT doc_id, 'SELECT:' || term FROM docs JOIN lex ON contains(lower(text), ' ' || lower(term) || ' ')
     UNION ALL SELECT doc_id, 'EVAL:' || term FROM docs JOIN lex ON contains(text, ' ' || lower(trim(term)) || ' ')"""
 SQL["stream_filter_terms"] = SQL["toxic_raw"]
+SQL["stream_scan_gaps"] = f"""WITH {DOCS},
+    s AS (SELECT doc_id AS seq_id, text, doc_id % 7 = 0 AND length(text) > {(V.LOST_CHUNK + 1) * V.CHUNK_CHARS} AS lossy,
+      substr(text, 1, {V.LOST_CHUNK * V.CHUNK_CHARS}) AS a, substr(text, {(V.LOST_CHUNK + 1) * V.CHUNK_CHARS + 1}) AS b FROM docs),
+    e AS (SELECT seq_id, lossy, {first_end('text')} AS e, {first_end('a')} AS ea, {first_end('b')} AS eb FROM s),
+    f AS (SELECT seq_id, CASE WHEN lossy THEN coalesce(ea, {V.LOST_CHUNK * V.CHUNK_CHARS} + eb) ELSE e END AS end_first FROM e)
+    SELECT seq_id, 'match' AS kind, end_first, NULL::INT AS gap_from, NULL::INT AS gap_to FROM f WHERE end_first IS NOT NULL
+    UNION ALL SELECT seq_id, 'gap', NULL, {V.LOST_CHUNK}, {V.LOST_CHUNK} FROM e WHERE lossy AND ea IS NULL"""
+SQL["stream_scan_terms"] = f"""WITH {LEX8} SELECT doc_id AS seq_id, min(strpos(text, term) - 1 + length(term)) AS end_first
+    FROM documents JOIN lex ON contains(text, term) GROUP BY doc_id"""
+SQL["constraint_regex_index"] = f"""WITH {VOCAB}, c AS (SELECT piece, piece || '[,.]? [a-z]*(?:ed|ing)' AS re FROM vocab
+      WHERE regexp_full_match(piece, '[a-z]{{10,}}'))
+    SELECT doc_id, piece AS constraint_id FROM documents JOIN c ON contains(text, piece) AND regexp_matches(text, re)"""
+SQL["redact_all"] = f"""WITH {DOCS}, {LEX8}, p AS ({SQL['pii_spans']}),
+    i AS (SELECT doc_id, text, term, unnest(generate_series(1, length(text))) AS i FROM docs JOIN lex ON contains(text, term)),
+    t AS (SELECT doc_id, i - 1 AS s, i - 1 + length(term) AS e FROM i WHERE substr(text, i, length(term)) = term),
+    u AS (SELECT doc_id, start AS s, "end" AS e FROM p UNION ALL SELECT * FROM t),
+    r AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u),
+    h AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e) AS n FROM r),
+    g AS (SELECT doc_id, n, min(s) AS s, max(e) AS e FROM h GROUP BY ALL),
+    l AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS last FROM g),
+    c AS (SELECT doc_id, string_agg(substr(text, (last + 1)::BIGINT, (s - last)::BIGINT) || '[X]', '' ORDER BY s) || substr(any_value(text), (max(e) + 1)::BIGINT) AS made
+      FROM l JOIN docs USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, coalesce(made, text) AS redacted FROM docs LEFT JOIN c USING (doc_id)"""
+SQL["lexicon_roundtrip_large"] = f"WITH {VOCAB} SELECT piece AS term FROM vocab"
+SQL["results_roundtrip"] = f"""WITH {DOCS}, {LEX8}, {GENERATIONS}, {ANSWERS}, {REPORT}
+    SELECT method, dataset, model_alias, batch_size, seed, idx,
+      CASE WHEN method = 'ours' AND dataset = 'RTP' AND file IN (SELECT file FROM gens WHERE idx % 4 < 2) THEN -length(output) ELSE length(output) END AS n_chars
+    FROM gens JOIN report USING (file)
+    WHERE dataset <> 'Other' AND (idx % 4 < 2 OR NOT (method = 'ours' AND dataset = 'RTP')
+      OR file NOT IN (SELECT file FROM gens WHERE idx % 4 < 2))"""
+SQL["list_files_roundtrip"] = f"""WITH {DOCS}, {GENERATIONS}
+    SELECT file, 1 AS n_files, 2 AS length FROM (SELECT DISTINCT file FROM gens)
+    UNION ALL SELECT 'ours_Enron_phi_4_16_42.jsonl', 1, 0"""
+SQL["run_rollup"] = f"""WITH {DOCS}, {LEX8}, {GENERATIONS}, {ANSWERS}, {REPORT}
+    SELECT dataset, model_alias, method, bit_count(grouping_id(dataset, model_alias, method)) AS level, count(*) AS n_files,
+      sum(total_examples)::BIGINT AS total_examples, sum(violations)::BIGINT AS violations,
+      round(CASE WHEN sum(total_examples) > 0 THEN sum(violations) / sum(total_examples) * 100 END, 6) AS violation_rate
+    FROM report WHERE mode <> 'unsupported' GROUP BY ROLLUP (dataset, model_alias, method)"""
+SQL["batch_index_text"] = """SELECT source, hash, min(i) AS first_idx, max(i) AS last_idx, min(i) // 16 AS first_batch, count(*) AS n
+    FROM (SELECT source, md5(text) AS hash, row_number() OVER (ORDER BY source NULLS FIRST, md5(text) NULLS FIRST) - 1 AS i FROM documents) GROUP BY ALL"""

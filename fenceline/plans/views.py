@@ -12,6 +12,7 @@ from ..session import held, spread, text_rows, written
 LEXICON8 = ("clown", "disgusting", "idiot", "moron", "pathetic", "stupid", "trash", "worthless")
 END_PIECE = "</s>"
 PIECE_CHARS, PROMPT_PIECES, CHUNK_CHARS = 7, 3, 64
+LOST_CHUNK = 3
 
 _PHONE = r"\+1 \(([0-9]{3})\) ([0-9]{3})-([0-9]{4})"
 _CARD = r"(^|[^0-9])([0-9]{4})([0-9]{4})([0-9]{4})([0-9]{4})([^0-9]|$)"
@@ -91,6 +92,23 @@ def chunks(docs: DataFrame) -> DataFrame:
     return cut.withColumn("is_last", F.col("chunk_no") == F.col("_n") - 1).drop("_n")
 
 
+def timed_chunks(docs: DataFrame) -> DataFrame:
+    """Chunks with the time they were sent: one a second, from a fixed day on."""
+    return chunks(docs).withColumn("sent", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("chunk_no")))
+
+
+def lossy_chunks(docs: DataFrame) -> DataFrame:
+    """Timed chunks, of which every seventh sequence has lost the fourth, unless it is the last."""
+    lost = (F.col("seq_id") % 7 == 0) & (F.col("chunk_no") == LOST_CHUNK) & ~F.col("is_last")
+    return timed_chunks(docs).filter(~lost)
+
+
+def heartbeat(spark: SparkSession) -> DataFrame:
+    """A chunk of no sequence, sent long after the others: the watermark passes all of them."""
+    row = spark.range(1).select(F.lit(-1).cast("bigint").alias("seq_id"), F.lit(0).alias("chunk_no"), F.lit("").alias("piece"), F.lit(True).alias("is_last"))
+    return row.withColumn("sent", F.timestamp_seconds(F.lit(1_710_000_000)))
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct non-empty words of documents, written once: every reader would scan the corpus again."""
     words = F.array_distinct(F.split("text", " ", -1))
@@ -98,6 +116,15 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(pieces, "vocabulary")
 
 
+def word_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A constraint for each lower-case word of at least ten letters: the word, behind it the beginning of a word with "ed" or "ing"."""
+    word = F.col("piece")
+    kept = vocabulary(spark, sf_dir).filter(word.rlike("^[a-z]{10,}$"))
+    return kept.select(
+        word.alias("constraint_id"), F.lit(0).alias("ord"), F.lit("regex").alias("kind"), F.concat(word, F.lit("[,.]? [a-z]*(?:ed|ing)")).alias("pattern"), F.lit(-1.0).alias("penalty")
+    )
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.split("text", " ", -1).alias("w"))
 

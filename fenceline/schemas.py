@@ -21,3 +21,6 @@ REPORT_COLUMNS = [
     "violations",
     "violation_rate",
 ]
+
+# What names a run.
+RUN = ["method", "dataset", "model_alias", "batch_size", "seed"]

@@ -66,6 +66,18 @@ def read_json_lexicons(spark: SparkSession, paths: list[str]) -> tuple[DataFrame
     return terms, rejects.unionByName(bad)
 
 
+def read_json_lines_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """Terms of a JSON array with one item a line, of any size: strings only, duplicates kept, in no order. The lines are read apart."""
+    item = F.regexp_replace(strip(F.col("value")), r",\z", "")
+    items = spark.read.text(path).select(item.alias("value")).filter(~F.col("value").isin("[", "]", "")).select(F.parse_json("value").alias("item"))
+    return items.filter(F.schema_of_variant("item") == "STRING").select(F.try_variant_get("item", "$", "string").alias("term"))
+
+
+def read_results(spark: SparkSession, path: str, columns: str) -> DataFrame:
+    """Results laid out by run: ``columns`` (DDL) and those of the run, all of them strings. A filter on the run reads its files only."""
+    return spark.read.schema(f"{columns}, {', '.join(f'{c} STRING' for c in schemas.RUN)}").parquet(path)
+
+
 def read_evaluation_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Terms of one JSON-array file: strings only, stripped, lowered, blanks dropped, duplicates
     kept. A payload that is no array gives no terms."""

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import spans
 from ..operators import terms as T
-from ..session import shared_folder
+from ..session import lookup_join, shared_folder, written
+from . import ordered
 
 
 def violating(stream: DataFrame, text: str = "text") -> DataFrame:
@@ -31,6 +33,34 @@ def write_term_alerts(
     )
 
 
+def write_term_completions(chunks: DataFrame, lexicon: T.Lexicon, path: str, checkpoint: str, **order) -> StreamingQuery:
+    """(seq_id, end, chunk_no) of the first forbidden term that a stream of chunks completes, once per sequence, below ``path``; for a raw lexicon of any
+    size.
+
+    The state carries the characters in which a term may have begun; each micro-batch is then a table of texts that is joined with the
+    lexicon by anchored grams. ``order`` goes to :func:`ordered.carried`. A repeated batch is written again.
+    """
+    spark = chunks.sparkSession
+    longest = lexicon.terms.agg(F.max(F.length("term"))).first()[0] or 1
+
+    def find(batch: DataFrame, number: int) -> None:
+        # Written first: the stateful part must run once.
+        texts = written(batch.withColumnRenamed("start", "base"), "carried")
+        end = F.col("start") + F.length("term")
+        # What ends inside the carried text ended in an earlier chunk.
+        new = T.occurrences(texts, lexicon, ["seq_id", "chunk_no", "base", "halo"]).filter(end > F.col("halo"))
+        first = F.min(F.struct((F.col("base") + end).alias("end"), "chunk_no"))
+        found = new.groupBy("seq_id").agg(first.alias("_f")).select("seq_id", "_f.*")
+        # A sequence that a batch before has reported gives nothing more.
+        if earlier := [f"{path}/batch={n}" for n in range(number)]:
+            known = spark.read.schema("seq_id BIGINT").parquet(*earlier)
+            found = lookup_join(found, known, "seq_id", "left_anti")
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    carried = ordered.carried(chunks, longest - 1, **order)
+    return carried.writeStream.foreachBatch(find).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_alerts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream to parquet, processing what is available and then stopping. The checkpoint
     folder makes a restarted query go on where it ended."""

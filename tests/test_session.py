@@ -47,3 +47,20 @@ def test_hot_and_null_keys_are_split(shuffled):
     assert [r["k"] for r in session.hot_keys(facts, ["k"]).collect()] == [1]
     assert session.hot_keys(lookup, ["k"]) is None
     assert session.hot_keys(facts.limit(0), ["k"]) is None
+
+
+def test_scratch_folders_are_removed(spark, tmp_path):
+    import os
+
+    with session.scratch(spark):
+        path = session.shared_folder(spark, "mine")
+        spark.range(3).write.parquet(path)
+        with session.scratch(spark):
+            inner = session.written(spark.range(2), "inner")
+            assert inner.count() == 2
+        with pytest.raises(Exception, match="not exist|FILE|No such"):
+            inner.count()
+        assert os.path.isdir(path.removeprefix("file:"))
+    assert not os.path.exists(path.removeprefix("file:"))
+    kept = session.written(spark.range(2), "kept")
+    assert kept.count() == 2

@@ -1,5 +1,6 @@
 """Stateful scans over shuffled chunks against scans of the joined text."""
 
+import datetime
 import random
 import re
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from fenceline.functions import patterns as P
 from fenceline.operators import terms as T
 from fenceline.sources import readers
-from fenceline.streaming import alerts, chunks
+from fenceline.streaming import alerts, chunks, ordered
 
 ALL = [p.regex for p in P.PII]
 SCHEMA = "seq_id BIGINT, chunk_no INT, piece STRING, is_last BOOLEAN"
@@ -94,3 +95,74 @@ def test_stream_filter(spark, tmp_path):
     stream = readers.stream(spark, str(tmp_path / "in"), "doc_id BIGINT, text STRING")
     kept = alerts.drain(alerts.violating(stream).select(F.col("doc_id")))
     assert [r[0] for r in kept.collect()] == [1]
+
+
+TIMED = "seq_id BIGINT, chunk_no INT, piece STRING, is_last BOOLEAN, sent TIMESTAMP"
+
+
+class Feed:
+    """Batches of timed chunks, each followed by a run of the query."""
+
+    def __init__(self, spark, folder, **patience):
+        self.spark, self.patience = spark, ordered.Patience(**patience)
+        self.source, self.out, self.mark = (str(folder / n) for n in ("in", "out", "mark"))
+
+    def arrive(self, *rows):
+        """Rows (seq_id, chunk_no, piece, is_last, second)."""
+        made = [(s, n, p, last, datetime.datetime.fromtimestamp(1_700_000_000 + t, datetime.UTC)) for s, n, p, last, t in rows]
+        self.spark.createDataFrame(made, TIMED).coalesce(1).write.mode("append").parquet(self.source)
+        with ordered.rocksdb(self.spark):
+            stream = readers.stream(self.spark, self.source, TIMED)
+            alerts.write_alerts(ordered.first_completions(stream, "0 seconds", self.patience), self.out, self.mark).awaitTermination()
+        schema = "seq_id BIGINT, kind STRING, pattern STRING, end BIGINT, chunk_no INT, upto INT"
+        return sorted(((r["seq_id"], r["kind"], r["end"], r["chunk_no"], r["upto"]) for r in self.spark.read.schema(schema).parquet(self.out).collect()), key=str)
+
+
+def test_lost_chunks_are_given_up(spark, tmp_path):
+    feed = Feed(spark, tmp_path, gap=10_000)
+    assert feed.arrive((1, 0, "a@b", False, 0), (1, 2, "x@y.co", False, 2), (2, 0, "a@b", False, 0)) == []
+    # Within patience the lost chunk may still come; it does for the second sequence.
+    assert feed.arrive((2, 2, "m", True, 5), (2, 1, ".co", False, 5)) == [(2, "match", 6, 1, None)]
+    # The match does not reach over the gap; behind it the state starts anew, also after a restart.
+    gone = [(1, "gap", None, 1, 1), (1, "match", 9, 2, None), (2, "match", 6, 1, None)]
+    assert feed.arrive((9, 0, "", True, 100)) == gone
+    # Late, and more of a sequence that has reported: nothing.
+    assert feed.arrive((1, 1, ".com", False, 101), (1, 3, " p@q.de", True, 102)) == gone
+
+
+def test_many_waiting_chunks_end_a_gap(spark, tmp_path):
+    feed = Feed(spark, tmp_path, gap=10**9, most_waiting=3)
+    early = [(1, n, "z", False, n) for n in range(2, 5)]
+    assert feed.arrive(*early) == []
+    assert feed.arrive((1, 6, "a@b.co", True, 6)) == [(1, "gap", None, 0, 1), ]
+    assert feed.arrive((1, 5, "", False, 7)) == [(1, "gap", None, 0, 1), (1, "match", 9, 6, None)]
+
+
+def test_late_chunk_of_a_finished_sequence(spark, tmp_path):
+    feed = Feed(spark, tmp_path, gap=1_000, idle=50_000)
+    feed.arrive((1, 0, "a", False, 0), (1, 2, "c", True, 1))
+    ended = feed.arrive((9, 0, "", True, 10))
+    assert ended == [(1, "gap", None, 1, 1)]
+    assert feed.arrive((1, 1, "a@b.co", False, 11)) == ended
+    # Given up after a while without news.
+    assert feed.arrive((9, 0, "", True, 500)) == ended
+
+
+def test_terms_across_chunks_equal_the_batch(spark, tmp_path):
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 60))) for _ in range(80)]
+    terms = ["abab", "cab", "bcabc", "xcabx", "a" * 9, "bb"]
+    rows = []
+    for s, t in enumerate(texts):
+        pieces = cut(rng, t)
+        rows += [(s, i, p, i == len(pieces) - 1, datetime.datetime.fromtimestamp(1_700_000_000 + i, datetime.UTC)) for i, p in enumerate(pieces)]
+    rng.shuffle(rows)
+    for k in range(4):
+        spark.createDataFrame(rows[k::4], TIMED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    lex = T.lexicon(spark.createDataFrame([(t,) for t in terms], "term STRING"), T.ENFORCE, 0)
+    with ordered.rocksdb(spark):
+        stream = readers.stream(spark, str(tmp_path / "in"), TIMED, files_per_trigger=1)
+        alerts.write_term_completions(stream, lex, str(tmp_path / "out"), str(tmp_path / "mark"), delay="1 day").awaitTermination()
+    got = spark.read.schema("seq_id BIGINT, end BIGINT, chunk_no INT").parquet(str(tmp_path / "out")).collect()
+    want = {s: first_end(t, terms) for s, t in enumerate(texts) if first_end(t, terms) is not None}
+    assert len(got) == len(want) and {r["seq_id"]: r["end"] for r in got} == want

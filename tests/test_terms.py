@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from fenceline.operators import constraints as K
 from fenceline.operators import terms as T
@@ -164,3 +165,30 @@ def test_penalties_do_not_depend_on_the_size_of_the_table(spark):
         known = known or got
         assert got == known
     assert {r[2] for r in known} == {0.0, -1.0, -5.0}
+
+
+def test_windows_are_told_apart_before_the_shuffle(spark, monkeypatch):
+    """A large lexicon: few windows that begin no term reach the join, and no hit is lost."""
+    monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 10)
+    terms = spark.range(100_000).select(F.concat(F.lit("z"), F.hex(F.xxhash64("id"))).alias("term"))
+    lex = T.lexicon(terms, T.ENFORCE, 0)
+    planted = [r["term"] for r in terms.limit(5).collect()]
+    texts = [f"abc {planted[i % 5]} " + "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(300)) for i in range(40)]
+    table = docs(spark, texts)
+    found = T.hits(table, lex)
+    assert {(r["doc_id"], r["term"]) for r in found.collect()} == {(i, planted[i % 5]) for i in range(40)}
+    windows = spark.createDataFrame([(t[k : k + 16],) for t in texts for k in range(len(t) - 16)], "anchor STRING")
+    anchors = lex.terms.select(F.left("term", F.lit(16)).alias("anchor"))
+    kept = T.maybe_in(windows, anchors, "anchor").count()
+    assert 40 <= kept < 0.05 * windows.count()
+
+
+def test_presets_in_one_pass(spark):
+    texts = ["a Bad cat", " bad ", "x bad y BAD z", None, "bad"]
+    table = docs(spark, texts)
+    lexicons = [T.lexicon(words(spark, ["bad", " Bad"]), p) for p in (T.ENFORCE, T.SELECT, T.EVAL)]
+    got = sorted(tuple(r) for r in T.hits_by_preset(table, lexicons).collect())
+    want = sorted((r["doc_id"], lex.preset, r["term"]) for lex in lexicons for r in T.hits(table, lex).collect())
+    assert got == want and len(got) > 5
+    large = [T.lexicon(words(spark, ["bad", " Bad"]), p, 0) for p in (T.ENFORCE, T.SELECT, T.EVAL)]
+    assert sorted(tuple(r) for r in T.hits_by_preset(table, [lexicons[0], *large[1:]]).collect()) == want
