@@ -7,16 +7,17 @@ shuffles all copies globally, by a hash of seed, document and copy.
 
 The draw depends on the seed and the document's id, source and text only: a lost task draws the same again.
 Rows equal in these draw the same count. A null source is a source of its own, a null text has size 1
-like an empty one. Sources without a positive weight get rate 0, so their rows go. Other columns
+like an empty one. Sources without a positive weight get rate 0, so their rows go. A source far below its target has a high rate;
+a rate of a million takes a table of 24,000 numbers, and a document's place in it is found by halving. An empty table gives an empty mix. Other columns
 are carried along unchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import lookup_join
+from ..session import lookup_join, written
 from .common import packed
 
 SEED = "mix-1"
@@ -37,21 +38,41 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, DIGITS), 16, 10).cast("double") + 0.5) / float(16**DIGITS)
 
 
-def thresholds(rate: Column) -> Column:
-    """The distribution function of a Poisson variable with mean ``rate`` at 0, 1, 2, ... as an array, far
-    enough into the tail that a double is 1 there. Summed in logarithms, so no rate underflows."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(-rate, F.exp(-rate), F.array(F.exp(-rate)))
-    zero = start.cast("struct<log:double, sum:double, all:array<double>>")
+def thresholds(rates_: DataFrame) -> DataFrame:
+    """(_source, _low, _steps): the distribution function of a Poisson variable with mean ``rate`` at _low, _low + 1, ... as an array.
 
-    def step(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.ln(rate) - F.ln(k.cast("double"))
-        total = acc["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(acc["all"], F.array(total)).alias("all"))
-
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda acc: acc["all"])).otherwise(
-        F.array(F.lit(1.0))
+    It covers twelve standard deviations and thirty on both sides of the mean, outside of which a double is 0 or 1; an array has about
+    24 sqrt(rate) entries. Probabilities come from sums of the logarithms of their ratios, relative to the greatest one, so no rate underflows.
+    """
+    reach = F.ceil(12 * F.sqrt("rate") + 30)
+    named = rates_.select(
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_source"),
+        F.when(F.col("rate") > 0, F.col("rate")).otherwise(0.0).alias("rate"),
     )
+    bounds = named.withColumn("_low", F.greatest(F.floor(F.col("rate") - reach), F.lit(0)).cast("long"))
+    each = bounds.where("rate > 0").select("_source", "rate", "_low", F.explode(F.sequence("_low", F.ceil(F.col("rate") + reach).cast("long"))).alias("_k"))
+    whole = Window.partitionBy("_source")
+    so_far = whole.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    ratio = F.when(F.col("_k") == F.col("_low"), 0.0).otherwise(F.ln("rate") - F.ln(F.col("_k").cast("double")))
+    logs = each.withColumn("_log", F.sum(ratio).over(so_far))
+    shares = logs.withColumn("_share", F.exp(F.col("_log") - F.max("_log").over(whole)))
+    summed = shares.withColumn("_p", F.sum("_share").over(so_far) / F.sum("_share").over(whole))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_p"))), lambda x: x["_p"])
+    some = summed.groupBy("_source").agg(F.first("_low").alias("_low"), steps.alias("_steps"))
+    # Without a rate there are no copies.
+    none = bounds.where("rate = 0").select("_source", "_low", F.array(F.lit(1.0)).alias("_steps"))
+    return some.unionByName(none)
+
+
+def reached(steps: Column, u: Column) -> Column:
+    """How many of the ascending ``steps`` are at most ``u``, by halving."""
+    bits = F.ceil(F.log2(F.size(steps) + F.lit(1))).cast("int")
+
+    def halve(place: Column, bit: Column) -> Column:
+        next_ = place + F.call_function("shiftleft", F.lit(1), bit)
+        return F.when(F.get(steps, next_ - 1) <= u, next_).otherwise(place)
+
+    return F.aggregate(F.reverse(F.sequence(F.lit(0), bits - 1)), F.lit(0), halve)
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = POWER, total: float | None = None, source: str = "source", text: str = "text") -> DataFrame:
@@ -79,9 +100,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power
 
 def counted(docs: DataFrame, rates_: DataFrame, seed: str = SEED, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """``row`` (the document) and ``count`` (its Poisson count)."""
-    steps = rates_.select(
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("_source"), thresholds(F.col("rate")).alias("_steps")
-    )
+    steps = written(thresholds(rates_), "steps")
     own = packed(docs)
     own = own.select(
         "row",
@@ -89,8 +108,7 @@ def counted(docs: DataFrame, rates_: DataFrame, seed: str = SEED, key: str = "do
         uniform(F.lit(seed), F.col(f"row.`{key}`"), F.col(f"row.`{source}`"), F.md5(F.coalesce(F.col(f"row.`{text}`"), F.lit("")))).alias("_u"),
     )
     drawn = lookup_join(own, steps, "_source")
-    below = F.aggregate("_steps", F.lit(0), lambda n, step: n + F.when(step <= F.col("_u"), 1).otherwise(0))
-    return drawn.select("row", below.alias("count"))
+    return drawn.select("row", (F.col("_low") + reached(F.col("_steps"), F.col("_u"))).cast("int").alias("count"))
 
 
 def mixed(docs: DataFrame, rates_: DataFrame, seed: str = SEED, key: str = "doc_id", source: str = "source", text: str = "text", shuffled: bool = True) -> DataFrame:
