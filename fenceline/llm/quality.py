@@ -3,8 +3,9 @@
 A text's features are its words, the character 3- to 5-grams of its words, and two marks: a word that repeats the one
 before it, and a word of a line that repeats an earlier line. Features are hashed into buckets, each bucket has a learned
 vector, a text is the average of its features' vectors, and a softmax over two outputs gives the score. Training
-is numpy stochastic gradient descent over a bounded sample of labelled rows: those with the smallest hashes of their ids, at most
-``FIT_ROWS`` rows and ``FIT_BYTES`` bytes of text, none above ``FIT_LONGEST``.
+is numpy stochastic gradient descent over a bounded sample of labelled rows that have a document: those with the smallest hashes of their ids, at most
+``FIT_ROWS`` rows and ``FIT_BYTES`` bytes of distinct words. Texts of any length take part: their words are counted where they
+lie, and only the counts reach the driver.
 
 As output is linear in the average, a word's share of the result is one number; ``scored`` sends the
 buckets' numbers to all workers (their size is a parameter) and keeps each word's sum in a cache.
@@ -32,8 +33,7 @@ BUCKETS = 1 << 18
 DIMENSIONS = 16
 GRAMS = (3, 4, 5)
 FIT_ROWS = 3_000
-FIT_BYTES = 8_000_000
-FIT_LONGEST = 1_000_000
+FIT_BYTES = 5_000_000
 WORDS_AT_ONCE = 10_000
 STEPS = 400
 BATCH = 32
@@ -90,17 +90,17 @@ class Model:
     bias: float
 
 
-def fitted(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = SEED) -> Model:
-    """``steps`` batches of stochastic gradient descent over the texts. With one kind of label only, the bias says which."""
+def fitted(texts: list[tuple[list[str], list[int]]], labels: list[int], steps: int = STEPS, seed: int = SEED) -> Model:
+    """``steps`` batches of stochastic gradient descent over the texts, given as their different words (and marks) and how often each
+    occurs. With one kind of label only, the bias says which."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(BUCKETS), 0.0 if not len(y) else 4.0 * (2 * int(y[0]) - 1))
     number: dict[str, int] = {}
     docs = []
-    for t in texts:
-        counts = Counter(marked_words(t))
-        docs.append((np.array([number.setdefault(w, len(number)) for w in counts], dtype=np.int64), np.array(list(counts.values()), dtype=np.float64)))
+    for own, counts in texts:
+        docs.append((np.array([number.setdefault(w, len(number)) for w in own], dtype=np.int64), np.array(counts, dtype=np.float64)))
     words = list(number)
     # A few words at a time: forming their features takes many times the room of the result.
     parts = [features(words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)]
@@ -147,18 +147,38 @@ def fold(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def word_counts(texts: DataFrame) -> DataFrame:
+    """The rows with ``words`` (different ones) and ``counts`` instead of their ``text``, the last column."""
+    kept = texts.columns[:-1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = Counter(marked_words(batch.column(len(kept))[k].as_py()))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(k, 1).columns[:-1], pa.array([list(found)], pa.list_(pa.string())), pa.array([list(found.values())], pa.list_(pa.int64()))],
+                    names=[*kept, "words", "counts"],
+                )
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
+    return texts.mapInArrow(count, f"{kinds}, words array<string>, counts array<long>")
+
+
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """The model fitted to labelled rows outside fold 0."""
     own = labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y"))
     own = own.where((fold(F.col("id")) != 0) & F.col("id").isNotNull() & F.col("y").isin(0, 1))
+    # Labels without a document take no room.
+    own = own.join(docs.select(F.col(f"`{key}`").alias("id")).distinct(), "id", "left_semi")
     rank = F.xxhash64(F.lit(SEED), "id")
     # FIT_ROWS rows at most, so they may be sent to every task.
     chosen = F.broadcast(own.withColumn("rank", rank).orderBy("rank", "id", "y").limit(FIT_ROWS))
     texts = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    texts = texts.where(F.octet_length("text") <= FIT_LONGEST)
-    sample = written(texts.join(chosen, "id").select("rank", "id", "y", "text"), "sample")
+    counted = word_counts(texts.join(chosen, "id").select("rank", "id", "y", F.xxhash64("text").alias("h"), "text"))
+    sample = written(counted, "sample")
     kept, size, last = 0, 0, None
-    order = sample.select("rank", F.octet_length("text").alias("n")).orderBy("rank", "n").limit(FIT_ROWS)
+    room = F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w))
+    order = sample.select("rank", "id", "y", "h", room.alias("n")).orderBy("rank", "id", "y", "h").limit(FIT_ROWS)
     for r in order.collect():
         size += r["n"]
         if kept and size > FIT_BYTES:
@@ -166,8 +186,8 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
         kept, last = kept + 1, r["rank"]
     if last is None:
         return fitted([], [])
-    rows = sample.where(F.col("rank") <= last).orderBy("rank", "id", "y", F.xxhash64("text")).limit(kept).select("text", "y").toArrow()
-    return fitted(rows["text"].to_pylist(), rows["y"].to_pylist())
+    rows = sample.where(F.col("rank") <= last).orderBy("rank", "id", "y", "h").limit(kept).select("words", "counts", "y").toArrow()
+    return fitted(list(zip(rows["words"].to_pylist(), rows["counts"].to_pylist(), strict=True)), rows["y"].to_pylist())
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from llm_tables import SF, rows_of
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -96,10 +97,11 @@ def test_token_counts_on_given_documents(spark):
 
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit-text"]
-    texts = ["x\nReleased under THE mit license\ny", "Licensed under CC BY-NC 4.0", mit + " and more", mit, "", None, "released", "licensed under cc by 4 0\nAll rights reserved."]
+    texts = ["x\nReleased under THE mit license\ny", "Licensed under CC BY-NC 4.0", mit + " and more", mit, "", None, "released", "licensed under cc by 4 0\nAll rights reserved.", "x\nReleased under THE mit license\ny z"]
     got = licenses.scanned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     found = {r["doc_id"]: (r["license"], r["unit"], r["n_matches"], r["licenses"]) for r in got}
-    assert found[0] == ("mit", 2, 1, "mit") and found[1] == ("cc-by-nc-4.0", 0, 1, "cc-by-nc-4.0")
+    # The second line, and the whole text: 4 of 4 and 6 bigrams are 0.8 exactly. One word more is too much.
+    assert found[0] == ("mit", 2, 2, "mit") and found[8] == ("mit", 2, 1, "mit") and found[1] == ("cc-by-nc-4.0", 0, 1, "cc-by-nc-4.0")
     assert found[2][0] == "mit-text" and found[3] == ("mit-text", 0, 1, "mit-text")
     assert all(found[i] == (None, None, 0, "") for i in (4, 5, 6))
     assert found[7][2:] == (2, "all-rights-reserved,cc-by-4.0")
@@ -311,3 +313,28 @@ def test_packing_of_given_documents(spark):
     got = entry.queries()["op10_pattern_packing"](spark, SF).collect()
     used = check_packed(texts, got, 1024)
     assert used <= 1.05 * -(-sum(r["length"] for r in got) // 1024)
+
+
+def test_labels_without_documents_take_no_room(spark, monkeypatch):
+    """Ten times more labels than documents, and a bound that has room for all labelled rows."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} other{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(-600, 60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "FIT_ROWS", 60)
+    monkeypatch.setattr(quality, "fitted", lambda texts, y: seen.append((texts, y)))
+    quality.trained(docs, labels)
+    kept = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5}
+    assert len(seen[0][0]) == len(kept)
+    assert {w for words, _ in seen[0][0] for w in words if w.startswith("other")} == {f"other{i}" for i in kept}
+
+
+def test_long_texts_are_learnt_from(spark, monkeypatch):
+    long_ = " ".join(["long", "text"] * 400_000)
+    docs = spark.createDataFrame([(1, long_), (2, "a b a"), (3, None), (6, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 6)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fold", lambda key: F.lit(1))
+    monkeypatch.setattr(quality, "fitted", lambda texts, y: seen.append(sorted(zip(texts, y, strict=True), key=str)))
+    quality.trained(docs, labels)
+    assert [dict(zip(*t, strict=True)) for t, _ in seen[0] if "long" in t[0]] == [{"long": 400_000, "text": 400_000}]
+    assert len(seen[0]) == 4
