@@ -2,7 +2,7 @@
 
 Vectors are scaled to length 1, so the nearest by cosine are the nearest by distance, and rotated by one random
 orthogonal matrix, after which any prefix of dimensions estimates the whole distance. k-means on a
-bounded sample (``FIT_ROWS`` rows with the smallest hashes of their ids) gives the lists; every vector is put into
+bounded sample (``FIT_ROWS`` rows and ``FIT_BYTES`` at most, those with the smallest hashes of their ids) gives the lists; every vector is put into
 the list of its nearest centre, every query looks into the ``probes`` lists with the nearest ones. Their number is
 fitted on the same sample for a recall of ``TARGET``.
 
@@ -16,8 +16,8 @@ part against one part and returns k rows per query. Queries that find fewer than
 there are more vectors, look into all lists.
 
 Vectors that are null, empty, of another length than most, zero, or that hold null or non-finite components take no part, nor do
-rows with a null id. Equal scores are ordered by id. Repeated ids are separate candidates, but never of a query with
-that id. Other columns are ignored.
+rows with a null id. Equal scores are ordered by id. Every row has a number of its own: rows with one id, and equal rows, are
+separate queries and candidates of one another; only the row itself is left out. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from ..session import written
 
 FIT_ROWS = 20_000
+FIT_BYTES = 64_000_000
 MOST_LISTS = 4_096
 PART_ROWS = 8_192
 QUERY_PART_ROWS = 1_024
@@ -103,13 +104,13 @@ def probes_for(sample: np.ndarray, centre: np.ndarray, k: int, target: float = T
     return int(np.quantile(np.concatenate(places), target, method="higher")) + 1
 
 
-def scan(blocks: list[np.ndarray], ids: np.ndarray, v: np.ndarray, query: np.ndarray, query_id: int, q: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and cosines of the ``k`` best rows of a list for one query.
+def scan(blocks: list[np.ndarray], own: np.ndarray, ids: np.ndarray, v: np.ndarray, query: np.ndarray, query_row: int, q: np.ndarray, k: int, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """The places and cosines of the ``k`` best rows of a list for one query.
 
-    ``blocks`` are the rotated unit vectors by blocks of dimensions, ``query`` the rotated query, ``v`` and ``q``
+    ``own`` are the rows' numbers, ``blocks`` the rotated unit vectors by blocks of dimensions, ``query`` the rotated query, ``v`` and ``q``
     the original vectors.
     """
-    rows = np.flatnonzero(ids != query_id)
+    rows = np.flatnonzero(own != query_row)
     size = sum(b.shape[1] for b in blocks)
     partial = np.zeros(len(rows))
     best, d = np.inf, 0
@@ -130,7 +131,7 @@ def scan(blocks: list[np.ndarray], ids: np.ndarray, v: np.ndarray, query: np.nda
         rows = rows[partial <= kth + 1e-9]
     score = cosines(v[rows], q)
     order = np.lexsort((ids[rows], -score))[:k]
-    return ids[rows][order], score[order]
+    return rows[order], score[order]
 
 
 def _differences(blocks: list[np.ndarray], rows: np.ndarray, query: np.ndarray) -> Iterator[np.ndarray]:
@@ -152,12 +153,13 @@ def searched(vectors: DataFrame, queries: str, k: int = 5, probes: int | None =
     the condition ``queries`` over ``id``."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    every = written(usable(vectors, key, vector), "vectors")
+    # The numbers of the rows are fixed by writing them.
+    every = written(usable(vectors, key, vector).withColumn("row", F.monotonically_increasing_id()), "vectors")
     width = every.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if width is None:
         return spark.createDataFrame([], schema)
     every, rows = every.where(F.size("v") == width["n"]), width["count"]
-    sample = every.orderBy(F.xxhash64("id"), "id").select("v").limit(FIT_ROWS).toArrow()["v"].combine_chunks()
+    sample = every.orderBy(F.xxhash64("id"), "id").select("v").limit(max(1, min(FIT_ROWS, FIT_BYTES // (8 * width["n"])))).toArrow()["v"].combine_chunks()
     lists = int(min(MOST_LISTS, max(1, round(rows**0.5 / 2))))
     turn = rotation(width["n"])
     fitted = unit(sample.flatten().to_numpy().reshape(-1, width["n"])) @ turn
@@ -172,66 +174,70 @@ def searched(vectors: DataFrame, queries: str, k: int = 5, probes: int | None =
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
-                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    v = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                     lists_ = nearest_centres(unit(v) @ matrix, c, n)
                     again = pa.array(np.repeat(np.arange(part.num_rows), lists_.shape[1]))
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(again), part.column(1).take(again), pa.array(lists_.ravel().astype("i4"))], names=["id", "v", "list"]
+                        [*(c.take(again) for c in part.columns), pa.array(lists_.ravel().astype("i4"))], names=["row", "id", "v", "list"]
                     )
 
         return assign
 
-    indexed = written(every.mapInArrow(assigned(1), "id long, v array<double>, list int"), "lists")
+    listed = "row long, id long, v array<double>, list int"
+    indexed = written(every.select("row", "id", "v").mapInArrow(assigned(1), listed), "lists")
     sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(PART_ROWS)).cast("int").alias("_parts"))
 
     def found(asking: DataFrame, n: int) -> DataFrame:
         """Of each query the k best rows of its ``n`` lists."""
-        asked = asking.select("id", "v").mapInArrow(assigned(n), "id long, v array<double>, list int")
+        asked = asking.select("row", "id", "v").mapInArrow(assigned(n), listed)
         # Parts are numbered by hash: as many of vectors as the list needs, as many of queries as there may be.
         ask_parts = F.lit(max(1, -(-(rows // 50) * n // (len(centre) * QUERY_PART_ROWS))))
         small = F.broadcast(sizes)  # a row per list: MOST_LISTS at most
         left = (
             indexed.join(small, "list")
-            .withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+            .withColumn("part", F.pmod(F.xxhash64("row"), F.col("_parts")).cast("int"))
             .withColumn("ask", F.explode(F.sequence(F.lit(0), ask_parts - 1)))
         )
         right = (
             asked.join(small, "list")
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-            .withColumn("ask", F.pmod(F.xxhash64("id"), ask_parts).cast("int"))
+            .withColumn("ask", F.pmod(F.xxhash64("row"), ask_parts).cast("int"))
         )
 
         def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "i8", "vec_id": "i8"})
+                return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype({"query_row": "i8", "query_id": "i8", "vec_id": "i8"})
             matrix, _ = shared.value
             v, q = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-            turned, asked_, ids = unit(v) @ matrix, unit(q) @ matrix, a["id"].to_numpy()
+            turned, asked_, own, ids = unit(v) @ matrix, unit(q) @ matrix, a["row"].to_numpy(), a["id"].to_numpy()
             blocks = [np.ascontiguousarray(turned[:, d : d + BLOCK]) for d in range(0, v.shape[1], BLOCK)]
-            out = [(i, *scan(blocks, ids, v, asked_[j], i, q[j], k)) for j, i in enumerate(b["id"].to_numpy())]
+            out = [scan(blocks, own, ids, v, asked_[j], r, q[j], k) for j, r in enumerate(b["row"].to_numpy())]
+            times = [len(o[0]) for o in out]
             return pd.DataFrame(
                 {
-                    "query_id": np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype("i8"),
-                    "vec_id": np.concatenate([o[1] for o in out]),
-                    "score": np.concatenate([o[2] for o in out]),
+                    "query_row": np.repeat(b["row"].to_numpy(), times),
+                    "query_id": np.repeat(b["id"].to_numpy(), times),
+                    "vec_id": ids[np.concatenate([o[0] for o in out])],
+                    "score": np.concatenate([o[1] for o in out]),
                 }
             )
 
         keys = ["list", "part", "ask"]
-        hits = left.select(*keys, "id", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys))
-        return hits.applyInPandas(search, "query_id long, vec_id long, score double")
+        hits = left.select(*keys, "row", "id", "v").groupBy(*keys).cogroup(right.select(*keys, "row", "id", "v").groupBy(*keys))
+        return hits.applyInPandas(search, "query_row long, query_id long, vec_id long, score double")
 
     def ranked(hits: DataFrame) -> DataFrame:
-        order = "row_number() over (partition by query_id order by score desc, vec_id)"
-        return hits.withColumn("rank", F.expr(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        order = "row_number() over (partition by query_row order by score desc, vec_id)"
+        return hits.withColumn("rank", F.expr(order)).where(F.col("rank") <= k)
 
-    asking = every.where(queries).dropDuplicates(["id", "v"])
+    columns = ["query_id", "rank", "vec_id", "score"]
+    asking = every.where(queries)
     if probes >= len(centre):
-        return ranked(found(asking, len(centre)))
+        return ranked(found(asking, len(centre))).select(columns)
     near = written(ranked(found(asking, probes)), "near")
-    enough = near.where(F.col("rank") == min(k, rows - 1)).select(F.col("query_id").alias("id"))
-    short = written(asking.join(enough, "id", "left_anti"), "short")
+    enough = near.where(F.col("rank") == min(k, rows - 1)).select(F.col("query_row").alias("row"))
+    short = written(asking.join(enough, "row", "left_anti"), "short")
     if short.isEmpty():
-        return near
+        return near.select(columns)
     rest = ranked(found(short, len(centre)))
-    return near.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
+    return near.join(short.select(F.col("row").alias("query_row")), "query_row", "left_anti").select(columns).unionByName(rest.select(columns))

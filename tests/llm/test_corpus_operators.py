@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import compare, connect
+from fenceline import session
 from fenceline.llm import common, components, mixing, nearest, oracle, sharding, simhash, suffixes
 
 
@@ -311,6 +312,24 @@ def test_nearest_on_awkward_vectors(spark):
     assert nearest.searched(own.where("vec_id >= 200"), "true").count() == 0
 
 
+def test_repeated_ids_and_copies_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    vectors = [(0, rng.standard_normal(6)), (0, rng.standard_normal(6)), *((i, rng.standard_normal(6)) for i in range(1, 30))]
+    vectors.append((50, vectors[5][1]))
+    vectors.append((50, vectors[5][1]))  # a copy of a query, and of another row
+    own = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors], "vec_id long, embedding array<double>")
+    want = []
+    for place, (q, v) in enumerate(vectors):
+        if q % 50 == 0:
+            score = [(-float(np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w))), i) for k, (i, w) in enumerate(vectors) if k != place]
+            want += [(q, rank, i) for rank, (_, i) in enumerate(sorted((round(x, 12), i) for x, i in score)[:5], 1)]
+    for probes in (1, 99):
+        got = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest.searched(own, "id % 50 = 0", probes=probes).collect()]
+        assert len(got) == 20 and (probes == 1 or sorted(got) == sorted(want))
+    near = [r for r in nearest.searched(own, "id = 50", probes=99).collect() if r["rank"] <= 2]
+    assert sorted(r["vec_id"] for r in near) == [4, 4, 50, 50]
+
+
 def test_a_list_dealt_into_parts(spark, monkeypatch):
     monkeypatch.setattr(nearest, "PART_ROWS", 7)
     rng = np.random.default_rng(6)
@@ -337,7 +356,7 @@ def test_abandoned_rows_are_far(spark):
     blocks = [np.ascontiguousarray(turned[:, d : d + 16]) for d in range(0, 64, 16)]
     hits = 0
     for q in range(20):
-        ids, _ = nearest.scan(blocks, np.arange(3000), v, turned[q], q, v[q], 5)
+        ids, _ = nearest.scan(blocks, np.arange(3000), np.arange(3000), v, turned[q], q, v[q], 5)
         score = v @ v[q] / np.linalg.norm(v, axis=1)
         score[q] = -math.inf
         hits += len(set(ids.tolist()) & set(np.argsort(-score)[:5].tolist()))
@@ -360,3 +379,35 @@ def test_texts_that_agree_in_one_hash_are_told_apart(spark):
     docs = spark.createDataFrame([(bytearray(a),), (bytearray(b),)], "text binary").select(F.col("text").cast("string").alias("text"))
     one, two = suffixes._texts(docs, "text").collect()
     assert one["text"] != two["text"] and one["t1"] == two["t1"] and one["t2"] != two["t2"]
+
+
+@pytest.fixture
+def shuffled(spark, monkeypatch):
+    """No broadcast by size, no adaptive splitting, so that a plan has to split hot keys itself."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 100)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def largest_part(df):
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    return max(sizes) / (sum(sizes) / len(sizes))
+
+
+def test_a_star_and_a_frequent_fingerprint_are_split(shuffled, monkeypatch):
+    spark = shuffled
+    star = spark.range(1, 20_001, 1, 8).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    found = components.components(star)
+    assert found.count() == 20_001 and found.select("root").distinct().count() == 1
+    near = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = near.groupBy("a").agg(F.min("b").alias("_m"))
+    assert largest_part(session.lookup_join(near, least, "a")) <= 2
+    signed = spark.range(0, 20_000, 1, 8).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 18_000, 5).otherwise(F.col("id")).alias("fp"))
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: signed.withColumn("row_hash", F.xxhash64("doc_id")))
+    clusters = simhash.clustered(spark.range(1), bits=0)
+    assert clusters.count() == 20_000
+    assert largest_part(clusters) <= 2
