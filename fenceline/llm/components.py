@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from .. import session
+from ..session import lookup_join, written
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, small: bool) -> DataFrame:
     """One pass of star contraction over pairs (a > b): the larger (or smaller) neighbours of each node, and
     the node itself, are linked to the smallest of them. The minimum of a node is an aggregate and is
-    joined back, so a node with very many neighbours is no single task's work."""
+    looked up, so a node with very many neighbours is no single task's work. ``small``: it may be broadcast."""
     if large:
         near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges
     least = near.groupBy("a").agg(F.min("b").alias("_m")).withColumn("_m", F.least("_m", "a"))
-    joined = near.join(least, "a")
+    joined = lookup_join(near, least if small else written(least, "least"), "a", small=small)
     if large:
         linked = joined.where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
     else:
@@ -43,4 +44,7 @@ def components(links: DataFrame) -> DataFrame:
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         before = state
-        edges = written(_stars(_stars(edges, large=True), large=False), "links")
+        # Neither pass has more than two nodes a link, of two longs each.
+        small = 2 * state[0] <= min(session.BROADCAST_MAX_ROWS, session.BROADCAST_MAX_BYTES // 32)
+        wide = _stars(edges, large=True, small=small)
+        edges = written(_stars(wide if small else written(wide, "links"), large=False, small=small), "links")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import lookup_join, written
 from .components import components
 
 WIDTH = 4
@@ -229,23 +229,28 @@ def classes(signed: DataFrame, bits: int = BITS) -> DataFrame:
     roots = components(links(fps, bits)).withColumnsRenamed({"node": "fp"})
     rooted = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return written(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    return written(lookup_join(rooted, written(least, "least"), "root").select("fp", "root", "component_id"), "classes")
 
 
 def clustered(docs: DataFrame, width: int = WIDTH, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``row_hash``, ``fp``, ``root`` and ``component_id`` of every row."""
     signed = written(fingerprints(docs, width, key, text), "signed")
-    return signed.join(classes(signed, bits), "fp")
+    # One fingerprint may belong to a large part of all rows.
+    return lookup_join(signed, classes(signed, bits), "fp")
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that with the smallest ``doc_id``, nulls last, then the smallest hash of
     the row; of rows that are equal altogether one stays."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row_hash").alias("h"))
-    chosen = clustered(docs, width, bits, key, text).groupBy("root").agg(F.min(order).alias("o"))
-    first = chosen.select(F.col("o.id").alias("_id"), F.col("o.h").alias("_hash")).distinct()
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), row_hash(docs).alias("_hash"))
-    matched = rows.join(
-        first.withColumnRenamed("_hash", "_h"), (F.col("_hash") == F.col("_h")) & F.col(f"row.`{key}`").eqNullSafe(F.col("_id"))
-    )
-    return matched.dropDuplicates(["_hash", "_id"]).select("row.*")
+    named = F.coalesce(F.col("o.id").cast("string"), F.lit("null"))
+    found = written(clustered(docs, width, bits, key, text).select("root", order.alias("o")), "clustered")
+    times = found.groupBy(F.col("o.h").alias("_hash"), named.alias("_id")).agg(F.count("*").alias("_n"))
+    chosen = found.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.h").alias("_hash"), named.alias("_id")).distinct()
+    first = written(chosen.join(times, ["_hash", "_id"]), "chosen")
+    own = F.coalesce(F.col(f"row.`{key}`").cast("string"), F.lit("null"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), row_hash(docs).alias("_hash")).withColumn("_id", own)
+    # Keys are looked up; of whole rows only those move that occur more than once.
+    matched = lookup_join(rows, first, ["_hash", "_id"])
+    again = matched.where("_n > 1").dropDuplicates(["_hash", "_id"])
+    return matched.where("_n = 1").unionByName(again).select("row.*")
