@@ -52,8 +52,9 @@ def numbered(df: DataFrame, order: list[str], out: str = "idx") -> DataFrame:
     The rows are dealt into ranges of the order, as many as there are shuffle partitions, sorted inside each and written with their place in it; the ranges' sizes, summed
     up, give each its first number. Rows that agree in the order may lie in several ranges.
     """
-    # The row's number in the input tells equal rows apart, so that a frequent key is no single range.
-    told = df.withColumn("_tie", F.monotonically_increasing_id())
+    # The row's number in the input tells equal rows apart, so that a frequent key is no single range. It is fixed by writing it: a task
+    # that is run again must deal its rows out as before.
+    told = written(df.withColumn("_tie", F.monotonically_increasing_id()), "told")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = told.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
     # The id counts the rows of a partition from its number shifted by 33 bits.

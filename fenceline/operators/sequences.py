@@ -152,11 +152,12 @@ def overlapping(tokens: DataFrame, spans: DataFrame, width: int = 1024) -> DataF
     """Tokens joined with the spans they overlap (both with ``start``, ``end``), by equality on
     (sequence, bin) instead of on the sequence alone."""
     left = _binned(tokens, "token", width)
-    right = _binned(spans, "span", width)
+    # There are far fewer spans than tokens: looked up, they spare the tokens a shuffle.
+    right = written(_binned(spans, "span", width), "binned")
     t, s = F.col("token"), F.col("span")
     # A pair that shares several bins is kept in the first of them.
     first_shared = F.floor(F.greatest(t["start"], s["start"]) / width)
-    return left.join(right, ["seq_id", "_bin"]).filter(
+    return lookup_join(left, right, ["seq_id", "_bin"]).filter(
         (t["start"] < s["end"]) & (s["start"] < t["end"]) & (F.col("_bin") == first_shared)
     ).select("seq_id", "token", "span")
 

@@ -419,12 +419,12 @@ SQL["redact_all"] = f"""WITH {DOCS}, {LEX8}, p AS ({SQL['pii_spans']}),
       FROM l JOIN docs USING (doc_id) GROUP BY doc_id)
     SELECT doc_id, coalesce(made, text) AS redacted FROM docs LEFT JOIN c USING (doc_id)"""
 SQL["lexicon_roundtrip_large"] = f"WITH {VOCAB} SELECT piece AS term FROM vocab"
-SQL["results_roundtrip"] = f"""WITH {DOCS}, {LEX8}, {GENERATIONS}, {ANSWERS}, {REPORT}
-    SELECT method, dataset, model_alias, batch_size, seed, idx,
-      CASE WHEN method = 'ours' AND dataset = 'RTP' AND file IN (SELECT file FROM gens WHERE idx % 4 < 2) THEN -length(output) ELSE length(output) END AS n_chars
-    FROM gens JOIN report USING (file)
-    WHERE dataset <> 'Other' AND (idx % 4 < 2 OR NOT (method = 'ours' AND dataset = 'RTP')
-      OR file NOT IN (SELECT file FROM gens WHERE idx % 4 < 2))"""
+SQL["results_roundtrip"] = f"""WITH {DOCS}, {LEX8}, {GENERATIONS}, {ANSWERS}, {REPORT},
+    r AS (SELECT method, dataset, model_alias, batch_size, seed, idx, length(output) AS n,
+        method = 'ours' AND dataset = 'RTP' AND file IN (SELECT file FROM gens WHERE length(output) > 300) AS again
+      FROM gens JOIN report USING (file))
+    SELECT method, dataset, model_alias, batch_size, seed, idx, CASE WHEN again THEN -n ELSE n END AS n_chars
+    FROM r WHERE NOT again OR n > 300"""
 SQL["list_files_roundtrip"] = f"""WITH {DOCS}, {GENERATIONS}
     SELECT file, 1 AS n_files, 2 AS length FROM (SELECT DISTINCT file FROM gens)
     UNION ALL SELECT 'ours_Enron_phi_4_16_42.jsonl', 1, 0"""

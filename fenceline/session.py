@@ -121,6 +121,9 @@ def lookup_join(
     keys = [on] if isinstance(on, str) else list(on)
     if small or fits_broadcast(lookup):
         return facts.join(F.broadcast(lookup), keys, how)
+    if facts.isStreaming:
+        # The keys of a stream can't be counted beforehand.
+        return facts.join(lookup, keys, how)
     known = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
     joined = _split_join(facts.filter(known), lookup, keys, how)
     if how in ("inner", "left_semi"):
