@@ -130,19 +130,17 @@ class Grammar:
 
 
 class Names:
-    """For each k, equal numbers for equal strings of 2^k words inside the stretches, and their places in order."""
+    """For each k, equal numbers for equal strings of 2^k words inside the stretches."""
 
     def __init__(self, word: np.ndarray, own: np.ndarray):
         n = len(word)
         sizes = np.bincount(own)
         end = np.repeat(np.cumsum(sizes), sizes)
-        self.n, self.of, self.sorted = n, [np.unique(word, return_inverse=True)[1].astype(np.int32)], []
+        self.n, self.of = n, [np.unique(word, return_inverse=True)[1].astype(np.int32)]
         here = np.arange(n)
         while True:
             k = len(self.of) - 1
             now = self.of[k]
-            real = np.flatnonzero(now >= 0)
-            self.sorted.append(np.sort(now[real].astype(np.int64) * n + real))
             longer = np.flatnonzero(here + (2 << k) <= end)
             if not len(longer):
                 return
@@ -151,6 +149,11 @@ class Names:
             names[longer] = np.unique(both, return_inverse=True)[1]
             self.of.append(names)
 
+    def in_order(self, k: int) -> np.ndarray:
+        """name * n + place of all strings of 2^k words, sorted. Made when it is needed: it takes more room than the names."""
+        real = np.flatnonzero(self.of[k] >= 0)
+        return np.sort(self.of[k][real].astype(np.int64) * self.n + real)
+
     def forward(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many words from ``a`` and ``b`` on agree, ``most`` at most (``most`` stays inside a stretch)."""
         same = np.zeros(len(a), dtype=np.int64)
@@ -181,18 +184,18 @@ class Names:
             at = np.flatnonzero((2 << k <= room) & (1 << k <= most))
             if not len(at):
                 break
-            q = np.maximum(least[at], 1 << k)
+            q, in_order = np.maximum(least[at], 1 << k), self.in_order(k)
             while len(at):
                 place = mid[at] if ahead else mid[at] - (1 << k)
                 name = self.of[k][place].astype(np.int64)
                 if ahead:
-                    next_ = np.searchsorted(self.sorted[k], name * self.n + place + q)
-                    found = self.sorted[k][np.minimum(next_, len(self.sorted[k]) - 1)]
+                    next_ = np.searchsorted(in_order, name * self.n + place + q)
+                    found = in_order[np.minimum(next_, len(in_order) - 1)]
                     q = found - name * self.n - place
-                    ok = (next_ < len(self.sorted[k])) & (found // self.n == name)
+                    ok = (next_ < len(in_order)) & (found // self.n == name)
                 else:
-                    next_ = np.searchsorted(self.sorted[k], name * self.n + place - q, side="right") - 1
-                    found = self.sorted[k][np.maximum(next_, 0)]
+                    next_ = np.searchsorted(in_order, name * self.n + place - q, side="right") - 1
+                    found = in_order[np.maximum(next_, 0)]
                     q = name * self.n + place - found
                     ok = (next_ >= 0) & (found // self.n == name) & (place >= q)
                 ok &= (q < 2 << k) & (2 * q <= room[at]) & (q <= most[at])
