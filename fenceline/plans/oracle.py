@@ -405,8 +405,11 @@ SQL["stream_scan_gaps"] = f"""WITH {DOCS},
 SQL["stream_scan_terms"] = f"""WITH {LEX8} SELECT doc_id AS seq_id, min(strpos(text, term) - 1 + length(term)) AS end_first
     FROM documents JOIN lex ON contains(text, term) GROUP BY doc_id"""
 SQL["constraint_regex_index"] = f"""WITH {VOCAB}, c AS (SELECT piece, piece || '[,.]? [a-z]*(?:ed|ing)' AS re FROM vocab
-      WHERE regexp_full_match(piece, '[a-z]{{10,}}'))
-    SELECT doc_id, piece AS constraint_id FROM documents JOIN c ON contains(text, piece) AND regexp_matches(text, re)"""
+      WHERE regexp_full_match(piece, '[a-z]{{10,}}')),
+    g AS (SELECT DISTINCT doc_id, substr(text, i, 10) AS g
+      FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 9)) AS i FROM documents)),
+    near AS (SELECT doc_id, piece, re FROM g JOIN c ON g = left(piece, 10))
+    SELECT doc_id, piece AS constraint_id FROM near JOIN documents USING (doc_id) WHERE regexp_matches(text, re)"""
 SQL["redact_all"] = f"""WITH {DOCS}, {LEX8}, p AS ({SQL['pii_spans']}),
     i AS (SELECT doc_id, text, term, unnest(generate_series(1, length(text))) AS i FROM docs JOIN lex ON contains(text, term)),
     t AS (SELECT doc_id, i - 1 AS s, i - 1 + length(term) AS e FROM i WHERE substr(text, i, length(term)) = term),
