@@ -17,8 +17,12 @@ SLICES = 32
 # Scores below the threshold count as minus infinity.
 NEG_INF_CONST, NEG_INF_THRESH = -1000000000.0, -1000000.0
 MINUS_INF = float("-inf")
-# Bins of levels: so many to a unit of score below the peak; all lower levels share the last one.
+# Bins of levels, for steps with more levels than bins: so many to a unit of score below the peak; all lower levels share the last one.
 BINS_PER_UNIT, LAST_BIN = 64, 4096
+# Candidates of one score that are ordered in one task.
+SORTED = 10_000
+# How far below the highest score of all a step's peak may lie for its mass to be summed relative to that score.
+FAR = 600
 # Characters by which texts of one level are told apart before any are sorted.
 HEAD_CHARS = 3
 
@@ -38,18 +42,27 @@ def log_softmax(candidates: DataFrame, logit: str = "logit", out: str = "logprob
     """Add the log-probability within the step; a masked candidate keeps minus infinity. A step's peak and
     mass are aggregates that are looked up: a step with very many candidates is no single task's."""
     return (
-        lookup_join(candidates, written(step_mass(levels(candidates, logit)), "mass"), STEP)
+        lookup_join(candidates, step_mass(levels(candidates, logit)), STEP)
         .withColumn(out, F.col(logit) - F.col("_peak") - F.ln("_mass"))
         .drop("_peak", "_mass")
     )
 
 
 def step_mass(levels: DataFrame) -> DataFrame:
-    """(seq_id, step, _peak, _mass): the highest score of a step and the sum of exp(score - peak)."""
-    peaks = levels.groupBy(*STEP).agg(F.max("_level").alias("_peak"))
-    return lookup_join(levels, peaks, STEP).groupBy(*STEP).agg(
-        F.first("_peak").alias("_peak"), F.sum(F.col("_n") * F.exp(F.col("_level") - F.col("_peak"))).alias("_mass")
-    )
+    """(seq_id, step, _peak, _mass), as a table: the highest score of a step and the sum of exp(score - peak)."""
+    # Sums relative to the highest score of all steps take one pass; only steps that lie so far below it that their sums would lose
+    # digits are summed again, relative to their own peak.
+    top = levels.agg(F.max(F.when(F.col("_level") < float("inf"), F.col("_level")))).first()[0] or 0.0
+    sums = levels.groupBy(*STEP).agg(F.max("_level").alias("_peak"), F.sum(F.col("_n") * F.exp(F.col("_level") - F.lit(top))).alias("_sum"))
+    sums = written(sums, "sums")
+    far = (F.lit(top) - F.col("_peak") > FAR) | (F.col("_peak") == float("inf"))
+    near = sums.filter(~far).select(*STEP, "_peak", (F.col("_sum") * F.exp(F.lit(top) - F.col("_peak"))).alias("_mass"))
+    again = sums.filter(far).select(*STEP, "_peak")
+    if again.isEmpty():
+        return near
+    share = F.col("_n") * F.exp(F.col("_level") - F.col("_peak"))
+    own = lookup_join(levels, again, STEP).groupBy(*STEP).agg(F.first("_peak").alias("_peak"), F.sum(share).alias("_mass"))
+    return written(near.unionByName(own), "mass")
 
 
 def temperature(candidates: DataFrame, value: float, logit: str = "logit") -> DataFrame:
@@ -60,52 +73,74 @@ def top_k(candidates: DataFrame, k: int, logit: str = "logit") -> DataFrame:
     """Drop candidates strictly below the k-th value; ties with it stay. ``k <= 0`` is off."""
     if k <= 0:
         return candidates
-    # Each slice of a step's levels keeps its own k best; the k-th value among them is exact, and rows
-    # are then compared with it.
+    last = written(_kth_level(levels(candidates, logit), k), "last")
+    return lookup_join(candidates, last, STEP).filter(F.col(logit) >= F.col("_last")).drop("_last")
+
+
+def _kth_level(levels: DataFrame, k: int) -> DataFrame:
+    """(seq_id, step, _last): the k-th best score of a step, or its lowest one."""
+    # Each slice of a step's levels keeps its own k best; the k-th value among them is exact.
     best = F.col("_level").desc()
     own = Window.partitionBy(*STEP, F.pmod(F.xxhash64("_level"), F.lit(SLICES))).orderBy(best)
-    few = levels(candidates, logit).withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= k)
+    few = levels.withColumn("_r", F.row_number().over(own)).filter(F.col("_r") <= k)
     above = F.coalesce(F.sum("_n").over(_step().orderBy(best).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = few.withColumn("_above", above).filter(F.col("_above") < k).groupBy(*STEP).agg(F.min("_level").alias("_last"))
-    return lookup_join(candidates, written(last, "last"), STEP).filter(F.col(logit) >= F.col("_last")).drop("_last")
+    return few.withColumn("_above", above).filter(F.col("_above") < k).groupBy(*STEP).agg(F.min("_level").alias("_last"))
 
 
-def top_p(candidates: DataFrame, p: float, logit: str = "logit") -> DataFrame:
+def top_p(candidates: DataFrame, p: float, logit: str = "logit", k: int = 0) -> DataFrame:
     """Keep a candidate, in the order of score and text, while the probability before it is at most ``p``; the first
-    always stays. ``p >= 1`` is off.
+    always stays. ``p >= 1`` is off. With ``k`` the candidates are those of :func:`top_k`, found from the same levels.
 
-    No step is sorted. The mass of a step is summed by level and by bin of levels; a running sum over the bins finds the bin
-    that crosses ``p``, one over that bin's levels finds the level, and how many candidates of that level stay follows from their equal
-    shares. Which of them do is found likewise, by the beginnings of their texts.
+    No step is sorted. The mass of a step is summed by level; a running sum over the levels (over bins of levels first, where a step has
+    very many) finds the level that crosses ``p``, and how many candidates of that level stay follows from their equal
+    shares. Only rows of that level are told apart, by their texts.
     """
     if p >= 1.0:
-        return candidates
-    cut = written(_mass_cut(levels(candidates, logit), max(0.0, float(p))), "cut")
+        return top_k(candidates, k, logit)
+    own = levels(candidates, logit)
+    if k > 0:
+        last = written(_kth_level(own, k), "last")
+        own = written(lookup_join(own, last, STEP).filter("_level >= _last").drop("_last"), "levels")
+    cut = written(_mass_cut(own, max(0.0, float(p))), "cut")
     rows = lookup_join(candidates, cut, STEP)
-    whole = rows.filter((F.col(logit) > F.col("_cut")) | ((F.col(logit) == F.col("_cut")) & (F.col("_keep") >= F.col("_n"))))
-    part = rows.filter((F.col(logit) == F.col("_cut")) & (F.col("_keep") < F.col("_n")))
+    at_cut = F.col(logit) == F.col("_cut")
     extra = ["_cut", "_keep", "_n"]
-    return whole.drop(*extra).unionByName(_first_by_text(part).drop(*extra))
+    whole = rows.filter((F.col(logit) > F.col("_cut")) | (at_cut & (F.col("_keep") >= F.col("_n"))))
+    kept = [whole.drop(*extra)]
+    divided = cut.filter("_keep < _n")
+    if not divided.filter(F.col("_n") <= SORTED).isEmpty():
+        some = rows.filter(at_cut & (F.col("_keep") < F.col("_n")) & (F.col("_n") <= SORTED))
+        ranked = some.withColumn("_r", F.row_number().over(_step().orderBy("cand")))
+        kept.append(ranked.filter("_r <= _keep").drop("_r", *extra))
+    if not divided.filter(F.col("_n") > SORTED).isEmpty():
+        kept.append(_first_by_text(rows.filter(at_cut & (F.col("_keep") < F.col("_n")) & (F.col("_n") > SORTED))).drop(*extra))
+    out = kept[0]
+    for part in kept[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _mass_cut(levels: DataFrame, p: float) -> DataFrame:
     """(seq_id, step, _cut, _n, _keep): the level in which the mass of a step exceeds ``p``, its candidates, and how many of
     them stay."""
     before = Window.unboundedPreceding, -1
-    shares = lookup_join(levels, written(step_mass(levels), "mass"), STEP).select(
-        *STEP,
-        "_level",
-        "_n",
-        # Without a finite score no candidate has a share; the first one stays.
-        F.when(F.col("_peak") == MINUS_INF, 0.0).otherwise(F.exp(F.col("_level") - F.col("_peak")) / F.col("_mass")).alias("_each"),
-        F.least(F.floor((F.col("_peak") - F.col("_level")) * BINS_PER_UNIT), F.lit(LAST_BIN)).alias("_at"),
-    ).withColumn("_bin", F.when(F.col("_level") == MINUS_INF, LAST_BIN).otherwise(F.col("_at")).cast("int"))
-    shares = written(shares.drop("_at"), "shares")
-    # At most LAST_BIN + 1 bins to a step.
-    bins = shares.groupBy(*STEP, "_bin").agg(F.sum(F.col("_n") * F.col("_each")).alias("_share"))
-    base = F.coalesce(F.sum("_share").over(_step().orderBy("_bin").rowsBetween(*before)), F.lit(0.0))
-    last = bins.withColumn("_base", base).filter(F.col("_base") <= p).groupBy(*STEP).agg(F.max_by(F.struct("_bin", "_base"), "_bin").alias("_b"))
-    inside = lookup_join(shares, last.select(*STEP, "_b.*").withColumnRenamed("_bin", "_own"), STEP).filter("_bin = _own")
+    # Without a finite score no candidate has a share; the first one stays.
+    each = F.when(F.col("_peak") == MINUS_INF, 0.0).otherwise(F.exp(F.col("_level") - F.col("_peak")) / F.col("_mass"))
+    shares = lookup_join(levels, step_mass(levels), STEP).withColumn("_each", each)
+    wide = levels.groupBy(*STEP).agg(F.count("*").alias("_k")).filter(F.col("_k") > LAST_BIN).select(*STEP)
+    wide = written(wide, "wide")
+    inside = shares.withColumn("_base", F.lit(0.0))
+    if not wide.isEmpty():
+        of_wide = lookup_join(shares, wide, STEP, "left_semi")
+        at = F.least(F.floor((F.col("_peak") - F.col("_level")) * BINS_PER_UNIT), F.lit(LAST_BIN))
+        binned = written(of_wide.withColumn("_bin", F.when(F.col("_level") == MINUS_INF, LAST_BIN).otherwise(at).cast("int")), "bins")
+        # At most LAST_BIN + 1 bins to a step.
+        bins = binned.groupBy(*STEP, "_bin").agg(F.sum(F.col("_n") * F.col("_each")).alias("_share"))
+        base = F.coalesce(F.sum("_share").over(_step().orderBy("_bin").rowsBetween(*before)), F.lit(0.0))
+        last = bins.withColumn("_base", base).filter(F.col("_base") <= p).groupBy(*STEP).agg(F.max_by(F.struct("_bin", "_base"), "_bin").alias("_b"))
+        last = last.select(*STEP, F.col("_b._bin").alias("_own"), "_b._base")
+        crossing = lookup_join(binned, last, STEP).filter("_bin = _own").drop("_bin", "_own")
+        inside = lookup_join(inside, wide, STEP, "left_anti").unionByName(crossing)
     order = _step().orderBy(F.col("_level").desc()).rowsBetween(*before)
     inside = inside.withColumn("_before", F.col("_base") + F.coalesce(F.sum(F.col("_n") * F.col("_each")).over(order), F.lit(0.0)))
     crossing = F.min_by(F.struct("_level", "_n", "_each", "_before"), "_level").alias("_l")
@@ -203,7 +238,7 @@ def mask_audit(candidates: DataFrame) -> DataFrame:
 def chosen_logprob(candidates: DataFrame, picks: DataFrame) -> DataFrame:
     """(seq_id, step, picked, logprob) with the original, unmasked log-probability of the pick. Only the picks are scored."""
     chosen = lookup_join(candidates.withColumnRenamed("cand", "picked"), picks.select(*STEP, "picked"), [*STEP, "picked"], "left_semi")
-    scored = lookup_join(chosen.select(*STEP, "picked", "logit"), written(step_mass(levels(candidates)), "mass"), STEP)
+    scored = lookup_join(chosen.select(*STEP, "picked", "logit"), step_mass(levels(candidates)), STEP)
     return scored.select(*STEP, "picked", (F.col("logit") - F.col("_peak") - F.ln("_mass")).alias("logprob"))
 
 

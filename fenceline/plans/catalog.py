@@ -484,7 +484,7 @@ def cand_topk(spark, sf):
 
 
 def cand_topp(spark, sf):
-    return C.top_p(C.top_k(V.candidate_table(spark, sf), 20), 0.7531).select("seq_id", "step", "cand")
+    return C.top_p(V.candidate_table(spark, sf), 0.7531, k=20).select("seq_id", "step", "cand")
 
 
 def cand_greedy(spark, sf):
@@ -594,6 +594,7 @@ def seq_perplexity(spark, sf):
     steps = V.words(spark, sf).filter("size(w) > 1").select("doc_id", F.explode(pairs).alias("p"))
     scored = C.log_softmax(V.candidate_table(spark, sf)).filter("NOT is_eos").select("seq_id", "cand", "logprob")
     steps = steps.groupBy("doc_id", F.col("p.c").alias("seq_id"), F.col("p.s").alias("cand")).agg(F.count("*").alias("times"))
+    steps = written(steps, "pairs")
     # Distinct pairs are scored once; a pair that very many documents hold is looked up by broadcast.
     chosen = lookup_join(steps, written(scored, "scored"), ["seq_id", "cand"])
     scores = C.sequence_scores(chosen.select(F.col("doc_id").alias("seq_id"), "times", "logprob"))

@@ -55,6 +55,32 @@ def test_topk_and_topp(spark):
         assert got == want
 
 
+def test_topp_by_bins_and_by_texts(spark, monkeypatch):
+    """Steps with more levels than bins, levels too large to be ordered, steps far below the others, masked candidates."""
+    monkeypatch.setattr(C, "LAST_BIN", 3)
+    monkeypatch.setattr(C, "BINS_PER_UNIT", 2)
+    monkeypatch.setattr(C, "SORTED", 2)
+    rows = [(s, t, c, x - (2000.0 if s == "s5" else 0.0), e) for s, t, c, x, e in steps(3, 60)]
+    rows += [("none", 0, "a", -math.inf, False), ("none", 0, "b", -math.inf, False), ("some", 0, "a", -math.inf, False), ("some", 0, "b", 1.0, False)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for k, p in ((0, 0.0), (0, 0.4), (3, 0.55), (0, 0.9)):
+        got = sorted((r["seq_id"], r["step"], r["cand"]) for r in C.top_p(df, p, k=k).collect())
+        want = []
+        for key, group in grouped(rows).items():
+            ranked = sorted(group, key=lambda r: (-r[3], r[2]))
+            if k:
+                ranked = [r for r in ranked if r[3] >= ranked[min(k, len(ranked)) - 1][3]]
+            if ranked[0][3] == -math.inf:
+                want.append((*key, ranked[0][2]))
+                continue
+            mass = 0.0
+            for i, (r, q) in enumerate(zip(ranked, softmax([r[3] for r in ranked]))):
+                if i == 0 or mass <= p:
+                    want.append((*key, r[2]))
+                mass += q
+        assert got == sorted(want), (k, p)
+
+
 def test_literal_cases(spark):
     df = spark.createDataFrame([("s", 0, f"c{i}", x, False) for i, x in enumerate([3.0, 2.0, 2.0, 1.0])], SCHEMA)
     assert sorted(r["logit"] for r in C.top_k(df, 2).collect()) == [2.0, 2.0, 3.0]
