@@ -13,21 +13,33 @@ from fenceline.llm import mixing, packing, quality, queries, simhash, suffixes
 from fenceline.llm.common import table
 from fenceline.session import written
 
+# Rows of a batch for Python workers: texts reach them some megabytes at a time, not ten thousand rows.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it is fitted to the labelled rows among ``docs``."""
+    _small_batches(spark)
     scores = quality.scored(docs, quality.trained(docs, table(spark, sf_dir, "labels")))
     return scores.where("predicted = 1").select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints."""
+    _small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that occur elsewhere, too. A null text stays null; a character of which a byte
     went goes altogether, and so do replacement characters of changed texts. A document of which nothing is left stays, empty."""
+    _small_batches(spark)
     cleaned = suffixes.cleaned(docs)
     rest = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
     text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(rest)
@@ -42,11 +54,13 @@ def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's rate says, in the order of a hash."""
+    _small_batches(spark)
     return mixing.mixed(docs, mixing.rates(docs)).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in a sequence."""
+    _small_batches(spark)
     return packing.packed_pieces(written(queries.byte_pieces(docs), "pieces"), queries.SEQUENCE)
 
 
