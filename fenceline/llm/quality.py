@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -90,7 +90,7 @@ class Model:
     bias: float
 
 
-def fitted(texts: list[tuple[list[str], list[int]]], labels: list[int], steps: int = STEPS, seed: int = SEED) -> Model:
+def fitted(texts: Iterable[tuple[list[str], list[int]]], labels: list[int], steps: int = STEPS, seed: int = SEED) -> Model:
     """``steps`` batches of stochastic gradient descent over the texts, given as their different words (and marks) and how often each
     occurs. With one kind of label only, the bias says which."""
     rng = np.random.default_rng(seed)
@@ -106,6 +106,7 @@ def fitted(texts: list[tuple[list[str], list[int]]], labels: list[int], steps: i
     parts = [features(words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)]
     ids = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int32)])
     sizes = np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
+    del parts, words, number
     first = np.r_[0, np.cumsum(sizes)]
     vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     out, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
@@ -187,7 +188,9 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     if last is None:
         return fitted([], [])
     rows = sample.where(F.col("rank") <= last).orderBy("rank", "id", "y", "h").limit(kept).select("words", "counts", "y").toArrow()
-    return fitted(list(zip(rows["words"].to_pylist(), rows["counts"].to_pylist(), strict=True)), rows["y"].to_pylist())
+    # One text's words at a time become Python's: all of them would take several times the room.
+    texts_ = ((w.as_py(), n.as_py()) for w, n in zip(rows["words"], rows["counts"], strict=True))
+    return fitted(texts_, rows["y"].to_pylist())
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:

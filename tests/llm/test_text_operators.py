@@ -321,7 +321,7 @@ def test_labels_without_documents_take_no_room(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(-600, 60)], "doc_id long, quality int")
     seen = []
     monkeypatch.setattr(quality, "FIT_ROWS", 60)
-    monkeypatch.setattr(quality, "fitted", lambda texts, y: seen.append((texts, y)))
+    monkeypatch.setattr(quality, "fitted", lambda texts, y: seen.append((list(texts), y)))
     quality.trained(docs, labels)
     kept = {i for i in range(60) if zlib.crc32(str(i).encode()) % 5}
     assert len(seen[0][0]) == len(kept)
