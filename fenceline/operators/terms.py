@@ -278,20 +278,21 @@ def _char_gram_hits(docs: DataFrame, lex: Lexicon, key, subject: Column, positio
         return docs.select(*keys, F.lit("").alias("term"), F.lit(0).alias("start")).limit(0)
 
     # A look-ahead captures the window at every character: from the anchor's width up to the longest
-    # term of the level. One pattern per level; the compiled one is kept from row to row. Where the place
-    # of a window does not matter, only those that begin like a term are cut.
+    # term of the level. One pattern per level; the compiled one is kept from row to row. Only windows that begin
+    # like a term are cut, if the beginnings are few; where their place matters, the text between them is cut as well.
     heads: dict[int, list[str]] = {}
-    if not positions:
-        head = F.left(F.col("term"), F.least(F.lit(HEAD), F.call_function("shiftleft", F.lit(1), level)))
-        found = lex.terms.select(level.alias("l"), head.alias("h")).distinct().limit(HEADS + 1).collect()
-        if len(found) <= HEADS:
-            for r in found:
-                heads.setdefault(r["l"], []).append(r["h"])
+    head = F.left(F.col("term"), F.least(F.lit(HEAD), F.call_function("shiftleft", F.lit(1), level)))
+    found = lex.terms.select(level.alias("l"), head.alias("h")).distinct().limit(HEADS + 1).collect()
+    if len(found) <= HEADS:
+        for r in found:
+            heads.setdefault(r["l"], []).append(r["h"])
 
     def window(j: int) -> str:
         known = any_of(heads[j]) if heads else ""
         given = min(HEAD, 1 << j) if heads else 0
-        return f"(?s)(?=({known}.{{{(1 << j) - given},{(2 << j) - 1 - given}}}))."
+        ahead = f"(?=({known}.{{{(1 << j) - given},{(2 << j) - 1 - given}}}))."
+        # The rest behind the last window is a match as well, so that no place is tried twice.
+        return f"(?s)(.*?)(?:{ahead}|\\z)" if positions and heads else f"(?s){ahead}"
 
     table = F.array(
         *[F.struct(F.lit(1 << j).alias("_width"), F.lit(window(j)).alias("_re")) for j in levels]
@@ -300,8 +301,17 @@ def _char_gram_hits(docs: DataFrame, lex: Lexicon, key, subject: Column, positio
     leveled = blocks.select(*keys, "_at", "_block", F.explode(table).alias("_l")).select(
         *keys, "_at", "_block", "_l._width", "_l._re"
     )
-    windows = F.regexp_extract_all(F.col("_block"), F.col("_re"), F.lit(1))
-    if positions:
+    windows = F.regexp_extract_all(F.col("_block"), F.col("_re"), F.lit(2 if positions and heads else 1))
+    if positions and heads:
+        gaps = F.transform(F.regexp_extract_all(F.col("_block"), F.col("_re"), F.lit(1)), F.length)
+        listed = leveled.select(*keys, "_at", "_width", windows.alias("_w"), gaps.alias("_g")).filter("_w[0] <> ''")
+        # A window begins behind the gaps up to its own and one character for each window before it.
+        fresh = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
+        step = lambda a, g: F.struct((a["n"] + g + 1).alias("n"), F.array_append(a["at"], a["n"] + g).alias("at"))
+        places = F.aggregate("_g", fresh, step, lambda a: a["at"])
+        cut = listed.select(*keys, "_at", "_width", F.explode(F.arrays_zip(places.alias("i"), F.col("_w").alias("w"))).alias("_p"))
+        cut = cut.filter("_p.w <> ''").select(*keys, "_width", F.col("_p.w").alias("window"), (F.col("_at") + F.col("_p.i")).alias("start"))
+    elif positions:
         cut = leveled.select(*keys, "_at", "_width", F.posexplode(windows).alias("_i", "window"))
         cut = cut.withColumn("start", F.col("_at") + F.col("_i")).drop("_at", "_i")
     else:

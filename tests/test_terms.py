@@ -192,3 +192,16 @@ def test_presets_in_one_pass(spark):
     assert got == want and len(got) > 5
     large = [T.lexicon(words(spark, ["bad", " Bad"]), p, 0) for p in (T.ENFORCE, T.SELECT, T.EVAL)]
     assert sorted(tuple(r) for r in T.hits_by_preset(table, [lexicons[0], *large[1:]]).collect()) == want
+
+
+def test_places_are_cut_only_where_a_term_may_begin(spark):
+    """Occurrences cut few windows, and none is lost, whatever lies around them."""
+    rng = random.Random(5)
+    terms = ["ab", "aba", "bcb", "xyzzy", "a\U0001f600c", "\n\nb"]
+    texts = ["".join(rng.choice("abcxyz\n \U0001f600") for _ in range(rng.randint(0, 300))) for _ in range(60)]
+    texts += ["ab" * 3000, "a" * 5000 + "xyzzy", "", "z" * 9000]
+    lex = T.lexicon(spark.createDataFrame([(t,) for t in terms], "term STRING"), T.ENFORCE, 0)
+    found = T.occurrences(docs(spark, texts), lex, ["doc_id"])
+    want = sorted((i, t, k) for i, x in enumerate(texts) for t in terms for k in range(len(x)) if x.startswith(t, k))
+    assert sorted(map(tuple, found.select("doc_id", "term", "start").collect())) == want
+    assert "(.*?)" in found._jdf.queryExecution().toString()
