@@ -1,6 +1,6 @@
 """Chunks of sequences in their order, with early, late and lost ones.
 
-A chunk that comes early waits in a keyed map, one entry a chunk, in the RocksDB state store. A chunk that does not come
+A chunk that comes early waits in a list of its sequence in the RocksDB state store, which a batch writes by one call. A chunk that does not come
 until ``patience`` after the event time of the first one waiting behind it, by the watermark, is given up: the sequence goes on behind the gap and the
 gap is reported. So is a gap behind which more than ``most_waiting`` chunks wait; nothing in the state grows without bound. What comes
 for a gap that was given up is dropped. A sequence without news for ``idle`` gives up its state.
@@ -24,7 +24,7 @@ from .chunks import _advance
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CURSOR = "next_chunk INT, consumed BIGINT, carry STRING, waiting INT, timer BIGINT, finished BOOLEAN, gaps BOOLEAN"
-EARLY = "piece STRING, is_last BOOLEAN, sent BIGINT"
+EARLY = "chunk_no INT, piece STRING, is_last BOOLEAN, sent BIGINT"
 
 
 @contextmanager
@@ -65,7 +65,7 @@ class Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.cursor = handle.getValueState("cursor", CURSOR)
-        self.early = handle.getMapState("early", "chunk_no INT", EARLY)
+        self.early = handle.getListState("early", EARLY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new: dict[int, tuple] = {}
@@ -81,7 +81,7 @@ class Ordered(StatefulProcessor):
         held = self.cursor.get() if self.cursor.exists() else None
         next_, consumed, carry, waiting, timer, finished, gaps = held or (0, 0, json.dumps(self.fresh), 0, None, False, False)
         carry = json.loads(carry)
-        stored = {k[0]: tuple(v) for k, v in self.early.iterator()} if waiting else {}
+        stored = {v[0]: tuple(v[1:]) for v in self.early.get()} if waiting else {}
         open_ = stored | {n: v for n, v in new.items() if n >= next_}
         latest = max((v[2] for v in new.values()), default=None)
         out: list[tuple] = []
@@ -123,12 +123,15 @@ class Ordered(StatefulProcessor):
             return
         if due != timer:
             self.handle.registerTimer(due)
-        for n in stored:
-            if n not in open_:
-                self.early.removeKey((n,))
-        for n, value in open_.items():
-            if n not in stored:
-                self.early.updateValue((n,), value)
+        came = [(n, *value) for n, value in open_.items() if n not in stored]
+        if any(n not in open_ for n in stored):
+            # What is left is written again, and never more than was read.
+            if open_:
+                self.early.put([(n, *value) for n, value in open_.items()])
+            else:
+                self.early.clear()
+        elif came:
+            self.early.appendList(came)
         self.cursor.update(cursor)
 
 
