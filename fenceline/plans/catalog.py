@@ -622,13 +622,13 @@ def sql_functions(spark, sf):
 
 
 def stream_filter(spark, sf):
-    docs = readers.stream(spark, sf, "doc_id BIGINT, text STRING", pattern="documents.parquet")
+    docs = readers.stream(spark, f"{sf}/documents.parquet", "doc_id BIGINT, text STRING")
     return alerts.drain(alerts.violating(docs).select("doc_id"))
 
 
 def stream_filter_terms(spark, sf):
     """A stream against the lexicon as a join."""
-    docs = readers.stream(spark, sf, "doc_id BIGINT, text STRING", pattern="documents.parquet")
+    docs = readers.stream(spark, f"{sf}/documents.parquet", "doc_id BIGINT, text STRING")
     out = shared_folder(spark, "alerts")
     alerts.write_term_alerts(docs, _lex8(spark, T.ENFORCE, 0), f"{out}/data", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema("doc_id BIGINT").parquet(f"{out}/data").select("doc_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fenceline.functions import patterns as P
 from fenceline.operators import terms as T
 from fenceline.sources import readers
+from fenceline.plans import catalog
 from fenceline.streaming import alerts, chunks, ordered
 
 ALL = [p.regex for p in P.PII]
@@ -166,3 +167,65 @@ def test_terms_across_chunks_equal_the_batch(spark, tmp_path):
     got = spark.read.schema("seq_id BIGINT, end BIGINT, chunk_no INT").parquet(str(tmp_path / "out")).collect()
     want = {s: first_end(t, terms) for s, t in enumerate(texts) if first_end(t, terms) is not None}
     assert len(got) == len(want) and {r["seq_id"]: r["end"] for r in got} == want
+
+
+def test_filter_queries_read_a_table_of_part_files(spark, tmp_path):
+    rows = [(1, "a@b.co moron"), (2, "clean"), (3, "idiot"), (4, "555-12-1234")]
+    table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    table.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r[0] for r in catalog.stream_filter(spark, str(tmp_path)).collect()) == [1, 4]
+    assert sorted(r[0] for r in catalog.stream_filter_terms(spark, str(tmp_path)).collect()) == [1, 3]
+
+
+def test_early_chunks_take_one_write_a_batch():
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+        def clear(self):
+            self.held = None
+
+    class Listed:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows, self.calls = list(rows), self.calls + 1
+
+        def appendList(self, rows):
+            self.rows, self.calls = self.rows + list(rows), self.calls + 1
+
+        def clear(self):
+            self.rows, self.calls = [], self.calls + 1
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def getListState(self, *_):
+            return Listed()
+
+        def registerTimer(self, _):
+            pass
+
+        def deleteTimer(self, _):
+            pass
+
+    carrier = ordered._Carrier(3, ordered.Patience())
+    carrier.init(Handle())
+    got = list(carrier._go_on((1,), {n: (str(n), False, n) for n in range(1, 9, 2)}, 0))
+    assert not got and carrier.early.calls == 1 and len(carrier.early.rows) == 4
+    got = list(carrier._go_on((1,), {n: (str(n), False, n) for n in (0, 2)}, 0))
+    assert list(got[0].chunk_no) == [0, 1, 2, 3] and carrier.early.calls == 2
+    assert [r[0] for r in carrier.early.rows] == [5, 7]
