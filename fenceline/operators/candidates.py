@@ -196,7 +196,8 @@ def penalised(candidates: DataFrame, penalties: DataFrame, logit: str = "logit",
     candidate, one row per constraint."""
     total = penalties.groupBy(*STEP, "cand").agg(F.sum("penalty").alias("_p"))
     score = soft_score(F.col(logit), F.col("_p"), F.col("is_eos"))
-    return candidates.join(total, [*STEP, "cand"], "left").withColumn(out, score).drop("_p")
+    # Few candidates have a penalty: looked up, they spare the others a shuffle.
+    return lookup_join(candidates, written(total, "penalties"), [*STEP, "cand"], "left").withColumn(out, score).drop("_p")
 
 
 def mask(candidates: DataFrame, logit: str = "logit") -> DataFrame:

@@ -137,3 +137,16 @@ def test_best_completions(spark):
         ranked = sorted((r for r in rows if r[0] == prompt), key=lambda r: (-r[2], r[1]))[:4]
         for i, r in enumerate(ranked):
             assert got[(prompt, i + 1)] == r[1]
+
+
+def test_penalties_are_looked_up_without_a_shuffle_of_the_candidates(spark):
+    rows = [(1, 0, "a", 1.0, False), (1, 0, "b", 2.0, False), (None, 0, "c", 3.0, False)]
+    candidates = spark.createDataFrame(rows, "seq_id INT, step INT, cand STRING, logit DOUBLE, is_eos BOOLEAN")
+    penalties = spark.createDataFrame([(1, 0, "b", -1.0), (1, 0, "b", -0.5)], "seq_id INT, step INT, cand STRING, penalty DOUBLE")
+    scored = C.penalised(candidates, penalties)
+    assert {(r["cand"], r["score"]) for r in scored.collect()} == {("a", 1.0), ("b", 0.5), ("c", 3.0)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert "Exchange hashpartitioning" not in C.penalised(candidates, penalties)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
