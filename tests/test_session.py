@@ -64,3 +64,8 @@ def test_scratch_folders_are_removed(spark, tmp_path):
     assert not os.path.exists(path.removeprefix("file:"))
     kept = session.written(spark.range(2), "kept")
     assert kept.count() == 2
+
+
+def test_tables_between_steps_are_written_compactly(spark):
+    table = session.written(spark.range(10), "compact")
+    assert all(f.endswith(".zstd.parquet") for f in table.inputFiles())
