@@ -621,14 +621,19 @@ def sql_functions(spark, sf):
 # --- streams ------------------------------------------------------------------------------
 
 
+def _arriving_documents(spark, sf) -> DataFrame:
+    """The table's file, or all part files where it is a folder: a stream takes a single file by a glob path only."""
+    return readers.stream(spark, f"{sf}/documents.parque[t]", "doc_id BIGINT, text STRING")
+
+
 def stream_filter(spark, sf):
-    docs = readers.stream(spark, f"{sf}/documents.parquet", "doc_id BIGINT, text STRING")
+    docs = _arriving_documents(spark, sf)
     return alerts.drain(alerts.violating(docs).select("doc_id"))
 
 
 def stream_filter_terms(spark, sf):
     """A stream against the lexicon as a join."""
-    docs = readers.stream(spark, f"{sf}/documents.parquet", "doc_id BIGINT, text STRING")
+    docs = _arriving_documents(spark, sf)
     out = shared_folder(spark, "alerts")
     alerts.write_term_alerts(docs, _lex8(spark, T.ENFORCE, 0), f"{out}/data", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema("doc_id BIGINT").parquet(f"{out}/data").select("doc_id")

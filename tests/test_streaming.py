@@ -172,9 +172,12 @@ def test_terms_across_chunks_equal_the_batch(spark, tmp_path):
 def test_filter_queries_read_a_table_of_part_files(spark, tmp_path):
     rows = [(1, "a@b.co moron"), (2, "clean"), (3, "idiot"), (4, "555-12-1234")]
     table = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
-    table.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
-    assert sorted(r[0] for r in catalog.stream_filter(spark, str(tmp_path)).collect()) == [1, 4]
-    assert sorted(r[0] for r in catalog.stream_filter_terms(spark, str(tmp_path)).collect()) == [1, 3]
+    table.repartition(3).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    (tmp_path / "one").mkdir()
+    table.toPandas().to_parquet(tmp_path / "one" / "documents.parquet")
+    for sf in (str(tmp_path / "parts"), str(tmp_path / "one")):
+        assert sorted(r[0] for r in catalog.stream_filter(spark, sf).collect()) == [1, 4]
+        assert sorted(r[0] for r in catalog.stream_filter_terms(spark, sf).collect()) == [1, 3]
 
 
 def test_early_chunks_take_one_write_a_batch():
