@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import MARKER_WORDS, SPACE_MARKERS
-from ..session import lookup_join, written
+from ..session import fits_broadcast, lookup_join, written
 from . import terms as T
 
 
@@ -160,7 +160,11 @@ def with_mask(candidates: DataFrame, table: DataFrame, end_piece: str | None = N
     )
     root = table.filter("state = ''").select("piece", F.struct("blocked", "next_state").alias("_root"))
     taken = F.coalesce("_own", "_root")
-    joined = lookup_join(lookup_join(candidates, root, "piece", "left"), own, ["state", "piece"], "left")
+    # A lookup join beyond the broadcast bound reads its facts several times: what the first one gives is then a table.
+    small = fits_broadcast(own)
+    joined = lookup_join(candidates, own, ["state", "piece"], "left", small=small)
+    joined = lookup_join(joined if small else written(joined, "own"), root, "piece", "left")
+    joined = joined.select("state", "piece", *[c for c in joined.columns if c not in ("state", "piece")])
     blocked = F.coalesce(taken["blocked"], F.lit(False))
     if end_piece is not None:
         blocked = blocked & (F.col("piece") != end_piece)

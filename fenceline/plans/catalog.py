@@ -510,7 +510,8 @@ def _blocked_candidates(spark, sf):
 def cand_state_mask(spark, sf):
     """Candidates appended to their context word, blocked by the state the word leaves behind."""
     lex = _lex8(spark, T.ENFORCE)
-    kept = V.candidates(spark, sf).filter(~T.any_literal(lex, F.col("seq_id")))
+    # A table: joins with lookups beyond the broadcast bound read it several times.
+    kept = V.candidate_table(spark, sf).filter(~T.any_literal(lex, F.col("seq_id")))
     contexts = L.state_of(kept.withColumnRenamed("cand", "piece"), V.lexicon8(spark), "seq_id")
     # A mask is made once per vocabulary and read by every candidate table.
     table = written(L.state_table(V.lexicon8(spark), V.vocabulary(spark, sf)), "mask")

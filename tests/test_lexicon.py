@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from fenceline import session
 from fenceline.operators import lexicon as L
 from fenceline.operators import terms as T
 
@@ -87,3 +90,17 @@ def test_mask_on_candidates(spark):
         assert r["blocked"] == blocked
         if not blocked and r["piece"] != "unseen":
             assert r["next_state"] == longest_state(r["text"] + r["piece"], states)
+
+
+def test_a_mask_beyond_the_broadcast_bound_reads_its_candidates_once(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 0)
+    rows = [("", "ab", False, "b"), ("", "c", True, None), ("a", "ab", True, None)]
+    table = spark.createDataFrame(rows, "state STRING, piece STRING, blocked BOOLEAN, next_state STRING")
+    state = F.when(F.col("id") % 2 == 0, "a").otherwise("")
+    pieces = spark.range(6).select("id", state.alias("state"), F.element_at(F.array(F.lit("ab"), F.lit("c"), F.lit("d")), (F.col("id") % 3 + 1).cast("int")).alias("piece"))
+    masked = L.with_mask(pieces, table)
+    assert masked.columns == ["state", "piece", "id", "blocked", "next_state"]
+    assert {(r["id"], r["blocked"], r["next_state"]) for r in masked.collect()} == {
+        (0, True, None), (1, True, None), (2, False, None), (3, False, "b"), (4, True, None), (5, False, None)
+    }
+    assert "Range (" not in masked._jdf.queryExecution().toString()
