@@ -69,7 +69,7 @@ def _checks(constraints: DataFrame, body: Column) -> tuple[list, DataFrame | Non
     few = regex_rows.limit(LISTED_EXPRESSIONS + 1).collect()
     if len(few) > LISTED_EXPRESSIONS:
         regex_rows = written(regex_index.with_literals(regex_rows), "expressions")
-        few, regex_rows = regex_rows.filter("literal IS NULL").collect(), regex_rows.filter("literal IS NOT NULL").drop("literal")
+        few, regex_rows = regex_rows.filter("literal IS NULL").collect(), regex_rows.filter("literal IS NOT NULL")
     else:
         regex_rows = None
     checks = [(r, body.rlike(r["pattern"])) for r in sorted(few, key=lambda r: r["ord"] or 0)]
