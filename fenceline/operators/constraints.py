@@ -72,13 +72,19 @@ def _checks(constraints: DataFrame, body: Column) -> tuple[list, DataFrame | Non
         few, regex_rows = regex_rows.filter("literal IS NULL").collect(), regex_rows.filter("literal IS NOT NULL")
     else:
         regex_rows = None
-    checks = [(r, body.rlike(r["pattern"])) for r in sorted(few, key=lambda r: r["ord"] or 0)]
+    checks = [(r, _matches(body, r["pattern"])) for r in sorted(few, key=lambda r: r["ord"] or 0)]
     few = term_rows.filter("pattern <> ''").limit(T.LISTED_TERMS + 1).collect()
     if len(few) > T.LISTED_TERMS:
         return checks, term_rows, regex_rows
     return [(r, T.holds(body, F.lit(r["pattern"]), r["match_mode"])) for r in few] + checks, None, regex_rows
 
 
+def _matches(body: Column, pattern: str | None) -> Column:
+    """Whether a text has a match; a literal that every match contains is looked for first."""
+    literal = regex_index.longest_literal(pattern) if pattern else ""
+    return F.contains(body, F.lit(literal)) & body.rlike(pattern) if literal else body.rlike(pattern)
+
+
 def _flagged(texts: DataFrame, checks: list, key: str) -> DataFrame:
     entries = [
         F.when(hit, F.struct(F.lit(r["constraint_id"]).alias("constraint_id"), F.lit(r["penalty"]).alias("penalty")))

@@ -144,7 +144,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     step = F.lit(0).alias("step")
     scored = counted.select("seq_id", step, "cand", F.ln("n").alias("logit"), F.lit(False).alias("is_eos"))
-    ends = counted.select("seq_id").distinct().select(
+    # With their count the pairs of the ends are the shuffle of the scores: texts are cut into pairs once.
+    ends = counted.filter("n > 0").select("seq_id").distinct().select(
         "seq_id", step, F.lit(END_PIECE).alias("cand"), F.lit(0.0).alias("logit"), F.lit(True).alias("is_eos")
     )
     return scored.unionByName(ends)

@@ -150,3 +150,26 @@ def test_penalties_are_looked_up_without_a_shuffle_of_the_candidates(spark):
         assert "Exchange hashpartitioning" not in C.penalised(candidates, penalties)._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairs_of_texts_are_shuffled_once(spark, tmp_path):
+    """The ends of steps come from the shuffle of the scores; a word that looks like an end stays a candidate of its own."""
+    from fenceline.plans import views as V
+
+    rows = [(1, "a b a </s> a b"), (2, "a"), (3, None), (4, "b  a"), (None, "a b")]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    df = V.candidates(spark, str(tmp_path))
+    got = sorted((r["seq_id"], r["cand"], round(r["logit"], 6), r["is_eos"]) for r in df.collect())
+    want = [("a", "b", 1.098612, False), ("b", "a", 0.0, False), ("a", "</s>", 0.0, False), ("</s>", "a", 0.0, False), ("b", "", 0.0, False), ("", "a", 0.0, False)]
+    assert got == sorted(want + [(c, "</s>", 0.0, True) for c in ("a", "b", "</s>", "")])
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_expression_looks_for_its_literal_first(spark):
+    from fenceline.operators import constraints as K
+
+    rows = [("m", 0, "regex", r"[a-z]+@[a-z]+", 1.0), ("n", 1, "regex", "[0-9]{2}|x", 2.0)]
+    table = spark.createDataFrame(rows, K.CONSTRAINTS)
+    df = K.with_penalty(spark.createDataFrame([("a@b",), ("@",), ("a@b 12",), ("x",), (None,)], "text STRING"), table)
+    assert {r["text"]: r["penalty"] for r in df.collect()} == {"a@b": 1.0, "@": 0.0, "a@b 12": 3.0, "x": 2.0, None: 0.0}
+    assert "Contains(text" in df._jdf.queryExecution().optimizedPlan().toString()
