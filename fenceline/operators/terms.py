@@ -30,6 +30,8 @@ LITERAL_TERMS = 4096
 LISTED_TERMS = 64
 # Characters that the beginnings of terms are told by, and up to how many beginnings are.
 HEAD, HEADS = 3, 4096
+# Up to this many terms, and characters of them, raw terms are found by one expression.
+NAMED_TERMS, NAMED_CHARS = 16_384, 400_000
 # Depth of the groups of one expression.
 NESTED = 50
 # Long texts are cut into blocks of this many characters before character grams are made.
@@ -124,7 +126,8 @@ def any_of(words) -> str:
             heads.setdefault(w[shared], []).append(w)
         out.append("(?:")
         work.append(")?" if optional else ")")
-        for i, branch in enumerate(reversed(heads.values())):
+        # Beginnings of many words are tried first.
+        for i, branch in enumerate(sorted(heads.values(), key=len)):
             if i:
                 work.append("|")
             work.append((branch, shared, depth + 1))
@@ -184,15 +187,40 @@ def without(docs: DataFrame, lex: Lexicon, text: str = "text") -> DataFrame:
 
 def hits(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct (key, term) pairs of contained terms: rows of one key count as one text of it."""
-    if lex.literals is not None:
+    if lex.literals is not None and len(lex.literals) <= LISTED_TERMS:
         docs = docs.filter(any_literal(lex, F.col(text)))
-        if len(lex.literals) <= LISTED_TERMS:
-            return docs.select(key, F.explode(_listed(lex, F.col(text))).alias("term")).distinct()
+        return docs.select(key, F.explode(_listed(lex, F.col(text))).alias("term")).distinct()
     if lex.preset == ENFORCE:
-        return _char_gram_hits(docs, lex, key, F.col(text), positions=False).distinct()
+        size = lex.terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
+        if 0 < size["n"] <= NAMED_TERMS and size["chars"] <= NAMED_CHARS and (lex.literals is not None or fits_broadcast(lex.terms)):
+            return _named_hits(docs, [r["term"] for r in lex.terms.collect()], key, F.col(text)).distinct()
+        return _char_gram_hits(docs, lex, key, _long_words(lex, F.col(text)), positions=False).distinct()
+    if lex.literals is not None:
+        docs = docs.filter(any_literal(lex, F.col(text)))
     return _word_gram_hits(docs, lex, key, _subject(lex, F.col(text)))
 
 
+def _named_hits(docs: DataFrame, terms: list[str], key: str, subject: Column) -> DataFrame:
+    """(key, term) of raw containment by one scan. At each place it finds the longest term that begins there; the others that do are
+    beginnings of that term, which are looked up."""
+    known = set(terms)
+    pairs = [{"_found": t, "term": t[:i]} for t in terms for i in range(1, len(t) + 1) if t[:i] in known]
+    table = docs.sparkSession.range(1).select(F.explode(literal_array(pairs, "array<struct<_found: string, term: string>>")).alias("_p")).select("_p.*")
+    starts = "".join(sorted({quote(t[0]) for t in terms}))
+    longest = F.regexp_extract_all(subject, F.lit(f"(?s)(?=[{starts}])(?=({any_of(terms)}))."), F.lit(1))
+    found = docs.select(key, F.explode(F.array_distinct(longest)).alias("_found"))
+    return lookup_join(found, table, "_found", small=True).select(key, "term")
+
+
+def _long_words(lex: Lexicon, text: Column) -> Column:
+    """The different space-separated words of a text that are as long as the shortest term: where no term holds a space, a text holds what
+    they hold."""
+    row = lex.terms.agg(F.min(F.length("term")).alias("least"), F.bool_or(F.contains("term", F.lit(" "))).alias("spaced")).first()
+    if row["spaced"] or not row["least"]:
+        return text
+    return F.array_join(F.filter(F.array_distinct(F.split(text, " ", -1)), lambda w: F.length(w) >= row["least"]), " ")
+
+
 def _listed(lex: Lexicon, text: Column) -> Column:
     """The terms of a lexicon of few literals that a text holds, tested one by one."""
     pad = F.lit("" if lex.preset == ENFORCE else " ")

@@ -147,7 +147,8 @@ def word_raw_counts(spark, sf):
 
 def span_term_docs(spark, sf):
     docs = V.docs_pii(spark, sf)
-    return T.hits(docs, T.lexicon(V.pii_terms(docs), T.ENFORCE))
+    # A table: the lexicon is read several times, the texts once for it.
+    return T.hits(docs, T.lexicon(written(V.pii_terms(docs), "found"), T.ENFORCE))
 
 
 def clean_docs(spark, sf):

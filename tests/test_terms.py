@@ -205,3 +205,23 @@ def test_places_are_cut_only_where_a_term_may_begin(spark):
     want = sorted((i, t, k) for i, x in enumerate(texts) for t in terms for k in range(len(x)) if x.startswith(t, k))
     assert sorted(map(tuple, found.select("doc_id", "term", "start").collect())) == want
     assert "(.*?)" in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("spaced", [False, True])
+def test_raw_terms_of_large_lexicons(spark, monkeypatch, spaced):
+    """Found by one scan, or, beyond its bound, in the long words of a text where no term holds a space."""
+    rng = random.Random(21)
+    terms = sorted({"".join(rng.choice("abc.\u00e9\U0001f600" + " " * spaced) for _ in range(rng.randint(3, 8))) for _ in range(150)} | {"aaa", "aaab", "aaabc"})
+    texts = ["".join(rng.choice("abc.  \u00e9\U0001f600") for _ in range(rng.randint(0, 120))) for _ in range(80)] + [None, "", "aaabc", "aaab", "a aab aaab " + "x" * 6000 + "aaa"]
+    want = {(i, t) for i, x in enumerate(texts) if x is not None for t in terms if t in x}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id INT, text STRING")
+    lex = T.lexicon(spark.createDataFrame([(t,) for t in terms], "term STRING"), T.ENFORCE, 0)
+    grams = T._char_gram_hits
+    monkeypatch.setattr(T, "_char_gram_hits", None)
+    assert {tuple(r) for r in T.hits(table, lex).collect()} == want
+    subjects = []
+    monkeypatch.setattr(T, "_char_gram_hits", lambda docs, lex, key, subject, positions: subjects.append(subject) or grams(docs, lex, key, subject, positions))
+    monkeypatch.setattr(T, "NAMED_TERMS", 20)
+    assert {tuple(r) for r in T.hits(table, lex).collect()} == want
+    kept = table.select(F.sum(F.length(subjects[0])).alias("n"), F.sum(F.length("text")).alias("all")).first()
+    assert (kept["n"] < kept["all"]) != spaced
