@@ -193,7 +193,7 @@ def hits(docs: DataFrame, lex: Lexicon, key: str = "doc_id", text: str = "text")
     if lex.preset == ENFORCE:
         size = lex.terms.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("chars")).first()
         if 0 < size["n"] <= NAMED_TERMS and size["chars"] <= NAMED_CHARS and (lex.literals is not None or fits_broadcast(lex.terms)):
-            return _named_hits(docs, [r["term"] for r in lex.terms.collect()], key, F.col(text)).distinct()
+            return _named_hits(docs, [r["term"] for r in lex.terms.collect()], key, _long_words(lex, F.col(text))).distinct()
         return _char_gram_hits(docs, lex, key, _long_words(lex, F.col(text)), positions=False).distinct()
     if lex.literals is not None:
         docs = docs.filter(any_literal(lex, F.col(text)))
@@ -216,9 +216,10 @@ def _long_words(lex: Lexicon, text: Column) -> Column:
     """The different space-separated words of a text that are as long as the shortest term: where no term holds a space, a text holds what
     they hold."""
     row = lex.terms.agg(F.min(F.length("term")).alias("least"), F.bool_or(F.contains("term", F.lit(" "))).alias("spaced")).first()
-    if row["spaced"] or not row["least"]:
+    if row["spaced"] or (row["least"] or 0) < HEAD:
         return text
-    return F.array_join(F.filter(F.array_distinct(F.split(text, " ", -1)), lambda w: F.length(w) >= row["least"]), " ")
+    words = F.regexp_extract_all(text, F.lit(f"(?<![^ ])([^ ]{{{row['least']},}})"), F.lit(1))
+    return F.array_join(F.array_distinct(words), " ")
 
 
 def _listed(lex: Lexicon, text: Column) -> Column:
