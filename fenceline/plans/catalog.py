@@ -641,11 +641,19 @@ def stream_filter_terms(spark, sf):
     return spark.read.schema("doc_id BIGINT").parquet(f"{out}/data").select("doc_id")
 
 
-def stream_scan(spark, sf):
+def _sent(spark, chunks: DataFrame) -> tuple[str, int]:
+    """Chunks in files, those of a sequence in many, with the number of files that are half of all: a stream that takes so many at a time
+    meets chunks out of order. There are as many files as a shuffle has tasks."""
     source = shared_folder(spark, "chunks")
-    V.chunks(V.docs_pii(spark, sf)).repartition(4, "chunk_no").write.parquet(source)
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chunks.repartition(files, "seq_id", "chunk_no").write.parquet(source)
+    return source, (files + 1) // 2
+
+
+def stream_scan(spark, sf):
+    source, half = _sent(spark, V.chunks(V.docs_pii(spark, sf)))
     schema = "seq_id BIGINT, chunk_no INT, piece STRING, is_last BOOLEAN"
-    arriving = readers.stream(spark, source, schema, files_per_trigger=2)
+    arriving = readers.stream(spark, source, schema, files_per_trigger=half)
     found = alerts.drain(chunks.first_completions(arriving))
     return found.select("seq_id", F.col("end").alias("end_first"))
 
@@ -655,10 +663,9 @@ TIMED = "seq_id BIGINT, chunk_no INT, piece STRING, is_last BOOLEAN, sent TIMEST
 
 def _arriving(spark, sent: DataFrame) -> DataFrame:
     """Chunks out of order, and behind them a heartbeat."""
-    source = shared_folder(spark, "chunks")
-    sent.repartition(4, "chunk_no").write.parquet(source)
+    source, half = _sent(spark, sent)
     V.heartbeat(spark).select(*sent.columns).write.mode("append").parquet(source)
-    return readers.stream(spark, source, TIMED, files_per_trigger=2)
+    return readers.stream(spark, source, TIMED, files_per_trigger=half)
 
 
 def stream_scan_gaps(spark, sf):

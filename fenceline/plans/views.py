@@ -88,8 +88,11 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def chunks(docs: DataFrame) -> DataFrame:
     pieces = F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{CHUNK_CHARS}}})"), F.lit(1))
-    cut = docs.select(F.col("doc_id").alias("seq_id"), F.size(pieces).alias("_n"), F.posexplode(pieces).alias("chunk_no", "piece"))
-    return cut.withColumn("is_last", F.col("chunk_no") == F.col("_n") - 1).drop("_n")
+    # Cut and counted below the explode: beside it, the whole text would be cut again for each of its chunks.
+    cut = held(docs.select(F.col("doc_id").alias("seq_id"), pieces.alias("_pieces")), "_pieces")
+    counted = held(cut.withColumn("_n", F.size("_pieces")), "_n")
+    chunked = counted.select("seq_id", "_n", F.posexplode("_pieces").alias("chunk_no", "piece"))
+    return chunked.withColumn("is_last", F.col("chunk_no") == F.col("_n") - 1).drop("_n")
 
 
 def timed_chunks(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Stateful scans over shuffled chunks against scans of the joined text."""
 
 import datetime
+import glob
 import random
 import re
 
@@ -10,6 +11,7 @@ from fenceline.functions import patterns as P
 from fenceline.operators import terms as T
 from fenceline.sources import readers
 from fenceline.plans import catalog
+from fenceline.plans import views as V
 from fenceline.streaming import alerts, chunks, ordered
 
 ALL = [p.regex for p in P.PII]
@@ -232,3 +234,65 @@ def test_early_chunks_take_one_write_a_batch():
     got = list(carrier._go_on((1,), {n: (str(n), False, n) for n in (0, 2)}, 0))
     assert list(got[0].chunk_no) == [0, 1, 2, 3] and carrier.early.calls == 2
     assert [r[0] for r in carrier.early.rows] == [5, 7]
+
+
+def test_sequences_that_share_a_state(spark, tmp_path):
+    rng = random.Random(16)
+    texts = texts_of(rng, 120)
+    rows = []
+    for s, t in enumerate(texts):
+        pieces = cut(rng, t)
+        # A NULL number is a sequence of its own; numbers of others stay whole.
+        rows += [(None if s == 7 else 2**60 + s, i, p, i == len(pieces) - 1) for i, p in enumerate(pieces)]
+    rng.shuffle(rows)
+    for k in range(5):
+        spark.createDataFrame(rows[k::5], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want = {None if s == 7 else 2**60 + s: first_end(t) for s, t in enumerate(texts) if first_end(t) is not None}
+    ending = {}  # the chunk that holds the completing character
+    for s, n, p, _ in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        start = ending.get(s, (0, None))[0]
+        ending[s] = start + len(p), n if s in want and start < want[s] <= start + len(p) else ending.get(s, (0, None))[1]
+    for last in (False, True):
+        stream = readers.stream(spark, str(tmp_path / "in"), SCHEMA, files_per_trigger=2)
+        found = chunks.first_completions(stream if last else stream.drop("is_last"), buckets=3)
+        got = alerts.drain(found).collect()
+        assert len(got) == len(want) and {r["seq_id"]: r["end"] for r in got} == want
+        assert all(r["chunk_no"] == ending[r["seq_id"]][1] for r in got)
+
+
+def test_states_are_fewer_than_sequences(spark, tmp_path):
+    rows = spark.range(3 * chunks.BUCKETS).selectExpr("id AS seq_id", "0 AS chunk_no", "'a' AS piece")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = readers.stream(spark, str(tmp_path / "in"), "seq_id BIGINT, chunk_no INT, piece STRING")
+    query = alerts.write_alerts(chunks.first_completions(stream), str(tmp_path / "out"), str(tmp_path / "mark"))
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(held) <= chunks.BUCKETS
+
+
+def test_a_text_is_cut_once(spark):
+    docs = spark.createDataFrame([(1, "x" * 150), (2, ""), (3, None), (4, "é\n" * 32)], "doc_id BIGINT, text STRING")
+    cut_ = V.chunks(docs)
+    plan = cut_._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    got = sorted((r["seq_id"], r["chunk_no"], len(r["piece"]), r["is_last"]) for r in cut_.collect())
+    assert got == [(1, 0, 64, False), (1, 1, 64, False), (1, 2, 22, True), (4, 0, 64, True)]
+
+
+def test_chunks_are_sent_by_as_many_tasks_as_a_shuffle_has(spark, tmp_path, monkeypatch):
+    rows = [(i, "word " * 100 + "a@b.co" * (i % 2)) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    asked, stream, before = [], readers.stream, spark.conf.get("spark.sql.shuffle.partitions")
+
+    def watched(session, path, *args, **more):
+        asked.append((len(glob.glob(f"{path}/part-*")), more["files_per_trigger"]))
+        return stream(session, path, *args, **more)
+
+    monkeypatch.setattr(readers, "stream", watched)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {r["seq_id"]: r["end_first"] for r in catalog.stream_scan(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: 506 for i in range(1, 40, 2)}
+    assert asked == [(9, 5)]
