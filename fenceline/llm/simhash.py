@@ -187,8 +187,9 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     # A pair of blocks is one group; keys of one block have the group (0, 0).
+    # Spark takes what an explode makes for as small as what goes into it and would broadcast all keys: the join is a merge, whatever it expects.
     grouped = (
-        keyed.join(sizes, ["way", "agree"])
+        keyed.join(sizes.hint("merge"), ["way", "agree"])
         .withColumn("_own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("way", "agree", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), "fp")

@@ -249,6 +249,14 @@ def test_links_connect_as_all_pairs_do(spark, block):
     assert plain_components(len(fps), [(number[r["a"]], number[r["b"]]) for r in found]) == want
 
 
+def test_probe_keys_are_not_broadcast_by_size(spark, tmp_path):
+    """A small table of fingerprints makes 45 times as many keys, which Spark takes for as small."""
+    spark.range(500).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    found = simhash.links(spark.read.parquet(str(tmp_path / "fps")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def plain_clusters(rows):
     fps = [plain_fingerprint(t) for _, t in rows]
     known = sorted(set(fps))
