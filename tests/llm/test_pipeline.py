@@ -8,7 +8,7 @@ from llm_tables import SF
 from test_corpus_operators import plain_clusters, plain_spans
 from test_text_operators import check_packed
 
-from fenceline.llm import mixing, quality
+from fenceline.llm import mixing, quality, simhash
 from fenceline.llm.common import table
 
 
@@ -50,3 +50,11 @@ def test_stages(spark, docs, empty, which):
 
     packed = stages["best-fit packing"](spark, mixed, SF).collect()
     check_packed([(r["doc_id"], r["text"]) for r in mixed.collect()], packed, 1024)
+
+
+def test_near_copies_broadcast_no_probe_keys(spark, docs, monkeypatch):
+    made, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **b: made.append(links(*a, **b)) or made[-1])
+    corpus_pipeline.near_copies(spark, docs, SF)
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
