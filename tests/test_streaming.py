@@ -296,3 +296,50 @@ def test_chunks_are_sent_by_as_many_tasks_as_a_shuffle_has(spark, tmp_path, monk
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == {i: 506 for i in range(1, 40, 2)}
     assert asked == [(9, 5)]
+
+
+def test_sequences_in_order_share_states(spark, tmp_path):
+    rng = random.Random(17)
+    rows = []
+    for s, t in enumerate(texts_of(rng, 60)):
+        pieces = cut(rng, t)
+        lost = rng.randrange(len(pieces)) if s % 3 == 0 else None
+        # A NULL number is a sequence of its own; numbers of others stay whole.
+        rows += [(None if s == 7 else 2**60 + s, i, p, i == len(pieces) - 1, datetime.datetime.fromtimestamp(1_700_000_000 + i, datetime.UTC)) for i, p in enumerate(pieces) if i != lost]
+    rng.shuffle(rows)
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], TIMED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    end = datetime.datetime.fromtimestamp(1_710_000_000, datetime.UTC)
+    spark.createDataFrame([(-1, 0, "", True, end)], TIMED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        with ordered.rocksdb(spark):
+            stream = readers.stream(spark, str(tmp_path / "in"), TIMED, files_per_trigger=1)
+            found = ordered.first_completions(stream, "1 day", buckets=3)
+            query = alerts.write_alerts(found, str(tmp_path / "out"), str(tmp_path / "mark"))
+            query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = [(r["seq_id"], r["kind"], r["end"], r["chunk_no"] if r["kind"] == "gap" else None) for r in spark.read.schema(found.schema).parquet(str(tmp_path / "out")).collect()]
+    want = set()
+    for s in {r[0] for r in rows}:
+        came = {r[1]: r[2] for r in rows if r[0] == s}
+        gap = next((n for n in range(max(came)) if n not in came), None)
+        ahead = "".join(came[n] for n in sorted(came) if gap is None or n < gap)
+        behind = "".join(came[n] for n in sorted(came) if gap is not None and n > gap)
+        if first_end(ahead):
+            want.add((s, "match", first_end(ahead), None))
+        elif gap is not None:
+            want.add((s, "gap", None, gap))
+            if first_end(behind):
+                want.add((s, "match", len(ahead) + first_end(behind), None))
+    assert sorted(got, key=str) == sorted(want, key=str) and {r[1] for r in want} == {"gap", "match"}
+    # Three states and the NULL's, each with its timer in two orders.
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 12
+
+
+def test_queries_in_order_share_states_by_default(spark):
+    source = spark.readStream.format("rate").load().selectExpr("value AS seq_id", "0 AS chunk_no", "'' AS piece", "timestamp AS sent")
+    for out in (ordered.first_completions(source), ordered.carried(source, 3)):
+        assert "pmod(xxhash64(seq_id" in out._jdf.queryExecution().analyzed().toString()
