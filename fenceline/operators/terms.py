@@ -323,28 +323,25 @@ def _char_gram_hits(docs: DataFrame, lex: Lexicon, key, subject: Column, positio
         # The rest behind the last window is a match as well, so that no place is tried twice.
         return f"(?s)(.*?)(?:{ahead}|\\z)" if positions and heads else f"(?s){ahead}"
 
-    table = F.array(
-        *[F.struct(F.lit(1 << j).alias("_width"), F.lit(window(j)).alias("_re")) for j in levels]
-    )
     blocks = docs.select(*keys, F.explode(_blocks(subject, longest - 1)).alias("_b")).select(*keys, "_b.*")
-    leveled = blocks.select(*keys, "_at", "_block", F.explode(table).alias("_l")).select(
-        *keys, "_at", "_block", "_l._width", "_l._re"
-    )
-    windows = F.regexp_extract_all(F.col("_block"), F.col("_re"), F.lit(2 if positions and heads else 1))
     if positions and heads:
-        gaps = F.transform(F.regexp_extract_all(F.col("_block"), F.col("_re"), F.lit(1)), F.length)
-        listed = leveled.select(*keys, "_at", "_width", windows.alias("_w"), gaps.alias("_g")).filter("_w[0] <> ''")
+        # Patterns are constants: of short texts, compiling them anew for each row would be most of the work. So would cutting texts that hold no
+        # beginning.
+        def listed_at(j: int) -> Column:
+            windows, gaps = (F.regexp_extract_all(F.col("_block"), F.lit(window(j)), F.lit(group)) for group in (2, 1))
+            own = F.struct(F.lit(1 << j).alias("_width"), windows.alias("_w"), F.transform(gaps, F.length).alias("_g"))
+            return F.when(F.col("_block").rlike(any_of(heads[j])), own)
+
+        every = F.array_compact(F.array(*[listed_at(j) for j in levels]))
+        listed = blocks.select(*keys, "_at", F.explode(every).alias("_l")).select(*keys, "_at", "_l.*").filter("_w[0] <> ''")
         # A window begins behind the gaps up to its own and one character for each window before it.
         fresh = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
         step = lambda a, g: F.struct((a["n"] + g + 1).alias("n"), F.array_append(a["at"], a["n"] + g).alias("at"))
         places = F.aggregate("_g", fresh, step, lambda a: a["at"])
         cut = listed.select(*keys, "_at", "_width", F.explode(F.arrays_zip(places.alias("i"), F.col("_w").alias("w"))).alias("_p"))
         cut = cut.filter("_p.w <> ''").select(*keys, "_width", F.col("_p.w").alias("window"), (F.col("_at") + F.col("_p.i")).alias("start"))
-    elif positions:
-        cut = leveled.select(*keys, "_at", "_width", F.posexplode(windows).alias("_i", "window"))
-        cut = cut.withColumn("start", F.col("_at") + F.col("_i")).drop("_at", "_i")
     else:
-        cut = leveled.select(*keys, "_width", F.explode(F.array_distinct(windows)).alias("window"))
+        cut = _windows(blocks, keys, {1 << j: window(j) for j in levels}, positions)
     probes = cut.withColumn("anchor", F.left("window", F.col("_width"))).drop("_width")
     anchored = lex.terms.select(anchor.alias("anchor"), "term")
     small = lex.literals is not None or fits_broadcast(anchored)
@@ -357,6 +354,17 @@ def _char_gram_hits(docs: DataFrame, lex: Lexicon, key, subject: Column, positio
     return found.select(*keys, "term", "start").distinct()
 
 
+def _windows(blocks: DataFrame, keys: list[str], patterns: dict[int, str], positions: bool) -> DataFrame:
+    """The windows of blocks by one pattern to a width, each with its start or else once a block."""
+    table = F.array(*[F.struct(F.lit(width).alias("_width"), F.lit(pattern).alias("_re")) for width, pattern in patterns.items()])
+    leveled = blocks.select(*keys, "_at", "_block", F.explode(table).alias("_l")).select(*keys, "_at", "_block", "_l._width", "_l._re")
+    windows = F.regexp_extract_all(F.col("_block"), F.col("_re"), F.lit(1))
+    if positions:
+        cut = leveled.select(*keys, "_at", "_width", F.posexplode(windows).alias("_i", "window"))
+        return cut.withColumn("start", F.col("_at") + F.col("_i")).drop("_at", "_i")
+    return leveled.select(*keys, "_width", F.explode(F.array_distinct(windows)).alias("window"))
+
+
 def maybe_in(rows: DataFrame, lookup: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
     """The ``rows`` whose key may occur in ``lookup``: all that do, and of the others as few as one bit per hash tells. The bits are a constant of
     fixed size, whatever the lookup's."""

@@ -225,3 +225,13 @@ def test_raw_terms_of_large_lexicons(spark, monkeypatch, spaced):
     assert {tuple(r) for r in T.hits(table, lex).collect()} == want
     kept = table.select(F.sum(F.length(subjects[0])).alias("n"), F.sum(F.length("text")).alias("all")).first()
     assert (kept["n"] < kept["all"]) != spaced
+
+
+def test_positions_are_found_by_constant_patterns(spark):
+    """A pattern from a column is compiled anew whenever the next row has another one."""
+    lex = T.lexicon(spark.createDataFrame([("cab",), ("abcab",), ("b" * 9,)], "term STRING"), T.ENFORCE, 0)
+    texts = [(i, "xcabcab" * i + "b" * i) for i in range(12)] + [(12, None), (13, "")]
+    found = T.occurrences(spark.createDataFrame(texts, "doc_id BIGINT, text STRING"), lex, ["doc_id"])
+    assert "_re#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {(i, t, s) for i, x in texts if x for t in ("cab", "abcab", "b" * 9) for s in range(len(x)) if x.startswith(t, s)}
+    assert {tuple(r) for r in found.collect()} == want
