@@ -243,14 +243,25 @@ def chosen_logprob(candidates: DataFrame, picks: DataFrame) -> DataFrame:
     return scored.select(*STEP, "picked", (F.col("logit") - F.col("_peak") - F.ln("_mass")).alias("logprob"))
 
 
-def sequence_scores(chosen: DataFrame) -> DataFrame:
+def sequence_scores(*chosen: DataFrame) -> DataFrame:
     """(seq_id, n_tokens, score, perplexity) from the log-probabilities of the chosen tokens; a row with a
-    count ``times`` stands for so many tokens."""
+    count ``times`` stands for so many tokens. Of several tables each is summed up and written by itself."""
+    totals = [_totals(part) for part in chosen]
+    if len(totals) > 1:
+        every = written(totals[0], "totals")
+        for part in totals[1:]:
+            every = every.unionByName(written(part, "totals"))
+        summed = every.groupBy("seq_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("score").alias("score"))
+    else:
+        summed = totals[0]
+    return summed.withColumn("perplexity", F.exp(-F.col("score") / F.col("n_tokens")))
+
+
+def _totals(chosen: DataFrame) -> DataFrame:
     times = F.col("times") if "times" in chosen.columns else F.lit(1)
-    totals = chosen.groupBy("seq_id").agg(
+    return chosen.groupBy("seq_id").agg(
         F.sum(times).cast("bigint").alias("n_tokens"), F.sum(times * F.col("logprob")).alias("score")
     )
-    return totals.withColumn("perplexity", F.exp(-F.col("score") / F.col("n_tokens")))
 
 
 def best_completions(clean: DataFrame, n: int = 1, salts: int = 32) -> DataFrame:

@@ -589,17 +589,22 @@ def nbest_clean(spark, sf):
     return best.select("prompt_id", "gen_id", "rank")
 
 
+# Shares in which the pairs of words of all texts are scored.
+PAIR_SHARES = 4
+
+
 def seq_perplexity(spark, sf):
     """Texts as sequences, each word scored as a candidate behind the word before it."""
     w, n = F.col("w"), F.size("w")
     pairs = F.arrays_zip(F.slice(w, F.lit(1), n - 1).alias("c"), F.slice(w, F.lit(2), n - 1).alias("s"))
     steps = V.words(spark, sf).filter("size(w) > 1").select("doc_id", F.explode(pairs).alias("p"))
-    scored = C.log_softmax(V.candidate_table(spark, sf)).filter("NOT is_eos").select("seq_id", "cand", "logprob")
-    steps = steps.groupBy("doc_id", F.col("p.c").alias("seq_id"), F.col("p.s").alias("cand")).agg(F.count("*").alias("times"))
-    steps = written(steps, "pairs")
-    # Distinct pairs are scored once; a pair that very many documents hold is looked up by broadcast.
-    chosen = lookup_join(steps, written(scored, "scored"), ["seq_id", "cand"])
-    scores = C.sequence_scores(chosen.select(F.col("doc_id").alias("seq_id"), "times", "logprob"))
+    steps = steps.select("doc_id", F.col("p.c").alias("seq_id"), F.col("p.s").alias("cand"))
+    scored = C.log_softmax(V.candidate_table(spark, sf)).filter("NOT is_eos").select("seq_id", "cand", "logprob", F.exp("logit").alias("n"))
+    scored = written(scored, "scored")
+    # The pairs of all texts are many times the texts: a share of them at a time is shuffled, and what it took is freed.
+    share = F.pmod(F.xxhash64("seq_id", "cand"), F.lit(PAIR_SHARES))
+    chosen = [lookup_join(steps.filter(share == k), scored.filter(share == k), ["seq_id", "cand"], often="n") for k in range(PAIR_SHARES)]
+    scores = C.sequence_scores(*[part.select(F.col("doc_id").alias("seq_id"), "logprob") for part in chosen])
     return scores.select(
         F.col("seq_id").alias("doc_id"),
         "n_tokens",

@@ -48,11 +48,27 @@ def scratch(spark: SparkSession):
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+# What shuffles have written goes when their query ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Queries that are begun and ended inside leave no shuffle files."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, however often it is read, and safe
-    from the loss of an executor."""
+    from the loss of an executor. Its shuffles leave no files."""
     path = shared_folder(df.sparkSession, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    with cleaned(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -107,32 +123,42 @@ def hot_keys(facts: DataFrame, on: list[str]) -> DataFrame | None:
     return F.broadcast(spark.createDataFrame(hot, facts.select(*on).schema)) if hot else None
 
 
+def often_keys(lookup: DataFrame, on: list[str], often: str) -> DataFrame | None:
+    """As :func:`hot_keys`, by what a lookup of one row a key says of them."""
+    spark = lookup.sparkSession
+    most = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = lookup.agg(F.sum(often)).first()[0] or 0
+    many = lookup.filter((F.col(often) * most > total) & (F.col(often) > 1)).select(*on).dropna().distinct()
+    hot = [tuple(r) for r in many.limit(most).collect()]
+    return F.broadcast(spark.createDataFrame(hot, lookup.select(*on).schema)) if hot else None
+
+
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: str | list[str], how: str = "inner", small: bool = False
+    facts: DataFrame, lookup: DataFrame, on: str | list[str], how: str = "inner", small: bool = False, often: str | None = None
 ) -> DataFrame:
     """Equi-join of a large, possibly skewed side with a lexicon-like side.
 
     A lookup within the broadcast bound is broadcast (``small`` says that its size is known). Beyond it the keys of ``facts`` are counted:
     rows of hot keys, see :func:`hot_keys`, meet their few lookup rows by broadcast, all others are joined by a plain shuffle. A NULL
-    key matches nothing and is never shuffled.
+    key matches nothing and is never shuffled. ``often``, a column of the lookup that is not joined, says how often a key occurs: nothing is counted then.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     keys = [on] if isinstance(on, str) else list(on)
-    if small or fits_broadcast(lookup):
-        return facts.join(F.broadcast(lookup), keys, how)
+    plain = lookup.drop(often) if often else lookup
+    if small or fits_broadcast(plain):
+        return facts.join(F.broadcast(plain), keys, how)
     if facts.isStreaming:
         # The keys of a stream can't be counted beforehand.
-        return facts.join(lookup, keys, how)
+        return facts.join(plain, keys, how)
     known = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
-    joined = _split_join(facts.filter(known), lookup, keys, how)
+    joined = _split_join(facts.filter(known), plain, keys, how, often_keys(lookup, keys, often) if often else hot_keys(facts, keys))
     if how in ("inner", "left_semi"):
         return joined
     return joined.unionByName(facts.filter(f"NOT ({known})"), allowMissingColumns=True)
 
 
-def _split_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str) -> DataFrame:
-    hot = hot_keys(facts, keys)
+def _split_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str, hot: DataFrame | None) -> DataFrame:
     if hot is None:
         return facts.join(lookup, keys, how)
     few = lookup.join(hot, keys, "left_semi")

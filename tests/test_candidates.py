@@ -173,3 +173,10 @@ def test_an_expression_looks_for_its_literal_first(spark):
     df = K.with_penalty(spark.createDataFrame([("a@b",), ("@",), ("a@b 12",), ("x",), (None,)], "text STRING"), table)
     assert {r["text"]: r["penalty"] for r in df.collect()} == {"a@b": 1.0, "@": 0.0, "a@b 12": 3.0, "x": 2.0, None: 0.0}
     assert "Contains(text" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_of_several_tables(spark):
+    rows = [("a", -1.5), ("b", -0.25), ("a", -2.0), (None, -3.0), ("b", -0.5), ("c", 0.0)]
+    made = [spark.createDataFrame(part, "seq_id STRING, logprob DOUBLE") for part in (rows, rows[:2], rows[2:5], rows[5:])]
+    whole, parts = (sorted((tuple(r) for r in df.collect()), key=str) for df in (C.sequence_scores(made[0]), C.sequence_scores(*made[1:])))
+    assert whole == parts and len(parts) == 4

@@ -1,5 +1,7 @@
 """Joins with hot keys: same rows as a plain join, no large partition."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,24 @@ def test_scratch_folders_are_removed(spark, tmp_path):
 def test_tables_between_steps_are_written_compactly(spark):
     table = session.written(spark.range(10), "compact")
     assert all(f.endswith(".zstd.parquet") for f in table.inputFiles())
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    folders = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    left = lambda: {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+    before, kept = left(), spark.conf.get(session.CLEANUP, None)
+    table = session.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    table = session.written(table.repartition(3, "k"), "dealt")
+    assert not {f for f in left() - before if f.endswith(".data")} and spark.conf.get(session.CLEANUP, None) == kept
+    assert table.count() == 7
+
+
+def test_hot_keys_that_the_lookup_tells(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_MAX_ROWS", 10)
+    monkeypatch.setattr(session, "hot_keys", lambda *_: 1 / 0)
+    key = F.when(F.col("id") < 900, F.lit(0)).when(F.col("id") == 999, None).otherwise(F.col("id"))
+    facts = spark.range(1000).select(key.alias("k"), "id")
+    lookup = facts.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2).filter("k IS NULL OR k <> 950")
+    joined = session.lookup_join(facts, lookup, "k", often="n")
+    assert joined.columns == ["k", "id", "v"] and "Union" in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in joined.collect()) == [(0 if i < 900 else i, i, 0 if i < 900 else 2 * i) for i in range(999) if i != 950]
