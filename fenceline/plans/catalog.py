@@ -554,7 +554,8 @@ def cand_soft_penalty(spark, sf):
 
 def cand_penalty_join(spark, sf):
     """The same scores from a table of penalties, one row per candidate and violated constraint."""
-    candidates = V.candidates(spark, sf)
+    # A table: it is read for the penalties and for the scores, and more often where the penalties exceed the broadcast bound.
+    candidates = V.candidate_table(spark, sf)
     texts = candidates.select(
         F.struct(*C.STEP, "cand").alias("k"), F.concat_ws(" ", "seq_id", "cand").alias("text")
     )

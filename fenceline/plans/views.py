@@ -136,27 +136,38 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next-word candidates: a word of the corpus is a sequence of one step, its successors are the
     candidates, the log of their count is the score; an end marker, known by ``is_eos``, is added to
     every step."""
+    counted = successors(spark, sf_dir)
+    # With their count the pairs of the ends are the shuffle of the scores: texts are cut into pairs once.
+    return _scored(counted).unionByName(_ends(counted.filter("n > 0")))
+
+
+def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq_id, cand, n): how often a word of the corpus follows another."""
     w, n = F.col("w"), F.size("w")
     pairs = F.arrays_zip(F.slice(w, F.lit(1), n - 1).alias("c"), F.slice(w, F.lit(2), n - 1).alias("s"))
-    counted = (
+    return (
         words(spark, sf_dir)
         .filter("size(w) > 1")
         .select(F.explode(pairs).alias("p"))
         .groupBy(F.col("p.c").alias("seq_id"), F.col("p.s").alias("cand"))
         .agg(F.count("*").alias("n"))
     )
-    step = F.lit(0).alias("step")
-    scored = counted.select("seq_id", step, "cand", F.ln("n").alias("logit"), F.lit(False).alias("is_eos"))
-    # With their count the pairs of the ends are the shuffle of the scores: texts are cut into pairs once.
-    ends = counted.filter("n > 0").select("seq_id").distinct().select(
-        "seq_id", step, F.lit(END_PIECE).alias("cand"), F.lit(0.0).alias("logit"), F.lit(True).alias("is_eos")
+
+
+def _scored(counted: DataFrame) -> DataFrame:
+    return counted.select("seq_id", F.lit(0).alias("step"), "cand", F.ln("n").alias("logit"), F.lit(False).alias("is_eos"))
+
+
+def _ends(counted: DataFrame) -> DataFrame:
+    return counted.select("seq_id").distinct().select(
+        "seq_id", F.lit(0).alias("step"), F.lit(END_PIECE).alias("cand"), F.lit(0.0).alias("logit"), F.lit(True).alias("is_eos")
     )
-    return scored.unionByName(ends)
 
 
 def candidate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The candidates as a table, for queries that read them more than once."""
-    return written(candidates(spark, sf_dir), "candidates")
+    """The candidates as tables, for queries that read them more than once. The ends come from what is written, so that pairs are counted once."""
+    counted = written(successors(spark, sf_dir), "candidates")
+    return _scored(counted).unionByName(written(_ends(counted), "ends"))
 
 
 def nbest(spark: SparkSession, sf_dir: str) -> DataFrame:

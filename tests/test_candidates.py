@@ -180,3 +180,11 @@ def test_scores_of_several_tables(spark):
     made = [spark.createDataFrame(part, "seq_id STRING, logprob DOUBLE") for part in (rows, rows[:2], rows[2:5], rows[5:])]
     whole, parts = (sorted((tuple(r) for r in df.collect()), key=str) for df in (C.sequence_scores(made[0]), C.sequence_scores(*made[1:])))
     assert whole == parts and len(parts) == 4
+
+
+def test_pairs_are_counted_once(spark):
+    """Penalties and scores read one table of candidates."""
+    from fenceline.plans import catalog
+
+    plan = catalog.cand_penalty_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Relation" in plan
